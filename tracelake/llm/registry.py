@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tracelake.llm import topk, urlrules
+
+QUERIES = {
+    "op3_urlrules": urlrules.op3_urlrules,
+    "op9_topk": topk.op9_topk,
+}
+ORACLES = {
+    "op3_urlrules": urlrules.OP3_SQL,
+    "op9_topk": topk.OP9_SQL,
+}
