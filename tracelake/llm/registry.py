@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tracelake.llm import topk, urlrules
+from tracelake.llm import bpe, mixing, topk, urlrules
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
     "op3_urlrules": urlrules.op3_urlrules,
+    "op5_mixing": mixing.op5_mixing,
     "op9_topk": topk.op9_topk,
 }
 ORACLES = {
     "op3_urlrules": urlrules.OP3_SQL,
+    "op5_mixing": mixing.OP5_SQL,
     "op9_topk": topk.OP9_SQL,
 }
