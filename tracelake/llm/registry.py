@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tracelake.llm import bpe, mixing, topk, urlrules
+from tracelake.llm import bpe, chat, mixing, simhash, topk, urlrules
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_urlrules": urlrules.op3_urlrules,
+    "op4_chat": chat.op4_chat,
     "op5_mixing": mixing.op5_mixing,
+    "op7_simhash": simhash.op7_simhash,
     "op9_topk": topk.op9_topk,
 }
 ORACLES = {
     "op3_urlrules": urlrules.OP3_SQL,
+    "op4_chat": chat.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op9_topk": topk.OP9_SQL,
 }
