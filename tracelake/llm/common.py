@@ -32,6 +32,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows up to which a checkpointed table of a few plain columns is broadcast.
+BROADCAST_ROWS = 20_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it was counted and is small; else Spark joins it by shuffle.
+
+    df should be a checkpoint, so that counting is cheap.
+    """
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text modulo modulus; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus

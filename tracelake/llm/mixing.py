@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import WORD, cut, table
+from tracelake.llm.common import WORD, cut, small, table
 
 WEIGHTS, CAP, PER_BIN = (5, 2, 1), 3, 1024
 
@@ -46,30 +46,32 @@ def targets(sources: DataFrame) -> DataFrame:
     return s.withColumn("target", F.least(share, F.col("cap")))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: DataFrame | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every row of docs.
 
-    weight names a column of positive quality weights (null: 1); without it all
-    weigh the same.
+    weights has (doc_id, weight), unique ids and positive weights; documents
+    without one weigh 1. Texts are reduced to sizes before any row is moved.
     """
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") + 1) / (2.0**52 + 1)
-    w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
     slim = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
         F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source))).alias("skey"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (-F.log(u) / w).alias("key"),
+        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (-F.log(u)).alias("key"),
     )
+    if weights is not None:
+        w = F.coalesce(F.col("weight").cast("double"), F.lit(1.0))
+        slim = slim.join(weights, "doc_id", "left").withColumn("key", F.col("key") / w).drop("weight")
     slim = cut(slim)
     plan = targets(slim.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", (F.round("target").cast("long") - F.col("epochs") * F.col("source_size")))
     plan = cut(plan.select("skey", "source_size", "target", "epochs", "rest", F.greatest(F.lit(1), F.ceil(F.col("n") / PER_BIN)).alias("bins")))
-    dealt = slim.join(plan, "skey").withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")), F.col("bins") - 1))
+    dealt = slim.join(small(plan), "skey").withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")), F.col("bins") - 1))
     sums = dealt.groupBy("skey", "bin", "rest").agg(F.sum("size").alias("s"))
     upto = F.sum("s").over(Window.partitionBy("skey").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     # The edge is in the first bin whose prefix sum passes the rest; documents in earlier bins are all taken.
     edge = sums.withColumn("upto", upto).where(F.col("upto") > F.col("rest")).groupBy("skey").agg(F.min(F.struct("bin", (F.col("upto") - F.col("s")).alias("before"))).alias("edge"))
-    dealt = dealt.join(cut(edge), "skey", "left")
+    dealt = dealt.join(small(cut(edge)), "skey", "left")
     here = F.col("bin") == F.col("edge.bin")
     order = Window.partitionBy("skey", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("edge.before") + F.coalesce(F.sum("size").over(order), F.lit(0))
@@ -79,16 +81,15 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return on_edge.unionByName(off_edge).select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
 
 
-def quality_weights(docs: DataFrame, labels: DataFrame, column: str = "__quality_weight") -> DataFrame:
-    """docs with a weight of 2 where labels call a document good, 0.5 where bad, else 1."""
-    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.when(F.avg("quality") >= 0.5, 2.0).otherwise(0.5).alias(column))
-    return docs.join(known, "doc_id", "left")
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """(doc_id, weight): 2 where labels call a document good, 0.5 where bad."""
+    return labels.where("doc_id is not null").groupBy("doc_id").agg(F.when(F.avg("quality") >= 0.5, 2.0).otherwise(0.5).alias("weight"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
-    docs = quality_weights(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "labels"))
-    return mix(docs, weight="__quality_weight").drop("source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs, weights=quality_weights(table(spark, sf_dir, "labels"))).drop("source")
 
 
 OP5_SQL = r"""
