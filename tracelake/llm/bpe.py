@@ -20,19 +20,20 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.llm.common import table
 
-BLOCK_CHARS, CACHE_WORDS = 8_000_000, 300_000
+BLOCK_CHARS, CACHE_WORDS = 3_000_000, 200_000
 NONE = np.int64(1 << 62)
 #: A space or line feed after any other character always begins a new match of the pattern, if no other white space is near.
 PIECE, OTHER_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -187,35 +188,60 @@ def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Record
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with a binary column of ids as little-endian unsigned 32-bit integers.
+Batches = Iterator[pa.RecordBatch]
+Step = Callable[[Batches], Batches]
 
-    ranks is the content of a rank file, bounded by the vocabulary and read on the
-    driver, so executors need no file.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(shared.value, pattern)
+def encoding(ranks: Broadcast, pattern: str, text: str, ids: str) -> Step:
+    def run(batches: Batches) -> Batches:
+        own = encoder(ranks.value, pattern)
         for whole in batches:
             for batch in slices(whole, text, BLOCK_CHARS):
                 yield with_column(batch, ids, pa.array(own.block([t or "" for t in batch.column(text).to_pylist()]), pa.binary()))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType())]))
-
+    return run
 
-def decode(docs: DataFrame, ranks: bytes, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """docs with a binary column of the bytes that the ids stand for; null ids give null."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = encoder(shared.value, "").replay.bytes_of.__getitem__
+def decoding(ranks: Broadcast, pattern: str, ids: str, decoded: str) -> Step:
+    def run(batches: Batches) -> Batches:
+        of = encoder(ranks.value, pattern).replay.bytes_of.__getitem__
         for whole in batches:
             for batch in slices(whole, ids, 4 * BLOCK_CHARS):
                 values = [None if v is None else b"".join(map(of, np.frombuffer(v, "<u4").tolist())) for v in batch.column(ids).to_pylist()]
                 yield with_column(batch, decoded, pa.array(values, pa.binary()))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(decoded, T.BinaryType())]))
+    return run
+
+
+def mapped(docs: DataFrame, steps: list[Step], names: list[str]) -> DataFrame:
+    """docs through the steps in one Python worker, with the binary columns they add."""
+
+    def run(batches: Batches) -> Batches:
+        for step in steps:
+            batches = step(batches)
+        yield from batches
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.BinaryType()) for n in names)]))
+
+
+def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """docs with a binary column of ids as little-endian unsigned 32-bit integers.
+
+    ranks is the content of a rank file, bounded by the vocabulary and read on the
+    driver, so executors need no file.
+    """
+    return mapped(docs, [encoding(docs.sparkSession.sparkContext.broadcast(ranks), pattern, text, ids)], [ids])
+
+
+def decode(docs: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """docs with a binary column of the bytes that the ids stand for; null ids give null."""
+    return mapped(docs, [decoding(docs.sparkSession.sparkContext.broadcast(ranks), pattern, ids, decoded)], [decoded])
+
+
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode() then decode() in one pass of the rows through Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    return mapped(docs, [encoding(shared, pattern, text, ids), decoding(shared, pattern, ids, decoded)], [ids, decoded])
 
 
 def public_ranks(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[bytes, str]:
@@ -228,7 +254,7 @@ def public_ranks(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[bytes, str]
 def digests(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Encodes and decodes docs (with a text column) and adds token count and digests."""
     ranks, pattern = public_ranks()
-    both = decode(encode(docs.select(*keep, "text"), ranks, pattern), ranks)
+    both = round_trip(docs.select(*keep, "text"), ranks, pattern)
     return both.select(*keep, (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
