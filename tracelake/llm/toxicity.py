@@ -145,6 +145,20 @@ def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
     return w.tolist()
 
 
+def rising(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """logistic() over the features whose weights are positive: more evidence never lowers a score."""
+    used = list(range(x.shape[1]))
+    while True:
+        w = logistic(x[:, used], y)
+        if min(w[1:], default=0.0) >= 0:
+            break
+        used.pop(int(np.argmin(w[1:])))
+    out = [w[0], *[0.0] * x.shape[1]]
+    for i, value in zip(used, w[1:], strict=True):
+        out[1 + i] = value
+    return out
+
+
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either kind that hold a feature, summed over the task's rows."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -206,7 +220,7 @@ def calibrated(model: Model, rows: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.float64()) for i in range(4)], names=list("abct"))
 
     x = np.array([tuple(r) for r in rows.mapInArrow(measured, "a double, b double, c double, t double").collect()])
-    model.weights = logistic(x[:, :3], x[:, 3])
+    model.weights = rising(x[:, :3], x[:, 3])
     model.known = {}
     return model
 
