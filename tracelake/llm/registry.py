@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from tracelake.llm import bpe, chat, mixing, simhash, topk, urlrules
+from tracelake.llm import bpe, chat, maxent, mixing, rabitq, simhash, suffixdedup, topk, toxicity, urlrules
 
 QUERIES = {
+    "op1_rabitq": rabitq.op1_rabitq,
     "op2_bpe": bpe.op2_bpe,
     "op3_urlrules": urlrules.op3_urlrules,
     "op4_chat": chat.op4_chat,
     "op5_mixing": mixing.op5_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_simhash": simhash.op7_simhash,
+    "op8_maxent": maxent.op8_maxent,
     "op9_topk": topk.op9_topk,
+    "op10_suffixdedup": suffixdedup.op10_suffixdedup,
 }
 ORACLES = {
     "op3_urlrules": urlrules.OP3_SQL,
