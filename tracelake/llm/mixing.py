@@ -47,7 +47,7 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: DataFrame | None = None) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row of docs.
+    """(doc_id, source, size, source_size, target, taken, epochs) of every row of docs.
 
     weights has (doc_id, weight), unique ids and positive weights; documents
     without one weigh 1. Texts are reduced to sizes before any row is moved.
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     part = F.least(F.col("size"), F.greatest(F.col("rest") - first, F.lit(0)))
     on_edge = dealt.where(here).withColumn("part", part)
     off_edge = dealt.where(~F.coalesce(here, F.lit(False))).withColumn("part", F.when(F.col("edge.bin").isNull() | (F.col("bin") < F.col("edge.bin")), F.col("size")).otherwise(0))
-    return on_edge.unionByName(off_edge).select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+    return on_edge.unionByName(off_edge).select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "epochs")
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
@@ -86,10 +86,26 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(F.when(F.avg("quality") >= 0.5, 2.0).otherwise(0.5).alias("weight"))
 
 
+def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs as often as the mix takes them, whole: the document on a source's edge once more if half of it is taken.
+
+    Of rows equal in id and text each is given as often as the one taken most.
+    """
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))
+    rows = docs.withColumn("__key", key)
+    weights = quality_weights(labels)
+    weighed = rows.select("__key", "doc_id").join(weights, "doc_id").groupBy("__key").agg(F.max("weight").alias("weight"))
+    taken = mix(rows.select("__key", "text", "source"), doc_id="__key", weights=weighed.withColumnRenamed("__key", "doc_id"))
+    part = F.col("taken") - F.col("epochs") * F.col("size")
+    times = (F.col("epochs") + ((part > 0) & (2 * part >= F.col("size"))).cast("long")).alias("__times")
+    times = cut(taken.select(F.col("doc_id").alias("__key"), times).groupBy("__key").agg(F.max("__times").alias("__times")).where("__times > 0"))
+    return rows.join(times, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs, weights=quality_weights(table(spark, sf_dir, "labels"))).drop("source")
+    return mix(docs, weights=quality_weights(table(spark, sf_dir, "labels"))).drop("source", "epochs")
 
 
 OP5_SQL = r"""

@@ -173,6 +173,21 @@ def classes(rows: DataFrame) -> DataFrame:
     return cut(fps.join(names, "component").select("fp", "component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The row of each group of linked documents with the smallest id (null first), ties by a hash of the text.
+
+    Of rows equal in id and text one stays.
+    """
+    doc, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text")
+    rows = cut(with_fingerprint(docs.select(doc.alias("__doc"), th.alias("__th"), "text")))
+    fps = cut(rows.groupBy("fp").agg(F.min(F.struct("__doc", "__th")).alias("least")))
+    found = components(near_links(fps.select("fp")))
+    fps = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    first = fps.groupBy("component").agg(F.min("least").alias("least")).select("least.*")
+    kept = docs.withColumns({"__doc": doc, "__th": th}).join(cut(first), ["__doc", "__th"], "left_semi")
+    return kept.dropDuplicates(["__doc", "__th"]).select(*docs.columns)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     rows = cut(with_fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -294,7 +294,7 @@ def removed(starts: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndar
     return begin[head], reach[np.append(np.flatnonzero(head)[1:] - 1, len(begin) - 1)]
 
 
-def cleaned(length: int):
+def cleaned(length: int, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", BLOCK_BYTES):
@@ -306,19 +306,21 @@ def cleaned(length: int):
                         gone = list(zip(begin.tolist(), end.tolist(), strict=True))
                     edges = [0, *[x for g in gone for x in g], len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    for column, value in zip(out, (len(data), len(data) - len(kept), [{"begin": a, "end": b} for a, b in gone], kept), strict=True):
+                    row = (len(data), len(data) - len(kept), [{"begin": a, "end": b} for a, b in gone], kept.decode(errors="ignore") if as_text else kept)
+                    for column, value in zip(out, row, strict=True):
                         column.append(value)
-                types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary()]
+                types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.string() if as_text else pa.binary()]
                 kept = batch.drop_columns(["text", "runs", "doc", "th"])
                 yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=[*kept.schema.names, "n_bytes", "n_removed", "spans", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, length: int = LENGTH) -> DataFrame:
-    """Every row of docs with n_bytes, n_removed, spans (array of begin, end) and kept (binary).
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """Every row of docs with n_bytes, n_removed, spans (array of begin, end) and kept.
 
-    keep names the columns that are passed through.
+    keep names the columns that are passed through. kept is binary; as_text makes it a
+    string, without the bytes of characters that were cut apart.
     """
     keep = [doc_id] if keep is None else keep
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc")
@@ -333,8 +335,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeats = repeats.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
     whole = docs.select(doc, F.hash(text).alias("th"), *[F.col(c).alias(f"__{c}") for c in keep], F.col(text).alias("text")).join(repeats, ["doc", "th"], "left")
     types = ", ".join(f"`__{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = whole.mapInArrow(cleaned(length), f"{types}, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary")
-    return out.select(*[F.col(f"__{c}").alias(c) for c in keep], "n_bytes", "n_removed", "spans", "kept")
+    out = whole.mapInArrow(cleaned(length, as_text), f"{types}, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept {'string' if as_text else 'binary'}")
+    return out.select(*[F.col(f"__{c}").alias(c) for c in keep if c.lower() not in ("n_bytes", "n_removed", "spans", "kept")], "n_bytes", "n_removed", "spans", "kept")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs without the repeated strings of their texts; n_chars, where there is one, follows."""
+    found = remove_repeats(docs, keep=[c for c in docs.columns if c != "text"], as_text=True)
+    columns = [F.col("kept").alias("text") if c == "text" else F.length("kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return found.select(*columns)
 
 
 def op10_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,8 +228,8 @@ def calibrated(model: Model, rows: DataFrame) -> Model:
 PASSAGES = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs without its text, with score and passages (word positions begin to end, and score)."""
+def scored(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False, names: tuple[str, str] = ("score", "passages")) -> DataFrame:
+    """docs with score and passages (word positions begin to end, and score); its text only if keep_text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,14 +237,21 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for whole in batches:
             for batch in slices(whole, text, BLOCK_BYTES):
                 got = [m.passages(words_of(t)) for t in batch.column(text).to_pylist()]
-                kept = batch.drop_columns([text])
+                kept = batch if keep_text else batch.drop_columns([text])
                 score = pa.array([m.probability(f) for f, _ in got], pa.float64())
                 spans = pa.array([[{"begin": b, "end": e, "score": s} for b, e, s in p] for _, p in got], PASSAGES)
-                yield pa.RecordBatch.from_arrays([*kept.columns, score, spans], names=[*kept.schema.names, "score", "passages"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, score, spans], names=[*kept.schema.names, *names])
 
-    kept = [f for f in docs.schema.fields if f.name != text]
+    kept = [f for f in docs.schema.fields if keep_text or f.name != text]
     spans = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("passages", spans)]))
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], spans)]))
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that score under 0.5, learnt from labels without the held-out fifth."""
+    model = learn(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
+    found = scored(docs, model, keep_text=True, names=("__score", "__passages"))
+    return found.where(F.col("__score") < 0.5).select(*docs.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
