@@ -40,14 +40,14 @@ from tracelake.llm.bpe import slices
 from tracelake.llm.common import cut, table
 
 LENGTH = 400
-BLOCK_BYTES, MANY, AT_ONCE = 4_000_000, 256, 16_000_000
+BLOCK_BYTES, MANY, AT_ONCE, SPANS_AT_ONCE = 2_000_000, 256, 8_000_000, 2_000_000
 NO_ID = -(1 << 63)
 RUNS = "key long, s1 long, s2 long, size int, again boolean, n long, places binary"
 FOUND = "doc long, th int, start int, size int, key long, texts long"
 PLACE = np.dtype([("doc", "<i8"), ("th", "<i4"), ("start", "<i4")])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def tables(n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For two polynomial hashes: values of bytes, powers of an odd base, and its inverse's powers, modulo 2**64."""
     rng, out = np.random.default_rng(20240501), []
@@ -72,7 +72,7 @@ class Hashed:
     """Hashes of any substring of some bytes from prefix sums."""
 
     def __init__(self, data: np.ndarray):
-        room = 1 << max(22, int(len(data)).bit_length())
+        room = 1 << max(21, int(len(data)).bit_length())
         self.parts = []
         for values, powers, inverse in tables(room):
             prefix = np.zeros(len(data) + 1, np.uint64)
@@ -254,7 +254,7 @@ def resolved(length: int):
     """Starts of strings that are found twice among the rows of a key, as runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in complete(batches, AT_ONCE):
+        for rows in complete(batches, SPANS_AT_ONCE):
             key, doc, th, start, size = (rows.column(c).to_numpy() for c in ("key", "doc", "th", "start", "size"))
             data = rows.column("bytes").combine_chunks()
             lengths = np.fromiter((len(b) if b is not None else 0 for b in data.to_pylist()), np.int64, len(key))
