@@ -40,8 +40,8 @@ CLASSES, OWN = 128, 63  # class 0: end; 1..OWN: one word each; the rest: by last
 SHAPES = CLASSES - OWN - 1
 PAIR_ROWS = 2048
 ROWS = 1 + 2 * CLASSES + PAIR_ROWS
-DOCS_PER_BLOCK, SHARDS, GROUPS = 1024, 64, 16
-STEPS, RATE, RIDGE = 40, 0.25, 1e-7
+DOCS_PER_BLOCK, SHARDS, GROUPS, STEP_TASKS = 1024, 64, 16, 4
+STEPS, RATE, RIDGE = 30, 0.25, 1e-7
 BLOCK_BYTES = 8_000_000
 ADDED = 0.1
 
@@ -231,7 +231,7 @@ def gradient(shared):
                     diff = seen - seen.sum(axis=1, keepdims=True) * np.exp(lp)
                     for rows in feature_rows(h):
                         np.add.at(out, rows, diff)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([value])], names=["g", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary()), pa.array([value])], names=["g", "value"])
 
     return run
 
@@ -245,13 +245,13 @@ def train(counts: DataFrame, prior: np.ndarray, tokens: int) -> np.ndarray:
     best, kept = -np.inf, weights
     for step in range(1, STEPS + 1):
         shared = sc.broadcast(weights.tobytes())
-        # One matrix of fixed size from each task, of which there are GROUPS at most.
+        # One matrix of fixed size from each of STEP_TASKS tasks.
         parts = counts.mapInArrow(gradient(shared), "g binary, value double").collect()
-        shared.unpersist()
+        shared.destroy()
         value = sum(p["value"] for p in parts)
         if value > best:
             best, kept = value, weights
-        g = sum((np.frombuffer(p["g"], np.float64).reshape(ROWS, CLASSES) for p in parts), np.zeros_like(weights)) / max(tokens, 1) - RIDGE * weights
+        g = sum((np.frombuffer(p["g"], np.float32).reshape(ROWS, CLASSES) for p in parts), np.zeros_like(weights)) / max(tokens, 1) - RIDGE * weights
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         rate = RATE * (1 - (step - 1) / STEPS)
         weights = weights + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
@@ -263,7 +263,7 @@ class Model:
 
     def __init__(self, own: dict[int, int], per_class: np.ndarray, weights: np.ndarray, tokens: int, words: int):
         self.own, self.tokens, self.words = own, tokens, words
-        self.table = np.concatenate([log_softmax(weights, np.arange(a, a + CLASSES)) for a in range(0, CLASSES**2, CLASSES)]) / np.log(10)
+        self.table = np.concatenate([log_softmax(weights, np.arange(a, a + CLASSES)) for a in range(0, CLASSES**2, CLASSES)]).astype(np.float32) / np.float32(np.log(10))
         n, v, once, twice = per_class.astype(float)
         self.n = n
         # Only classes of many words are discounted; a class without words is all unseen.
@@ -335,7 +335,7 @@ def score(docs: DataFrame) -> DataFrame:
     own = {word: i + 1 for i, (_, word, _) in enumerate(top)}
     tokens = int(per_class[0].sum())
     seen = docs.where("not held_out").select("text").mapInArrow(trigrams(own), "g long, codes binary, counts binary")
-    seen = cut(seen.repartition(GROUPS, "g").mapInArrow(added, "codes binary, counts binary").coalesce(GROUPS))
+    seen = cut(seen.repartition(GROUPS, "g").mapInArrow(added, "codes binary, counts binary").coalesce(STEP_TASKS))
     prior = (per_class[0] + 0.5) / (tokens + 0.5 * CLASSES)
     model = Model(own, per_class, train(seen, prior, tokens), tokens, n_words)
     shared = docs.sparkSession.sparkContext.broadcast(model)
