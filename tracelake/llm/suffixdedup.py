@@ -14,7 +14,8 @@ finds the same repeated strings by content-defined runs of suffixes instead:
    the edge of a repeat lies inside the run. Other runs are dropped.
 3. The texts of ragged runs (one of each) are dealt by key, and their 400-byte
    strings compared by two 64-bit hashes. Keys with very many texts are dealt
-   by string hash instead, so none is gathered in one task.
+   by string hash instead, equal strings of a block as one row, so none is
+   gathered in one task. What is found travels packed to buckets of documents.
 4. Every document gets its repeated starts back and loses the bytes they cover.
 
 Equality is by 128 bits of polynomial hashes. Work and memory are linear in the
@@ -33,14 +34,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.bpe import slices
-from tracelake.llm.common import cut, table
+from tracelake.llm.common import blocks, cut, table
 
 LENGTH = 400
-BLOCK_BYTES, MANY, AT_ONCE, SPANS_AT_ONCE = 2_000_000, 256, 8_000_000, 2_000_000
+BLOCK_BYTES, MANY, AT_ONCE, SPANS_AT_ONCE, DOCS_PER_BUCKET = 1_000_000, 256, 8_000_000, 2_000_000, 1024
 NO_ID = -(1 << 63)
 RUNS = "key long, s1 long, s2 long, size int, again boolean, n long, places binary"
 FOUND = "doc long, th int, start int, size int, key long, texts long"
@@ -72,7 +74,7 @@ class Hashed:
     """Hashes of any substring of some bytes from prefix sums."""
 
     def __init__(self, data: np.ndarray):
-        room = 1 << max(21, int(len(data)).bit_length())
+        room = 1 << max(20, int(len(data)).bit_length())
         self.parts = []
         for values, powers, inverse in tables(room):
             prefix = np.zeros(len(data) + 1, np.uint64)
@@ -151,10 +153,8 @@ def scan(length: int):
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
         first = np.flatnonzero(new)
-        bounds = np.append(first, len(key))
-        packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((bounds * PLACE.itemsize).astype(np.int32)), pa.py_buffer(place.tobytes())])
-        columns = [key[first].view(np.int64), s1[first].view(np.int64), s2[first].view(np.int64), size[first].astype(np.int32), again[first], np.diff(bounds)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), packed], names=["key", "s1", "s2", "size", "again", "n", "places"])
+        columns = [key[first].view(np.int64), s1[first].view(np.int64), s2[first].view(np.int64), size[first].astype(np.int32), again[first], np.diff(np.append(first, len(key)))]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), grouped(new, place)], names=["key", "s1", "s2", "size", "again", "n", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -220,71 +220,138 @@ def classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "th", "start", "size", "key", "texts"])
 
 
-SPANS = "key long, doc long, th int, start int, size int, bytes binary, w1 long, w2 long"
+SPANS = "key long, w2 long, size int, bytes binary, places binary"
+PACKED = "bucket int, packed binary"
+SPAN = np.dtype([("doc", "<i8"), ("th", "<i4"), ("start", "<i4"), ("size", "<i4")])
+
+
+def grouped(new: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Records of a sorted array packed into one binary value for each group; new marks the first of each."""
+    bounds = np.append(np.flatnonzero(new), len(values))
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.dtype.itemsize).astype(np.int32)), pa.py_buffer(values.tobytes())])
 
 
 def spans(length: int):
-    """Rows of (text, runs) to the texts of the runs, or their single strings where a key has very many."""
+    """Rows of (text, runs) to the texts of the runs.
+
+    Runs of keys with very many texts become their single strings instead, equal
+    ones of a block in one row, dealt by their own hash.
+    """
+
+    def block(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        single: list[tuple[np.ndarray, ...]] = []
+        for doc, th, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc", "th", "text", "runs")), strict=True):
+            data = text.encode()
+            hashed = Hashed(np.frombuffer(data, np.uint8)) if any(r["texts"] > MANY for r in runs) else None
+            for r in runs:
+                a, n = r["start"], r["size"]
+                if r["texts"] <= MANY:
+                    out.append((r["key"], 0, n, data[a : a + n - 1 + length], np.array([(doc, th, a)], PLACE).tobytes()))
+                else:
+                    starts = np.arange(a, a + n)
+                    place = np.empty(n, PLACE)
+                    place["doc"], place["th"], place["start"] = doc, th, starts
+                    single.append((hashed.at(0, starts, starts + length), hashed.at(1, starts, starts + length), place))
+        columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
+        if single:
+            w1, w2, place = (np.concatenate(x) for x in zip(*single, strict=True))
+            order = np.lexsort((w2, w1))
+            w1, w2, place = w1[order], w2[order], place[order]
+            new = np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))
+            more = [pa.array(w1[new].view(np.int64)), pa.array(w2[new].view(np.int64)), pa.array(np.ones(new.sum(), np.int32)), pa.nulls(int(new.sum()), pa.binary()), grouped(new, place)]
+            columns = [pa.concat_arrays(x) for x in zip(columns, more, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "w2", "size", "bytes", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", BLOCK_BYTES):
-                out: list[list] = [[] for _ in range(8)]
-                for doc, th, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc", "th", "text", "runs")), strict=True):
-                    data = text.encode()
-                    hashed = Hashed(np.frombuffer(data, np.uint8)) if any(r["texts"] > MANY for r in runs) else None
-                    for r in runs:
-                        a, n = r["start"], r["size"]
-                        if r["texts"] <= MANY:
-                            row = (r["key"], doc, th, a, n, data[a : a + n - 1 + length], 0, 0)
-                            for column, value in zip(out, row, strict=True):
-                                column.append(value)
-                        else:
-                            starts = np.arange(a, a + n)
-                            w = [hashed.at(i, starts, starts + length).view(np.int64).tolist() for i in (0, 1)]
-                            for column, values in zip(out, (w[0], [doc] * n, [th] * n, starts.tolist(), [1] * n, [None] * n, w[0], w[1]), strict=True):
-                                column.extend(values)
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["key", "doc", "th", "start", "size", "bytes", "w1", "w2"])
+                yield block(batch)
 
     return run
 
 
-def resolved(length: int):
-    """Starts of strings that are found twice among the rows of a key, as runs."""
+def twice(*keys: np.ndarray) -> np.ndarray:
+    """Which entries have another one with equal keys."""
+    order = np.lexsort(keys)
+    same = np.ones(len(order) - 1, bool) if len(order) else np.zeros(0, bool)
+    for k in keys:
+        same &= k[order][1:] == k[order][:-1]
+    out = np.zeros(len(order), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def resolved(length: int, buckets: int):
+    """Starts of strings that are found twice among the rows of a key, as runs packed for buckets of documents."""
+
+    def of_texts(rows: pa.Table) -> np.ndarray:
+        key, size = rows.column("key").to_numpy(), rows.column("size").to_numpy()
+        data = rows.column("bytes").to_pylist()
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        place, _ = unpacked(rows.column("places"), np.arange(len(rows)))
+        row = np.repeat(np.arange(len(key)), size)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        hashed = Hashed(np.frombuffer(b"".join(data), np.uint8))
+        at = (np.cumsum(lengths) - lengths)[row] + step
+        found = np.flatnonzero(twice(hashed.at(1, at, at + length), hashed.at(0, at, at + length), key[row]))
+        head = np.append(True, (found[1:] != found[:-1] + 1) | (row[found[1:]] != row[found[:-1]])) if len(found) else np.zeros(0, bool)
+        first = found[head]
+        out = np.empty(len(first), SPAN)
+        out["doc"], out["th"], out["start"] = place["doc"][row[first]], place["th"][row[first]], place["start"][row[first]] + step[first]
+        out["size"] = np.diff(np.append(np.flatnonzero(head), len(found)))
+        return out
+
+    def of_strings(rows: pa.Table) -> np.ndarray:
+        place, each = unpacked(rows.column("places"), np.arange(len(rows)))
+        again = twice(rows.column("w2").to_numpy(), rows.column("key").to_numpy()) | (each > 1)
+        place = place[np.repeat(again, each)]
+        out = np.empty(len(place), SPAN)
+        out["doc"], out["th"], out["start"], out["size"] = place["doc"], place["th"], place["start"], 1
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in complete(batches, SPANS_AT_ONCE):
-            key, doc, th, start, size = (rows.column(c).to_numpy() for c in ("key", "doc", "th", "start", "size"))
-            data = rows.column("bytes").combine_chunks()
-            lengths = np.fromiter((len(b) if b is not None else 0 for b in data.to_pylist()), np.int64, len(key))
-            flat = b"".join(b for b in data.to_pylist() if b)
-            row = np.repeat(np.arange(len(key)), size)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            w1, w2 = (np.repeat(rows.column(c).to_numpy(), size).view(np.uint64) for c in ("w1", "w2"))
-            inside = lengths[row] > 0
-            if flat:
-                hashed = Hashed(np.frombuffer(flat, np.uint8))
-                at = (np.cumsum(lengths) - lengths)[row[inside]] + step[inside]
-                w1, w2 = w1.copy(), w2.copy()
-                w1[inside], w2[inside] = hashed.at(0, at, at + length), hashed.at(1, at, at + length)
-            order = np.lexsort((w2, w1, key[row]))
-            same = (key[row][order][1:] == key[row][order][:-1]) & (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])
-            twice = np.zeros(len(row), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
-            found = np.flatnonzero(twice)
-            if not len(found):
-                continue
-            head = np.append(True, (found[1:] != found[:-1] + 1) | (row[found[1:]] != row[found[:-1]]))
-            first = found[head]
-            n = np.diff(np.append(np.flatnonzero(head), len(found)))
-            columns = [doc[row[first]], th[row[first]], (start[row[first]] + step[first]).astype(np.int32), n.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "th", "start", "size"])
+            single = rows.column("bytes").is_null()
+            found = np.concatenate([f(part) for f, part in ((of_texts, rows.filter(pc.invert(single))), (of_strings, rows.filter(single))) if len(part)] or [np.empty(0, SPAN)])
+            if len(found):
+                bucket = (found["doc"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                bucket = bucket[order].astype(np.int32)
+                new = np.append(True, bucket[1:] != bucket[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[new]), grouped(new, found[order])], names=["bucket", "packed"])
 
     return run
 
 
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed runs of a bucket's documents to joined runs; rows come sorted by bucket."""
+
+    def joined(parts: list[bytes]) -> pa.RecordBatch:
+        x = np.frombuffer(b"".join(parts), SPAN)
+        x = x[np.lexsort((x["start"], x["th"], x["doc"]))]
+        own = np.append(True, (x["doc"][1:] != x["doc"][:-1]) | (x["th"][1:] != x["th"][:-1]))
+        # Ends grow along a document's runs once each document is lifted above the ones before.
+        lift = np.cumsum(own) * (1 << 32)
+        begin, reach = x["start"] + lift, np.maximum.accumulate(x["start"].astype(np.int64) + x["size"] + lift)
+        head = np.append(True, own[1:] | (begin[1:] > reach[:-1]))
+        first = np.flatnonzero(head)
+        size = reach[np.append(first[1:], len(x)) - 1] - begin[first]
+        return pa.RecordBatch.from_arrays([pa.array(x["doc"][first]), pa.array(x["th"][first]), pa.array(x["start"][first]), pa.array(size.astype(np.int32))], names=["doc", "th", "start", "size"])
+
+    now, parts = None, []
+    for batch in batches:
+        for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            if bucket != now and parts:
+                yield joined(parts)
+                parts = []
+            now = bucket
+            parts.append(packed)
+    if parts:
+        yield joined(parts)
+
+
 def removed(starts: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed spans [begin, end) that runs of repeated starts cover."""
     order = np.argsort(starts, kind="stable")
@@ -330,7 +397,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ragged = found.where("texts > 0").groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size", "key", "texts")).alias("runs"))
     # One of equal rows is enough, because a run is named by id and text.
     pieces = rows.join(ragged, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("doc", "th", "text", "runs").mapInArrow(spans(length), SPANS)
-    edges = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(resolved(length), "doc long, th int, start int, size int")
+    n_buckets = blocks(docs.count(), DOCS_PER_BUCKET)
+    edges = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(resolved(length, n_buckets), PACKED)
+    edges = edges.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged, "doc long, th int, start int, size int")
     repeats = found.where("texts = 0").select("doc", "th", "start", "size").unionByName(edges)
     repeats = repeats.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
     whole = docs.select(doc, F.hash(text).alias("th"), *[F.col(c).alias(f"__{c}") for c in keep], F.col(text).alias("text")).join(repeats, ["doc", "th"], "left")
