@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tracelake.plans import queries_codes, queries_joins, queries_messages
+from tracelake.plans.derived import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship", "queries_codes", "queries_joins", "queries_messages"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """The whole plan in miniature: class, process, subsystem, time and message of each event, counted."""
+    return queries_joins.flagship(spark, sf_dir)

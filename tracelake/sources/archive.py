@@ -74,29 +74,31 @@ def decoded(source: DataFrame, ddl: str, rows: Callable[[str, bytes], Iterator[d
     return source.mapInArrow(run, schema)
 
 
-def records(spark: SparkSession, roots: str | list[str], mode: str = "PERMISSIVE") -> DataFrame:
-    """Every record of the trace files: evidence, catalog_seq, chunk_seq, kind and the column of that kind."""
+def of_kind(source: DataFrame, kind: str) -> DataFrame:
+    return source.where(file_kind(F.col("path")) == kind)
+
+
+def records_of(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+    """Every record of trace files (path, content): evidence, catalog_seq, chunk_seq, kind and the column of that kind."""
     strict = mode.upper() == "FAILFAST"
 
     def rows(path: str, content: bytes) -> Iterator[dict]:
         for kind, catalog_seq, chunk_seq, record in codec.trace_file(content, strict):
             yield {"evidence": path, "catalog_seq": catalog_seq, "chunk_seq": chunk_seq, "kind": kind, kind: record}
 
-    return decoded(files(spark, roots, "TraceV3"), schemas.RECORD_DDL, rows, strict)
+    return decoded(source, schemas.RECORD_DDL, rows, strict)
 
 
-def single_file(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """Records of one trace file wherever it is."""
-    strict = mode.upper() == "FAILFAST"
+def records(spark: SparkSession, roots: str | list[str], mode: str = "PERMISSIVE") -> DataFrame:
+    return records_of(files(spark, roots, "TraceV3"), mode)
 
-    def rows(at: str, content: bytes) -> Iterator[dict]:
-        for kind, catalog_seq, chunk_seq, record in codec.trace_file(content, strict):
-            yield {"evidence": at, "catalog_seq": catalog_seq, "chunk_seq": chunk_seq, "kind": kind, kind: record}
 
-    return decoded(spark.read.format("binaryFile").load(path).select("path", "content"), schemas.RECORD_DDL, rows, strict)
+def single_file(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+    """Records of one trace file wherever it is."""
+    return records_of(spark.read.format("binaryFile").load(path).select("path", "content"), mode)
 
 
-def timesync(spark: SparkSession, roots: str | list[str], mode: str = "PERMISSIVE") -> DataFrame:
+def timesync_of(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """A row for each clock record, and one with null seq for each boot."""
 
     def rows(path: str, content: bytes) -> Iterator[dict]:
@@ -106,7 +108,11 @@ def timesync(spark: SparkSession, roots: str | list[str], mode: str = "PERMISSIV
             for i, r in enumerate(boot["records"]):
                 yield own | {"seq": i, "kernel_time": r["kernel_time"], "walltime": r["walltime"]}
 
-    return decoded(files(spark, roots, "Timesync"), schemas.TIMESYNC_DDL, rows, mode.upper() == "FAILFAST")
+    return decoded(source, schemas.TIMESYNC_DDL, rows, mode.upper() == "FAILFAST")
+
+
+def timesync(spark: SparkSession, roots: str | list[str], mode: str = "PERMISSIVE") -> DataFrame:
+    return timesync_of(files(spark, roots, "Timesync"), mode)
 
 
 def wanted(found: DataFrame, needed: DataFrame | None) -> DataFrame:
@@ -114,7 +120,7 @@ def wanted(found: DataFrame, needed: DataFrame | None) -> DataFrame:
     return found if needed is None else found.join(needed.select("uuid").distinct(), "uuid", "left_semi")
 
 
-def uuidtext(spark: SparkSession, roots: str | list[str], needed: DataFrame | None = None, mode: str = "PERMISSIVE") -> DataFrame:
+def uuidtext_of(source: DataFrame, needed: DataFrame | None = None, mode: str = "PERMISSIVE") -> DataFrame:
     """String files: uuid (32 digits), image path, ranges and the bytes they cut. needed: (uuid) to read only those."""
 
     def rows(path: str, content: bytes) -> Iterator[dict]:
@@ -124,16 +130,24 @@ def uuidtext(spark: SparkSession, roots: str | list[str], needed: DataFrame | No
             raise codec.Malformed("path lies outside the file")
         yield {"uuid": "".join(path.split("/")[-2:]).upper(), "path": path, "image": codec.text_to_zero(found["footer"][at:]), **found}
 
-    found = files(spark, roots, "UUIDText").withColumn("uuid", F.upper(F.concat(F.element_at(F.split("path", "/"), -2), F.element_at(F.split("path", "/"), -1))))
+    found = source.withColumn("uuid", F.upper(F.concat(F.element_at(F.split("path", "/"), -2), F.element_at(F.split("path", "/"), -1))))
     return decoded(wanted(found, needed).select("path", "content"), schemas.UUIDTEXT_DDL, rows, mode.upper() == "FAILFAST")
 
 
-def dsc(spark: SparkSession, roots: str | list[str], needed: DataFrame | None = None, mode: str = "PERMISSIVE") -> DataFrame:
+def uuidtext(spark: SparkSession, roots: str | list[str], needed: DataFrame | None = None, mode: str = "PERMISSIVE") -> DataFrame:
+    return uuidtext_of(files(spark, roots, "UUIDText"), needed, mode)
+
+
+def dsc_of(source: DataFrame, needed: DataFrame | None = None, mode: str = "PERMISSIVE") -> DataFrame:
     """Shared string files: uuid, ranges, images; content has the ranges' bytes in their order."""
 
     def rows(path: str, content: bytes) -> Iterator[dict]:
         found = codec.shared_strings(content)
         yield {"uuid": path.split("/")[-1].upper(), "path": path, "ranges": found["ranges"], "images": found["images"], "content": b"".join(r["data"] for r in found["ranges"])}
 
-    found = files(spark, roots, "Dsc").withColumn("uuid", F.upper(F.element_at(F.split("path", "/"), -1)))
+    found = source.withColumn("uuid", F.upper(F.element_at(F.split("path", "/"), -1)))
     return decoded(wanted(found, needed).select("path", "content"), schemas.DSC_DDL, rows, mode.upper() == "FAILFAST")
+
+
+def dsc(spark: SparkSession, roots: str | list[str], needed: DataFrame | None = None, mode: str = "PERMISSIVE") -> DataFrame:
+    return dsc_of(files(spark, roots, "Dsc"), needed, mode)

@@ -30,13 +30,14 @@ def header(boot_uuid: str, timezone: str = "/usr/share/zoneinfo/Europe/Paris", n
 
 def catalog(processes: list[dict], uuids: list[str]) -> bytes:
     """processes: p1, p2, pid, euid, main and dsc (places in uuids), images [(size, place, address)], subsystems [(id, subsystem, category)]."""
-    strings = b""
+    strings, places = b"", {}
 
     def place(text: str) -> int:
         nonlocal strings
-        at = len(strings)
-        strings += text.encode() + b"\0"
-        return at
+        if text not in places:
+            places[text] = len(strings)
+            strings += text.encode() + b"\0"
+        return places[text]
 
     entries = b""
     for p in processes:
@@ -166,7 +167,11 @@ def sample(events: list[tuple[int, int, float, str]], boot_uuid: str = "B0" * 16
     parts = []
     for p, own in by_person.items():
         for i in range(0, len(own), per_chunk):
-            out, private, big = [], b"", []
+            out, big, secrets = [], [], {}
+            for n, _, _, name in own[i : i + per_chunk]:
+                if n % 9 == 2 and name not in secrets:
+                    secrets[name] = sum(len(x) + 1 for x in secrets)
+            private = b"".join(x.encode() + b"\0" for x in secrets)
             for n, _, value, name in own[i : i + per_chunk]:
                 body = struct.pack("<II", n, 0x80000000)
                 kind = n % 9
@@ -175,9 +180,8 @@ def sample(events: list[tuple[int, int, float, str]], boot_uuid: str = "B0" * 16
                 elif kind == 1:
                     out.append(event(4, body + struct.pack("<IH", 5, 2), [number_item(int(value * 100), 8), text_item(0x22, name)], 0x203, at["value %llu of %s"], 2, delta=n))
                 elif kind == 2:
-                    secret = name.encode() + b"\0"
-                    out.append(event(4, body + struct.pack("<HHI", 0x1000, len(secret), 5), [(struct.pack("<BBHH", 0x21, 4, 0, len(secret)), b"")], 0x103, at["hidden %s"], 16, delta=n))
-                    private = private or secret
+                    size = len(name) + 1
+                    out.append(event(4, body + struct.pack("<HHI", 0x1000 - len(private) + secrets[name], size, 5), [(struct.pack("<BBHH", 0x21, 4, 0, size), b"")], 0x103, at["hidden %s"], 16, delta=n))
                 elif kind == 3:
                     out.append(event(4, body + struct.pack("<I", 5), [text_item(0x22, name)], 0x5, at_cache["shared %s"], 17, delta=n))
                 elif kind == 4:
@@ -191,10 +195,6 @@ def sample(events: list[tuple[int, int, float, str]], boot_uuid: str = "B0" * 16
                 else:
                     big.append(oversize(p + 1, 2, n, [text_item(0x22, name * 3)]))
                     out.append(event(4, body + struct.pack("<II", 5, n), [], 0x803, at["hidden %s"], 0, delta=n))
-            # Private texts share one place at the end of the chunk's virtual page.
-            if private:
-                virtual = 0x1000 - len(private)
-                out = [x.replace(struct.pack("<HHI", 0x1000, len(private), 5), struct.pack("<HHI", virtual, len(private), 5)) for x in out]
             parts += [firehose(p + 1, 2, 1000, out, private), *big]
     parts += [simpledump(11, 12, 5000, other, shared, "com.example.dump", "simple text"), statedump(11, 12, 6000, 3, "CLClientManagerStateTracker", struct.pack("<II", 1, 0), "location", "_state")]
     files += [chunkset(parts[i : i + 64], packed=i % 128 == 0) for i in range(0, len(parts), 64)]
