@@ -1 +1,137 @@
+"""Queries of message formatting, and of whole archives encoded from the event table."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+from tracelake.functions.tables import MISSING
+from tracelake.operators.printf import TOKEN, format_log
+from tracelake.plans.assemble import event_table, signpost_prefix, with_backtrace
+from tracelake.plans.derived import query, table
+
+
+def item(kind: int, text: Column, size: int = 1) -> Column:
+    return F.struct(F.lit(kind).alias("item_type"), F.lit(size).alias("item_size"), text.cast("string").alias("message_strings"))
+
+
+@query("q_format_tokens", "SELECT doc_id, len(regexp_extract_all(s, '%[-+0 #]*[0-9]*[dsxu@%]')) AS n FROM (SELECT doc_id, 'a %d b %s' || repeat(' %x', CAST(doc_id % 5 AS BIGINT)) || lang || ' 100%% %5u' AS s FROM documents)")
+def format_tokens(spark, d):
+    s = F.concat(F.lit("a %d b %s"), F.repeat(F.lit(" %x"), (F.col("doc_id") % 5).cast("int")), F.col("lang"), F.lit(" 100%% %5u"))
+    return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all(s, F.lit(TOKEN), 1)).cast("bigint").alias("n"))
+
+
+@query("q_printf_int", "SELECT event_id, CAST(n AS VARCHAR) AS plain, lpad(CAST(n AS VARCHAR), CAST(greatest(8, length(CAST(n AS VARCHAR))) AS INTEGER), '0') AS zeros, '+' || lpad(CAST(n AS VARCHAR), CAST(greatest(7, length(CAST(n AS VARCHAR))) AS INTEGER), ' ') AS plus, rpad(CAST(n AS VARCHAR), CAST(greatest(8, length(CAST(n AS VARCHAR))) AS INTEGER), ' ') || '|' AS lefts FROM (SELECT event_id, event_id * 37 - 5000 AS n FROM events)")
+def printf_int(spark, d):
+    own = F.array(item(2, F.col("event_id") * 37 - 5000))
+    show = lambda f: format_log(F.lit(f), own)
+    return table(spark, d, "events").select("event_id", show("%d").alias("plain"), show("%08d").alias("zeros"), show("%+8d").alias("plus"), show("%-8d|").alias("lefts"))
+
+
+@query("q_printf_hex_oct", "SELECT event_id, hex(n) AS hexa, lpad('0x' || hex(n), CAST(greatest(10, length(hex(n)) + 2) AS INTEGER), ' ') AS prefixed, format('{:o}', n) AS octal, lpad('0o' || format('{:o}', n), CAST(greatest(10, length(format('{:o}', n)) + 2) AS INTEGER), '0') AS octals, rpad(hex(n), CAST(greatest(8, length(hex(n))) AS INTEGER), '0') AS lefts FROM (SELECT event_id, event_id * 7919 AS n FROM events)")
+def printf_hex_oct(spark, d):
+    own = F.array(item(2, F.col("event_id") * 7919))
+    show = lambda f: format_log(F.lit(f), own)
+    return table(spark, d, "events").select("event_id", show("%x").alias("hexa"), show("%#10x").alias("prefixed"), show("%o").alias("octal"), show("%#010o").alias("octals"), show("%-8x").alias("lefts"))
+
+
+@query("q_printf_str", "SELECT event_id, '[' || event_type || ']' AS plain, substr(event_type, 1, 3) AS cut, lpad(event_type, CAST(greatest(10, length(event_type)) AS INTEGER), ' ') AS rights, rpad(substr(event_type, 1, 2), 6, ' ') || '|' AS lefts FROM events")
+def printf_str(spark, d):
+    own = F.array(item(0x22, F.col("event_type")))
+    show = lambda f: format_log(F.lit(f), own)
+    return table(spark, d, "events").select("event_id", show("[%{public}s]").alias("plain"), show("%.3@").alias("cut"), show("%10s").alias("rights"), show("%-6.2s|").alias("lefts"))
+
+
+@query("q_printf_float", "SELECT l_orderkey, l_linenumber, format('{:.3f}', x) AS three, lpad(format('{:.1f}', x), CAST(greatest(10, length(format('{:.1f}', x))) AS INTEGER), '0') AS zeros, CASE WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE CAST(x AS VARCHAR) END AS shortest FROM (SELECT l_orderkey, l_linenumber, l_quantity * 0.25 AS x FROM (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS l_quantity FROM lineitem))")
+def printf_float(spark, d):
+    # A double travels as the number that its bits make.
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", bits_of(F.col("l_quantity").cast("double") * 0.25).alias("b"))
+    own = F.array(item(2, F.col("b")))
+    show = lambda f: format_log(F.lit(f), own)
+    return rows.select("l_orderkey", "l_linenumber", show("%.3f").alias("three"), show("%010.1f").alias("zeros"), show("%f").alias("shortest"))
+
+
+@F.pandas_udf(LongType())
+def bits_of(value: pd.Series) -> pd.Series:
+    return pd.Series(value.to_numpy("float64").view("int64"))
+
+
+@query("q_printf_splice", f"SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a {MISSING} b {MISSING} 100%' WHEN 1 THEN 'a ' || event_id || ' b {MISSING} 100%' ELSE 'a ' || event_id || ' b %d ' || event_type || ' 100%' END AS message FROM events")
+def printf_splice(spark, d):
+    one, two = item(2, F.col("event_id")), item(0x22, F.concat(F.lit("%d "), F.col("event_type")))
+    own = F.when(F.col("event_id") % 3 == 0, F.array().cast("array<struct<item_type:int,item_size:int,message_strings:string>>")).when(F.col("event_id") % 3 == 1, F.array(one)).otherwise(F.array(one, two))
+    return table(spark, d, "events").select("event_id", format_log(F.lit("a %d b %s 100%%"), own).alias("message"))
+
+
+@query("q_signpost_prefix", "SELECT event_id, 'Signpost ID: ' || hex(event_id * 4294967311) || ' - Signpost Name: ' || hex(user_id + 2147483648) || chr(10) || ' ' || event_type AS message FROM events")
+def signposts(spark, d):
+    return table(spark, d, "events").select("event_id", F.concat(signpost_prefix(F.col("event_id") * 4294967311, F.col("user_id") + 2147483648), "event_type").alias("message"))
+
+
+@query("q_backtrace_prefix", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'Backtrace:' || chr(10) || '\"' || hex(event_id) || '\" +0x' || user_id || chr(10) || '\"0\" +0x1' || chr(10) || event_type END AS message FROM events")
+def backtraces(spark, d):
+    lines = F.when(F.col("event_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit('"'), F.hex("event_id"), F.lit('" +0x'), F.col("user_id").cast("string")), F.lit('"0" +0x1')))
+    return table(spark, d, "events").select("event_id", with_backtrace(F.col("event_type"), lines).alias("message"))
+
+
+# Whole archives: every boot's events are encoded to the files of an archive and decoded again by the full plan.
+
+
+def archives(e: DataFrame, per_boot: int = 2500) -> DataFrame:
+    """(path, content) of one archive a boot of per_boot events; boots are encoded side by side."""
+    from tracelake.sources.encode import sample
+
+    def encode(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        boot = int(key[0])
+        made = sample([(int(n), int(u), float(v), str(k)) for n, u, v, k in rows.sort_values("event_id")[["event_id", "user_id", "value", "event_type"]].itertuples(index=False)], f"{boot + 1:032X}")
+        return pd.DataFrame({"path": [f"/boot{boot:06d}/{name}" for name in made], "content": list(made.values())})
+
+    return e.withColumn("boot", F.floor(F.col("event_id") / per_boot)).groupBy("boot").applyInPandas(encode, "path string, content binary")
+
+
+def archive_events(e: DataFrame) -> DataFrame:
+    """The event table of the archives of all boots."""
+    from tracelake.sources import archive
+
+    files = archives(e).persist()
+    records = archive.records_of(archive.of_kind(files, "TraceV3"), "FAILFAST").persist()
+    # All boots have the same string files; one of each is enough.
+    name = F.element_at(F.split("path", "/"), -1)
+    texts, shared = (archive.of_kind(files, k).groupBy(name).agg(F.min_by(F.struct("path", "content"), "path").alias("f")).select("f.*") for k in ("UUIDText", "Dsc"))
+    return event_table(records, archive.timesync_of(archive.of_kind(files, "Timesync")), archive.uuidtext_of(texts), archive.dsc_of(shared))
+
+
+ARCHIVE_SQL = """
+WITH e AS (SELECT event_id AS n, user_id AS p, event_type AS name, CAST(trunc(value * 100) AS BIGINT) AS v, event_id % 9 AS k, event_id // 2500 AS boot FROM events),
+m AS (
+  SELECT *, CASE k WHEN 0 THEN 'user ' || p || ' did ' || name WHEN 1 THEN 'value ' || v || ' of ' || name WHEN 2 THEN 'hidden ' || name WHEN 3 THEN 'shared ' || name
+    WHEN 4 THEN 'plugin says ' || name WHEN 5 THEN 'relative ' || n WHEN 6 THEN 'activity ' || name WHEN 7 THEN 'user ' || n || ' did ' || name ELSE 'hidden ' || name || name || name END AS said
+  FROM e
+)
+SELECT n AS activity_id, 100 + p AS pid, p % 3 AS euid,
+  CASE WHEN k = 7 THEN 'Signpost ID: 4D - Signpost Name: 0' || chr(10) || ' ' || said ELSE said END AS message,
+  CASE k WHEN 6 THEN 'Activity' WHEN 7 THEN 'Signpost' ELSE 'Log' END AS event_type,
+  CASE k WHEN 0 THEN 'Info' WHEN 1 THEN 'Debug' WHEN 2 THEN 'Error' WHEN 3 THEN 'Fault' WHEN 6 THEN 'Create' WHEN 7 THEN 'ProcessSignpostStart' ELSE 'Default' END AS log_type,
+  CASE WHEN k IN (0, 7) THEN 'com.example.core' WHEN k = 1 THEN 'com.example.net' ELSE '' END AS subsystem,
+  CASE WHEN k IN (0, 7) THEN 'events' ELSE '' END AS category,
+  CASE WHEN k IN (3, 6) THEN '/System/Library/Shared' WHEN k = 4 THEN '/usr/lib/plugin.dylib' WHEN k = 5 THEN '/usr/lib/other.dylib' ELSE '/usr/libexec/maind' END AS library,
+  '/usr/libexec/maind' AS process, format('{:032X}', boot + 1) AS boot_uuid, 'Paris' AS timezone_name,
+  CASE WHEN 1000 + n < 3000 THEN (1000 + n)::DOUBLE + 1700000000000000500::DOUBLE ELSE ((1000 + n)::DOUBLE - 3000::DOUBLE) + 1700000000000004000::DOUBLE END AS time
+FROM m
+"""
+
+
+@query("q_archive_events", ARCHIVE_SQL)
+def archive_rows(spark, d):
+    e = archive_events(table(spark, d, "events").select("event_id", "user_id", "value", "event_type"))
+    return e.where(F.col("section") == 0).select("activity_id", "pid", "euid", "message", "event_type", "log_type", "subsystem", "category", "library", "process", "boot_uuid", "timezone_name", "time")
+
+
+@query("q_archive_counts")
+def archive_counts(spark, d):
+    """Rows of each kind, dumps included, of all archives."""
+    e = archive_events(table(spark, d, "events").select("event_id", "user_id", "value", "event_type"))
+    return e.groupBy("event_type", "log_type").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
 
