@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import table
+from tracelake.llm.common import table, tidy
 
-BLOCK_CHARS, CACHE_WORDS = 3_000_000, 200_000
+BLOCK_CHARS, CACHE_WORDS = 2_000_000, 150_000
 NONE = np.int64(1 << 62)
 #: A space or line feed after any other character always begins a new match of the pattern, if no other white space is near.
 PIECE, OTHER_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -198,6 +198,7 @@ def encoding(ranks: Broadcast, pattern: str, text: str, ids: str) -> Step:
         for whole in batches:
             for batch in slices(whole, text, BLOCK_CHARS):
                 yield with_column(batch, ids, pa.array(own.block([t or "" for t in batch.column(text).to_pylist()]), pa.binary()))
+        own.known.clear()
 
     return run
 
@@ -221,7 +222,7 @@ def mapped(docs: DataFrame, steps: list[Step], names: list[str]) -> DataFrame:
             batches = step(batches)
         yield from batches
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.BinaryType()) for n in names)]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *(T.StructField(n, T.BinaryType()) for n in names)]))
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

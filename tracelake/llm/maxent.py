@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.bpe import slices
-from tracelake.llm.common import blocks, crc_mod, cut, table
+from tracelake.llm.common import blocks, crc_mod, cut, table, tidy
 
 CLASSES, OWN = 128, 63  # class 0: end; 1..OWN: one word each; the rest: by last bytes
 SHAPES = CLASSES - OWN - 1
@@ -42,7 +42,7 @@ PAIR_ROWS = 2048
 ROWS = 1 + 2 * CLASSES + PAIR_ROWS
 DOCS_PER_BLOCK, SHARDS, GROUPS, STEP_TASKS = 1024, 64, 16, 4
 STEPS, RATE, RIDGE = 30, 0.25, 1e-7
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
 ADDED = 0.1
 
 
@@ -321,8 +321,8 @@ def score(docs: DataFrame) -> DataFrame:
     ends = docs.where("not held_out").count()
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
     words = dealt.select("block", (~F.col("held_out")).alias("train"), "text").repartition("block").sortWithinPartitions("block")
-    words = words.mapInArrow(packed, "block long, shard long, words binary, counts binary, shapes binary")
-    counts = cut(words.repartition("shard").sortWithinPartitions("shard").mapInArrow(summed, SUMMED))
+    words = words.mapInArrow(tidy(packed), "block long, shard long, words binary, counts binary, shapes binary")
+    counts = cut(words.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(summed), SUMMED))
     # A row of OWN words and a row of class totals from each shard.
     found = counts.where("block is null").select("top", "per_class").collect()
     per_class = sum((np.frombuffer(r["per_class"], np.int64).reshape(4, CLASSES) for r in found), np.zeros((4, CLASSES), np.int64)).copy()
@@ -334,8 +334,8 @@ def score(docs: DataFrame) -> DataFrame:
     per_class[0, 0] = ends
     own = {word: i + 1 for i, (_, word, _) in enumerate(top)}
     tokens = int(per_class[0].sum())
-    seen = docs.where("not held_out").select("text").mapInArrow(trigrams(own), "g long, codes binary, counts binary")
-    seen = cut(seen.repartition(GROUPS, "g").mapInArrow(added, "codes binary, counts binary").coalesce(STEP_TASKS))
+    seen = docs.where("not held_out").select("text").mapInArrow(tidy(trigrams(own)), "g long, codes binary, counts binary")
+    seen = cut(seen.repartition(GROUPS, "g").mapInArrow(tidy(added), "codes binary, counts binary").coalesce(STEP_TASKS))
     prior = (per_class[0] + 0.5) / (tokens + 0.5 * CLASSES)
     model = Model(own, per_class, train(seen, prior, tokens), tokens, n_words)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.llm.bpe import slices, with_column
-from tracelake.llm.common import components, cut, equal_runs, roots, table
+from tracelake.llm.common import components, cut, equal_runs, roots, table, tidy
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = [(0, 21), (21, 21), (42, 22)]
-HALF, AT_ONCE, SMALL = 1024, 200_000, 20_000
+HALF, AT_ONCE, SMALL, BLOCK_BYTES = 1024, 200_000, 20_000, 2_000_000
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -86,13 +86,13 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text, 8_000_000):
+            for batch in slices(whole, text, BLOCK_BYTES):
                 found = fingerprints([shingle_hashes(t) for t in batch.column(text).to_pylist()])
                 kept = batch.drop_columns([text])
                 yield with_column(kept, name, pa.array(found.view(np.int64)))
 
     kept = [f for f in docs.schema.fields if f.name != text]
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.LongType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*kept, T.StructField(name, T.LongType())]))
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def near_links(fps: DataFrame) -> DataFrame:
         rows = rows.select("fp", (F.expr("shiftleft(key, 34)") + pair.cast("long")).alias("cell"))
     else:
         rows = rows.select("fp", F.expr("shiftleft(key, 34)").alias("cell"))
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(linked, "a long, b long").distinct()
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(linked), "a long, b long").distinct()
 
 
 def classes(rows: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.bpe import slices
-from tracelake.llm.common import blocks, cut, table
+from tracelake.llm.common import blocks, cut, table, tidy
 
 LENGTH = 400
 BLOCK_BYTES, MANY, AT_ONCE, SPANS_AT_ONCE, DOCS_PER_BUCKET = 1_000_000, 256, 8_000_000, 2_000_000, 1024
@@ -392,19 +392,19 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keep = [doc_id] if keep is None else keep
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc")
     rows = docs.select(doc, F.hash(text).alias("th"), F.col(text).alias("text"))
-    runs = rows.where(F.octet_length("text") >= length).mapInArrow(scan(length), RUNS)
-    found = cut(runs.repartition("key").sortWithinPartitions("key", "s1", "s2").mapInArrow(classified, FOUND))
+    runs = rows.where(F.octet_length("text") >= length).mapInArrow(tidy(scan(length)), RUNS)
+    found = cut(runs.repartition("key").sortWithinPartitions("key", "s1", "s2").mapInArrow(tidy(classified), FOUND))
     ragged = found.where("texts > 0").groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size", "key", "texts")).alias("runs"))
     # One of equal rows is enough, because a run is named by id and text.
-    pieces = rows.join(ragged, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("doc", "th", "text", "runs").mapInArrow(spans(length), SPANS)
+    pieces = rows.join(ragged, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("doc", "th", "text", "runs").mapInArrow(tidy(spans(length)), SPANS)
     n_buckets = blocks(docs.count(), DOCS_PER_BUCKET)
-    edges = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(resolved(length, n_buckets), PACKED)
-    edges = edges.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged, "doc long, th int, start int, size int")
+    edges = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(resolved(length, n_buckets)), PACKED)
+    edges = edges.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(merged), "doc long, th int, start int, size int")
     repeats = found.where("texts = 0").select("doc", "th", "start", "size").unionByName(edges)
     repeats = repeats.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
     whole = docs.select(doc, F.hash(text).alias("th"), *[F.col(c).alias(f"__{c}") for c in keep], F.col(text).alias("text")).join(repeats, ["doc", "th"], "left")
     types = ", ".join(f"`__{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = whole.mapInArrow(cleaned(length, as_text), f"{types}, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept {'string' if as_text else 'binary'}")
+    out = whole.mapInArrow(tidy(cleaned(length, as_text)), f"{types}, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept {'string' if as_text else 'binary'}")
     return out.select(*[F.col(f"__{c}").alias(c) for c in keep if c.lower() not in ("n_bytes", "n_removed", "spans", "kept")], "n_bytes", "n_removed", "spans", "kept")
 
 

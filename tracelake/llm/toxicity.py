@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.llm.bpe import slices
-from tracelake.llm.common import crc_mod, table
+from tracelake.llm.common import crc_mod, table, tidy
 
 TRAIN_DOCS = 20_000
 STEMS, EDGE = (4, 5, 6), b".,;:!?\"'()[]{}<>|*_-"
 PRIOR_SHARE, Z_LEAST, DRIFT, ALPHA = 0.01, 2.5, -0.5, 0.05
-BLOCK_BYTES, CACHE_WORDS = 8_000_000, 300_000
+BLOCK_BYTES, CACHE_WORDS = 2_000_000, 150_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -176,7 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     # train_docs rows of two numbers at most: small enough to broadcast at any input size.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    counts = rows.mapInArrow(counted, "feature binary, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = rows.mapInArrow(tidy(counted), "feature binary, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     whole = counts.where(F.octet_length("feature") == 0).first()
     n0, n1 = (whole["clean"], whole["toxic"]) if whole else (0, 0)
     if not n0 or not n1:
@@ -241,10 +241,11 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep_text: bool =
                 score = pa.array([m.probability(f) for f, _ in got], pa.float64())
                 spans = pa.array([[{"begin": b, "end": e, "score": s} for b, e, s in p] for _, p in got], PASSAGES)
                 yield pa.RecordBatch.from_arrays([*kept.columns, score, spans], names=[*kept.schema.names, *names])
+        m.known.clear()
 
     kept = [f for f in docs.schema.fields if keep_text or f.name != text]
     spans = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], spans)]))
+    return docs.mapInArrow(tidy(run), T.StructType([*kept, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], spans)]))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
