@@ -3,8 +3,8 @@
 Options: path (a directory, or mode=live for the system's own), kind (firehose,
 oversize, statedump, simpledump, header or catalog; all without it), mode
 (PERMISSIVE or FAILFAST). One partition a file; files are told apart on the
-driver by their paths. Equality on kind and evidence is pushed into the reader
-where spark.sql.python.filterPushdown.enabled is set. It reads local paths;
+driver by their paths. Equality on kind and evidence is pushed into the reader.
+It reads local paths;
 ``tracelake.sources.archive`` reads any file system through Spark.
 """
 
@@ -78,6 +78,8 @@ class TraceLog(DataSource):
 
 
 def register(spark) -> None:
+    """Makes the source and the SQL function format_log known to a session, with filter push-down on."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TraceLog)
     spark.udf.register("format_log", _format_log())
 
