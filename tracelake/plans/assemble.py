@@ -57,7 +57,7 @@ def event_table(records: DataFrame, timesync: DataFrame, uuidtext: DataFrame, ds
     """The event table of decoded records. exclude_missing leaves events out whose values were never found."""
     head = headers(records)
     people = procs.processes(records)
-    events = firehose_events(records).join(F.broadcast(head), "evidence", "left")
+    events = firehose_events(records).join(head, "evidence", "left")
     events = procs.with_process(events, people)
     events = procs.with_subsystem(events, procs.subsystems(people))
     events = strings.routed(events)
@@ -79,9 +79,9 @@ def event_table(records: DataFrame, timesync: DataFrame, uuidtext: DataFrame, ds
         "raw_message": F.when(kind == 3, "").otherwise(F.col("raw_message")), "message_entries": F.col("items"),
         "subsystem": F.when(kind == 4, F.col("subsystem")).when(kind == 6, F.col("subsystem")).otherwise(""), "category": F.when(kind.isin(4, 6), F.col("category")).otherwise(""),
     })
-    simple = procs.of_kind(records, "simpledump").join(F.broadcast(head), "evidence", "left").withColumns({"continuous_time": F.col("time"), "base_time": F.lit(1).cast("bigint")})
+    simple = procs.of_kind(records, "simpledump").join(head, "evidence", "left").withColumns({"continuous_time": F.col("time"), "base_time": F.lit(1).cast("bigint")})
     simple = timeline.with_time(simple, timesync).withColumns({"pid": F.col("p1"), "library_uuid": F.col("sender_uuid"), "process_uuid": F.col("dsc_uuid"), "event_type": F.lit("Simpledump"), "log_type": F.lit("Simpledump")})
-    dumps = procs.of_kind(records, "statedump").join(F.broadcast(head), "evidence", "left").withColumns({"continuous_time": F.col("time"), "base_time": F.lit(1).cast("bigint")})
+    dumps = procs.of_kind(records, "statedump").join(head, "evidence", "left").withColumns({"continuous_time": F.col("time"), "base_time": F.lit(1).cast("bigint")})
     text = F.concat(F.lit("title: "), "title", F.lit("\nObject Type: "), "library", F.lit("\nObject Type: "), "decoder", F.lit("\n"), state_text("data_type", "title", "data"))
     dumps = timeline.with_time(dumps, timesync).withColumns({"pid": F.col("p1"), "message": text, "library": F.lit(""), "event_type": F.lit("Statedump"), "log_type": F.lit("Statedump")})
     return finished(stamped(events), 0).unionByName(finished(stamped(simple), 1)).unionByName(finished(stamped(dumps), 2))

@@ -4,7 +4,8 @@ The reading rule scans a boot's records in order and stops at the first whose
 kernel time is greater than the event's; so record i counts exactly if the
 greatest kernel time up to it is not above the event's time. With that running
 maximum and its successor the winner is the one row with low <= t < high, an
-equi-join on the boot with a range condition, right even for unsorted lists.
+equi-join on the boot and a time bucket with a range condition, right even for
+unsorted lists.
 """
 
 from __future__ import annotations
@@ -44,25 +45,37 @@ def fused(a: Column, b: Column, c: Column, d: Column) -> Column:
     return ((p - c) + error) + d
 
 
+def bucket_of(t: Column) -> Column:
+    """The bucket of a time among __n equal ones from __from on; -1 before them and __n after."""
+    return F.greatest(F.lit(-1), F.least(F.col("__n"), F.floor((t - F.col("__from")) / F.col("__step"))))
+
+
 def with_time(events: DataFrame, timesync: DataFrame) -> DataFrame:
     """events (boot_uuid, continuous_time, base_time) with time: nanoseconds since 1970 as a double.
 
     Before the first record an event takes that record, or, if its base time is
     zero, the boot's own time; a boot without records or an unknown boot gives
-    the boot time or zero.
+    the boot time or zero. A boot's span is cut into as many buckets as it has
+    records, so the join is by equality of boot and bucket and an event meets the
+    few records near it, not all of its boot.
     """
-    t = F.col("continuous_time")
-    known = events.join(F.broadcast(boots(timesync)), "boot_uuid", "left")
-    spans = intervals(timesync)
-    inside = (F.col("s.boot_uuid") == F.col("e.boot_uuid")) & (F.col("s.low").isNull() | (F.col("s.low") <= t)) & (F.col("s.high").isNull() | (t < F.col("s.high")))
-    joined = known.alias("e").join(spans.alias("s"), inside, "left").select("e.*", F.col("s.low").alias("__low"), F.col("s.kernel_time").alias("__k"), F.col("s.walltime").alias("__w"))
+    t, times = F.col("continuous_time"), intervals(timesync)
+    span = times.groupBy("boot_uuid").agg(F.min("low").alias("__from"), F.max("low").alias("__to"), F.count("*").alias("__n"))
+    span = span.withColumn("__step", F.greatest(F.lit(1.0), (F.col("__to") - F.col("__from")) / F.col("__n"))).drop("__to")
+    known = events.join(boots(timesync), "boot_uuid", "left").join(span, "boot_uuid", "left").withColumn("__bucket", bucket_of(t))
+    first = F.when(F.col("low").isNull(), F.lit(-1)).otherwise(bucket_of(F.col("low")))
+    last = F.when(F.col("high").isNull(), F.col("__n")).otherwise(bucket_of(F.col("high")))
+    times = times.join(span, "boot_uuid").withColumn("__bucket", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint")))).drop("__from", "__n", "__step")
+    same = (F.col("s.boot_uuid") == F.col("e.boot_uuid")) & (F.col("s.__bucket") == F.col("e.__bucket"))
+    inside = same & (F.col("s.low").isNull() | (F.col("s.low") <= t)) & (F.col("s.high").isNull() | (t < F.col("s.high")))
+    joined = known.alias("e").join(times.alias("s"), inside, "left").select("e.*", F.col("s.low").alias("__low"), F.col("s.kernel_time").alias("__k"), F.col("s.walltime").alias("__w"))
     own_boot = (F.col("base_time") == 0) & F.col("__low").isNull()
     k = F.when(own_boot, 0).otherwise(F.coalesce("__k", F.lit(0))).cast("double")
     w = F.when(own_boot, F.coalesce("boot_time", F.lit(0))).otherwise(F.coalesce("__w", F.lit(0))).cast("double")
     f = F.coalesce("factor", F.lit(1.0))
     time = F.when(f == 1.0, (t.cast("double") - k) + w).otherwise(fused(t.cast("double"), f, k * f, w))
     # An unknown boot has no clock at all: its events keep their own ticks.
-    return joined.withColumn("time", time).drop("__low", "__k", "__w", "boot_time", "factor")
+    return joined.withColumn("time", time).drop("__low", "__k", "__w", "__from", "__n", "__step", "__bucket", "boot_time", "factor")
 
 
 def iso_nanos(nanos: Column) -> Column:
