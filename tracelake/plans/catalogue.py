@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.plans import queries_codes, queries_joins, queries_messages
+from tracelake.plans import queries_codes, queries_joins, queries_messages, queries_objects
 from tracelake.plans.derived import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "queries_codes", "queries_joins", "queries_messages"]
+__all__ = ["ORACLES", "QUERIES", "flagship", "queries_codes", "queries_joins", "queries_messages", "queries_objects"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
