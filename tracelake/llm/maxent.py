@@ -10,9 +10,9 @@ to the class's unseen words, so all sums to one.
 
 All counts cover all training documents. Documents are dealt to blocks of about
 a thousand. A block's distinct words travel as packed arrays of word hashes, by
-shards of the hash; a shard adds up the counts of all blocks and sends each
-block the corpus counts of its words back. So no vocabulary is gathered in one
-place. Counts of class trigrams (at most CLASSES ** 3 numbers) are the training
+shards of the hash, whose number grows with the blocks; a shard adds up the
+counts of all blocks and sends each block the corpus counts of its words back.
+So no vocabulary is gathered in one place. Counts of class trigrams (at most CLASSES ** 3 numbers) are the training
 set; every gradient step is a sum over tasks that each hold a share of the
 histories. Scoring gathers from arrays, a block at a time.
 
@@ -40,7 +40,7 @@ CLASSES, OWN = 128, 63  # class 0: end; 1..OWN: one word each; the rest: by last
 SHAPES = CLASSES - OWN - 1
 PAIR_ROWS = 2048
 ROWS = 1 + 2 * CLASSES + PAIR_ROWS
-DOCS_PER_BLOCK, SHARDS, GROUPS, STEP_TASKS = 1024, 64, 16, 4
+DOCS_PER_BLOCK, BLOCKS_PER_SHARD, LEAST_SHARDS, GROUPS, STEP_TASKS = 1024, 4, 64, 16, 4
 STEPS, RATE, RIDGE = 30, 0.25, 1e-7
 BLOCK_BYTES = 2_000_000
 ADDED = 0.1
@@ -59,41 +59,45 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def sorted_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def sorted_words(words: list[bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of distinct words in the order they are packed in (shard, then hash), and that order."""
     h = hashes(words)
-    order = np.lexsort((h, h % np.uint64(SHARDS)))
+    order = np.lexsort((h, h % np.uint64(shards)))
     return h[order], order
 
 
-def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packed(shards: int):
     """Rows sorted by block to (block, shard, words, counts, shapes), packed; counts are of training documents."""
 
     def rows(block: int, seen: Counter) -> pa.RecordBatch:
         words = list(seen)
-        h, order = sorted_words(words)
+        h, order = sorted_words(words, shards)
         n = np.fromiter(seen.values(), np.uint32, len(words))[order]
         kind = np.fromiter(map(shape, words), np.uint8, len(words))[order]
-        cuts = np.searchsorted(h % np.uint64(SHARDS), np.arange(SHARDS + 1, dtype=np.uint64))
-        parts = [(s, h[a:b].tobytes(), n[a:b].tobytes(), kind[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        shard = (h % np.uint64(shards)).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(h)]
+        parts = [(int(shard[a]), h[a:b].tobytes(), n[a:b].tobytes(), kind[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
         return pa.RecordBatch.from_arrays([pa.array([block] * len(parts), pa.int64()), *(pa.array([p[i] for p in parts], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary())))], names=["block", "shard", "words", "counts", "shapes"])
 
-    now, seen = None, Counter()
-    for batch in batches:
-        for block, train, text in zip(*(batch.column(c).to_pylist() for c in ("block", "train", "text")), strict=True):
-            if block != now:
-                if seen:
-                    yield rows(now, seen)
-                now, seen = block, Counter()
-            words = words_of(text)
-            if train:
-                seen.update(words)
-            else:
-                for w in words:
-                    if w not in seen:
-                        seen[w] = 0
-    if seen:
-        yield rows(now, seen)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, Counter()
+        for batch in batches:
+            for block, train, text in zip(*(batch.column(c).to_pylist() for c in ("block", "train", "text")), strict=True):
+                if block != now:
+                    if seen:
+                        yield rows(now, seen)
+                    now, seen = block, Counter()
+                words = words_of(text)
+                if train:
+                    seen.update(words)
+                else:
+                    for w in words:
+                        if w not in seen:
+                            seen[w] = 0
+        if seen:
+            yield rows(now, seen)
+
+    return run
 
 
 SUMMED = "block long, shard long, counts binary, top binary, per_class binary"
@@ -102,8 +106,6 @@ SUMMED = "block long, shard long, counts binary, top binary, per_class binary"
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by shard: corpus counts for each block (packed as its words are), and for each
     shard (block null) its OWN most frequent words and per class: tokens, words, words seen once, twice."""
-    top_type = np.dtype([("n", "<i8"), ("word", "<u8"), ("shape", "<i8")])
-
     def rows(shard: int, parts: list[tuple]) -> pa.RecordBatch:
         h = np.concatenate([np.frombuffer(p[1], np.uint64) for p in parts])
         n = np.concatenate([np.frombuffer(p[2], np.uint32) for p in parts])
@@ -113,7 +115,7 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = kind[first]
         per = np.stack([np.bincount(kind, x, CLASSES) for x in (total, total > 0, total == 1, total == 2)]).astype(np.int64)
         best = np.lexsort((word, -total))[:OWN]
-        top = np.zeros(len(best), top_type)
+        top = np.zeros(len(best), TOP)
         top["n"], top["word"], top["shape"] = total[best], word[best], kind[best]
         sizes = np.cumsum([len(p[1]) // 8 for p in parts])[:-1]
         back = [x.astype(np.int64).tobytes() for x in np.split(total[at], sizes)]
@@ -131,6 +133,25 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(now, parts)
 
 
+TOP = np.dtype([("n", "<i8"), ("word", "<u8"), ("shape", "<i8")])
+
+
+def best_of(parts: list[np.ndarray]) -> np.ndarray:
+    """The OWN most frequent words, ties by hash."""
+    top = np.concatenate(parts) if parts else np.empty(0, TOP)
+    return top[np.lexsort((top["word"], -top["n"]))][:OWN]
+
+
+def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for the shards of a task: their most frequent words and the sums of their totals."""
+    tops, totals = [], np.zeros((4, CLASSES), np.int64)
+    for batch in batches:
+        for top, per in zip(batch.column("top").to_pylist(), batch.column("per_class").to_pylist(), strict=True):
+            tops = [best_of([*tops, np.frombuffer(top, TOP)])]
+            totals += np.frombuffer(per, np.int64).reshape(4, CLASSES)
+    yield pa.RecordBatch.from_arrays([pa.array([best_of(tops).tobytes()], pa.binary()), pa.array([totals.tobytes()], pa.binary())], names=["top", "per_class"])
+
+
 class Classes:
     """Which class a word is in, remembered up to a bound."""
 
@@ -282,7 +303,7 @@ class Model:
 SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scorer(shared, ends: int):
+def scorer(shared, ends: int, shards: int):
     """A block's documents and the corpus counts of its words to scores."""
 
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
@@ -294,7 +315,7 @@ def scorer(shared, ends: int):
                 if w not in index:
                     index[w] = len(index)
         words = list(index)
-        h, order = sorted_words(words)
+        h, order = sorted_words(words, shards)
         count, kind = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64)
         if words:
             count[order] = np.frombuffer(b"".join(counts.sort_by("shard")["counts"].to_pylist()), np.int64)
@@ -321,12 +342,13 @@ def score(docs: DataFrame) -> DataFrame:
     ends = docs.where("not held_out").count()
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
     words = dealt.select("block", (~F.col("held_out")).alias("train"), "text").repartition("block").sortWithinPartitions("block")
-    words = words.mapInArrow(tidy(packed), "block long, shard long, words binary, counts binary, shapes binary")
+    shards = max(LEAST_SHARDS, n_blocks // BLOCKS_PER_SHARD)
+    words = words.mapInArrow(tidy(packed(shards)), "block long, shard long, words binary, counts binary, shapes binary")
     counts = cut(words.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(summed), SUMMED))
-    # A row of OWN words and a row of class totals from each shard.
-    found = counts.where("block is null").select("top", "per_class").collect()
+    # OWN words and class totals from each of STEP_TASKS tasks.
+    found = counts.where("block is null").select("top", "per_class").coalesce(STEP_TASKS).mapInArrow(combined, "top binary, per_class binary").collect()
     per_class = sum((np.frombuffer(r["per_class"], np.int64).reshape(4, CLASSES) for r in found), np.zeros((4, CLASSES), np.int64)).copy()
-    top = sorted((x for r in found for x in np.frombuffer(r["top"], np.dtype([("n", "<i8"), ("word", "<u8"), ("shape", "<i8")])).tolist()), key=lambda x: (-x[0], x[1]))[:OWN]
+    top = best_of([np.frombuffer(r["top"], TOP) for r in found]).tolist()
     n_words = int(per_class[1].sum()) + (ends > 0)
     for i, (n, _, kind) in enumerate(top):
         per_class[:, kind] -= [n, 1, n == 1, n == 2]
@@ -340,7 +362,7 @@ def score(docs: DataFrame) -> DataFrame:
     model = Model(own, per_class, train(seen, prior, tokens), tokens, n_words)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     left, right = dealt.groupBy("block"), counts.where("block is not null").select("block", "shard", "counts").groupBy("block")
-    return left.cogroup(right).applyInArrow(scorer(shared, ends), SCORED.format(id=docs.schema["doc_id"].dataType.simpleString()))
+    return left.cogroup(right).applyInArrow(scorer(shared, ends, shards), SCORED.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
 def op8_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
