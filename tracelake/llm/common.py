@@ -80,30 +80,33 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
 class RangeBins:
     """Bins of nearly equal mass over a binary or string sort key.
 
-    Boundaries are quantiles of the ``16 * 16 * 16`` keys with the smallest hash,
-    cut to 256 bytes: a bounded set, so it fits in the plan as a literal. Any
-    boundaries give right results; they only decide how even the bins are. A row
-    finds its bin by 16 comparisons, then 16 more.
+    There are 16 to 64 groups of as many bins, by the number of keys, so at most
+    4,096 bins. Boundaries are quantiles of the 16
+    keys a bin with the smallest hash, cut to 256 bytes: a bounded set, so it fits
+    in the plan as a literal. Any boundaries give right results; they only decide
+    how even the bins are. A row finds its bin by comparing with the groups, then
+    within one.
     """
 
-    WAYS = 16
+    PER_BIN, LEAST, MOST = 50_000, 16, 64
 
     def __init__(self, keys: DataFrame, column: str):
+        self.ways = min(self.MOST, max(self.LEAST, math.ceil(math.sqrt(keys.count() / self.PER_BIN))))
+        n = self.ways**2
         sample = keys.select(F.substring(F.col(column), 1, 256).alias("k")).where("k is not null")
-        rows = sample.orderBy(F.xxhash64("k"), "k").limit(self.WAYS**3).collect()
+        rows = sample.orderBy(F.xxhash64("k"), "k").limit(16 * n).collect()
         found = sorted(bytes(r[0]) for r in rows)
-        n = self.WAYS**2
         self.bounds = sorted({found[i * len(found) // n] for i in range(1, n)}) if found else []
 
     def of(self, key: Column) -> Column:
-        parts = [self.bounds[i : i + self.WAYS] for i in range(0, len(self.bounds), self.WAYS)]
+        parts = [self.bounds[i : i + self.ways] for i in range(0, len(self.bounds), self.ways)]
         if not parts:
             return F.lit(0)
         below = lambda values: F.size(F.filter(values, lambda b: b <= key))
         array = lambda values: F.array(*[F.lit(bytearray(v)) for v in values])
         coarse = below(array([p[0] for p in parts]))
         fine = F.array(F.array().cast("array<binary>"), *[array(p) for p in parts])
-        return (F.greatest(coarse - 1, F.lit(0)) * self.WAYS + below(F.element_at(fine, coarse + 1))).cast("int")
+        return (F.greatest(coarse - 1, F.lit(0)) * self.ways + below(F.element_at(fine, coarse + 1))).cast("int")
 
 
 def equal_runs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

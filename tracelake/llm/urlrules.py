@@ -47,7 +47,7 @@ def sweep(points: DataFrame, rules: DataFrame) -> DataFrame:
     events = cut(start.unionByName(end).unionByName(point))
     bins = RangeBins(events, "key")
     events = events.withColumn("bin", bins.of(F.col("key")))
-    # One row a bin, at most WAYS**2 of them: small enough to broadcast at any input size.
+    # One row a bin, at most 4,096 of them: small enough to broadcast at any input size.
     carried = events.groupBy("bin").agg(F.sum("delta").alias("d"))
     carried = carried.select("bin", F.coalesce(F.sum("d").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     depth = F.sum("delta").over(running(["bin"], ["key", "kind"])) + F.col("before")
