@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -164,24 +165,55 @@ def scan(length: int):
     return run
 
 
-def complete(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.Table]:
-    """Tables of about at_once bytes that hold every row of their keys; input is sorted by key."""
+class Portion(NamedTuple):
+    """Rows sorted by key and text. More of the first key or text came before (key_before, text_before)
+    or more of the last key comes after (key_after) only where a key alone is larger than a portion."""
+
+    rows: pa.Table
+    key_before: bool
+    text_before: bool
+    key_after: bool
+
+
+def portions(batches: Iterator[pa.RecordBatch], text: list[str], at_once: int, whole_if: str | None = None) -> Iterator[Portion]:
+    """Sorted rows in portions of about at_once bytes, cut between keys, within a key between texts
+    (equal in all columns of text, which begin with the key), and within a text only if it fills a portion.
+
+    A key of which a row has a value in the column whole_if is never cut.
+    """
     parts: list[pa.Table] = []
-    size = 0
+    size, last = 0, None
+
+    def portion(rows: pa.Table, after: bool) -> Portion:
+        nonlocal last
+        first = tuple(rows.column(c)[0].as_py() for c in text)
+        same = (last is not None and first[0] == last[0], last is not None and first == last)
+        last = tuple(rows.column(c)[-1].as_py() for c in text) if after else None
+        return Portion(rows, *same, after)
+
+    def last_from(rows: pa.Table, columns: list[str]) -> int:
+        other = np.zeros(len(rows), bool)
+        for c in columns:
+            values = rows.column(c).to_numpy()
+            other |= values != values[-1]
+        return int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+
     for batch in batches:
         if batch.num_rows:
             parts.append(pa.Table.from_batches([batch]))
             size += batch.nbytes
-        if size >= at_once:
+        # A text is only cut apart where two of its rows are there, so it is known to be found twice.
+        if size >= at_once and sum(map(len, parts)) > 1:
             whole = pa.concat_tables(parts).combine_chunks()
-            key = whole.column("key").to_numpy()
-            open_from = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
-            if open_from:
-                yield whole.slice(0, open_from)
-            parts = [whole.slice(open_from).combine_chunks()]
-            size = parts[0].nbytes if open_from else 0
+            at, after = last_from(whole, text[:1]), False
+            if not at and (whole_if is None or whole.column(whole_if).null_count == len(whole)):
+                at, after = last_from(whole, text) or len(whole), True
+            if at:
+                yield portion(whole.slice(0, at), after)
+            parts = [whole.slice(at).combine_chunks()] if at < len(whole) else []
+            size = sum(p.nbytes for p in parts)
     if parts:
-        yield pa.concat_tables(parts).combine_chunks()
+        yield portion(pa.concat_tables(parts).combine_chunks(), False)
 
 
 def unpacked(column: pa.ChunkedArray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,24 +226,30 @@ def unpacked(column: pa.ChunkedArray, rows: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs that are repeated throughout (texts 0) and one of each ragged text (texts: how many its key has)."""
-    for rows in complete(batches, AT_ONCE):
+    """Runs that are repeated throughout (texts 0) and one of each ragged text (texts: how many its key has).
+
+    A key larger than a portion counts as one of very many texts, so its rows need
+    not be together.
+    """
+    for rows, key_before, text_before, key_after in portions(batches, ["key", "s1", "s2"], AT_ONCE):
         key, s1, s2 = (rows.column(c).to_numpy() for c in ("key", "s1", "s2"))
-        if not len(key):
-            continue
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
         first = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         n = np.bincount(group, rows.column("n").to_numpy(), len(first)).astype(np.int64)
+        n[0] += text_before
         again = np.zeros(len(first), bool)
         np.logical_or.at(again, group, rows.column("again").to_numpy(zero_copy_only=False))
         of_key = np.cumsum(np.append(True, key[first][1:] != key[first][:-1])) - 1
         texts = np.bincount(of_key)[of_key]
+        texts[((of_key == 0) & key_before) | ((of_key == of_key[-1]) & key_after)] = MANY + 1
         size = rows.column("size").to_numpy()
         full = np.flatnonzero(n[group] > 1)
         place, each = unpacked(rows.column("places"), full)
-        ragged = first[(texts > 1) | again]
+        one = (texts > 1) | again
+        one[0] &= not text_before
+        ragged = first[one]
         head, head_n = unpacked(rows.column("places"), ragged)
         head = head[np.cumsum(head_n) - head_n]
         columns = [np.concatenate([place[c], head[c]]) for c in ("doc", "th", "start")]
@@ -303,18 +341,20 @@ def resolved(length: int, buckets: int):
         out["size"] = np.diff(np.append(np.flatnonzero(head), len(found)))
         return out
 
-    def of_strings(rows: pa.Table) -> np.ndarray:
+    def of_strings(rows: pa.Table, before: bool) -> np.ndarray:
         place, each = unpacked(rows.column("places"), np.arange(len(rows)))
-        again = twice(rows.column("w2").to_numpy(), rows.column("key").to_numpy()) | (each > 1)
+        key, w2 = rows.column("key").to_numpy(), rows.column("w2").to_numpy()
+        again = twice(w2, key) | (each > 1) | (before & (key == key[0]) & (w2 == w2[0]))
         place = place[np.repeat(again, each)]
         out = np.empty(len(place), SPAN)
         out["doc"], out["th"], out["start"], out["size"] = place["doc"], place["th"], place["start"], 1
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in complete(batches, SPANS_AT_ONCE):
+        for rows, _, text_before, _ in portions(batches, ["key", "w2"], SPANS_AT_ONCE, "bytes"):
             single = rows.column("bytes").is_null()
-            found = np.concatenate([f(part) for f, part in ((of_texts, rows.filter(pc.invert(single))), (of_strings, rows.filter(single))) if len(part)] or [np.empty(0, SPAN)])
+            texts, strings = rows.filter(pc.invert(single)), rows.filter(single)
+            found = np.concatenate([np.empty(0, SPAN), *([of_texts(texts)] if len(texts) else []), *([of_strings(strings, text_before)] if len(strings) else [])])
             if len(found):
                 bucket = (found["doc"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
@@ -398,7 +438,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # One of equal rows is enough, because a run is named by id and text.
     pieces = rows.join(ragged, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("doc", "th", "text", "runs").mapInArrow(tidy(spans(length)), SPANS)
     n_buckets = blocks(docs.count(), DOCS_PER_BUCKET)
-    edges = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(resolved(length, n_buckets)), PACKED)
+    edges = pieces.repartition("key").sortWithinPartitions("key", "w2").mapInArrow(tidy(resolved(length, n_buckets)), PACKED)
     edges = edges.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(merged), "doc long, th int, start int, size int")
     repeats = found.where("texts = 0").select("doc", "th", "start", "size").unionByName(edges)
     repeats = repeats.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
