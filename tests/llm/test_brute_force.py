@@ -109,8 +109,11 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "many"), [(400, 256), (40, 256), (400, 2), (40, 2)])
-def test_repeats(spark, monkeypatch, length, many):
+@pytest.mark.parametrize(("length", "many", "at_once"), [(400, 256, 8_000_000), (40, 256, 8_000_000), (400, 2, 8_000_000), (40, 2, 300), (400, 2, 300), (400, 256, 1)])
+def test_repeats(spark, monkeypatch, length, many, at_once):
+    # Small portions cut keys and texts apart, as very large ones are.
+    own = suffixdedup.portions
+    monkeypatch.setattr(suffixdedup, "portions", lambda batches, text, _, *more: own((b.slice(i, 3) for b in batches for i in range(0, b.num_rows, 3)), text, at_once, *more))
     monkeypatch.setattr(suffixdedup, "MANY", many)
     rnd = random.Random(5)
     text = lambda n: "".join(rnd.choice("abcdefgh é") for _ in range(n))
