@@ -33,9 +33,10 @@ from pyspark.sql import types as T
 
 from tracelake.llm.common import table, tidy
 
-BLOCK_CHARS, CACHE_WORDS = 2_000_000, 150_000
+BLOCK_CHARS, CACHE_WORDS = 4_000_000, 250_000
 NONE = np.int64(1 << 62)
 #: A space or line feed after any other character always begins a new match of the pattern, if no other white space is near.
+USUAL = r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE, OTHER_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
 
@@ -152,19 +153,26 @@ class Encoder:
         pairs = (line.split() for line in ranks.splitlines() if line.strip())
         self.replay = Replay({base64.b64decode(a): int(b) for a, b in pairs})
         self.pattern, self.known = regex.compile(pattern), {}
+        #: Whether the shortcuts below hold: words of letters, numbers or signs, each with a space before it at most.
+        self.usual = pattern.endswith(USUAL)
 
     def pieces(self, text: str) -> list[str]:
-        return self.pattern.findall(text) if OTHER_SPACE.search(text) else PIECE.findall(text)
+        return PIECE.findall(text) if self.usual and not OTHER_SPACE.search(text) else self.pattern.findall(text)
+
+    def words(self, piece: str) -> list[str]:
+        # A run of letters, alone or after a space, is one match of the usual pattern.
+        letters = self.usual and (piece.isalpha() or (piece[0] == " " and piece[1:].isalpha()))
+        return [piece] if letters else self.pattern.findall(piece)
 
     def block(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(t) for t in texts]
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        new = {p for s in split for p in s if p not in known}
+        new = set().union(*split).difference(known)
         if new:
-            parts = {p: self.pattern.findall(p) for p in new}
-            words = list({w for found in parts.values() for w in found})
+            parts = {p: self.words(p) for p in new}
+            words = list(set().union(*parts.values()))
             ids = dict(zip(words, self.replay.encode([w.encode() for w in words]), strict=True))
             for p, found in parts.items():
                 known[p] = ids[found[0]] if len(found) == 1 else b"".join([ids[w] for w in found])
