@@ -66,6 +66,21 @@ def test_missing_strings_and_offsets(spark, root, tmp_path):
     assert found[5]["message"] == f"Failed to get string message from alternative UUIDText file: {'CC' * 16}"
 
 
+def test_shared_strings_of_all_kinds(spark):
+    images = [("A" * 32, "/lib/first"), ("B" * 32, "/lib/second")]
+    data, at = encode.shared_strings(1, images, [(0x100, 0, ["one"]), (0x80000200, 1, ["two %d"]), (0x900, 7, ["lost"])])
+    dsc = archive.dsc_of(spark.createDataFrame([(f"/x/dsc/{'D' * 32}", bytearray(data))], "path string, content binary"))
+    text = archive.uuidtext_of(spark.createDataFrame([], "path string, content binary"))
+    cases = {1: (at["one"], 0, 0), 2: (at["two %d"] - 0x80000000, 1, 0), 3: (at["two %d"], 0, 0), 4: (0x5000, 0, 0), 5: (at["lost"], 0, 0)}
+    rows = [(i, 4, raw, large, cache, True, False, "", 0, 0, "0" * 32, "D" * 32 if i < 6 else "E" * 32, "") for i, (raw, large, cache) in cases.items()] + [(6, 4, 1, 0, 0, True, False, "", 0, 0, "0" * 32, "E" * 32, "")]
+    names = "i int, activity_type int, format_location long, large_offset int, large_shared_cache int, shared_cache boolean, absolute boolean, uuid_relative string, alt_index int, pc_id long, main_uuid string, dsc_uuid string, image_uuid string"
+    got = {r["i"]: (r["raw_message"], r["library"], r["process"]) for r in strings.with_strings(strings.routed(spark.createDataFrame(rows, names)), text, dsc).collect()}
+    assert got == {
+        1: ("one", "/lib/first", ""), 2: ("two %d", "/lib/second", ""), 3: ("%s", "/lib/first", ""), 4: ("Error: Invalid shared string offset", "/lib/first", ""),
+        5: ("Error: Invalid UUID index", "", ""), 6: ("Unknown shared string message", "", ""),
+    }
+
+
 def test_clocks_against_the_reading_rule(spark):
     import random
 

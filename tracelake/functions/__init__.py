@@ -1 +1 @@
-"""See the package README."""
+"""Code tables and value decoders as column functions."""

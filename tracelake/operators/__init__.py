@@ -1 +1 @@
-"""See the package README."""
+"""Row-level evaluation: printf, packed values and state dumps, and bucketed range lookups."""

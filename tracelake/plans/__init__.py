@@ -1 +1 @@
-"""See the package README."""
+"""The relational plan of the event table, and the registered queries."""

@@ -41,12 +41,12 @@ def absolute_address(alt_index: Column, pc: Column) -> Column:
 def routed(events: DataFrame) -> DataFrame:
     """events with route, raw_offset, offset and address (absolute route only)."""
     kind = F.col("activity_type")
-    # Traces have no format location of their own and are never dynamic.
-    raw = F.when(kind == 3, F.col("format_location")).otherwise(F.col("format_location"))
+    raw = F.col("format_location")
     events = events.withColumn("route", F.when(kind.isin(2, 3, 4, 6), route(kind)))
     events = events.withColumn("offset", F.when(F.col("route") == SHARED, shared_offset(raw, F.col("large_offset"), F.col("large_shared_cache"))).otherwise(raw))
     return events.withColumns({
         "address": F.when(F.col("route") == ABSOLUTE, absolute_address(F.col("alt_index"), F.col("pc_id"))),
+        # Traces are never dynamic.
         "dynamic": (raw.bitwiseAND(DYNAMIC_BIT) != 0) & (kind != 3),
     })
 
@@ -67,12 +67,16 @@ def resolve_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         found = text_to_zero(footer[at + base :]) if at + base <= len(footer) else None
                         break
                     base += e["size"]
-                out.append((a["route"], uuid, a["offset"], found))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.string()))], names=["route", "file_uuid", "offset", "found"])
+                out.append((a["route"], uuid, a["offset"], a["dynamic"], found))
+        types = (pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["route", "file_uuid", "offset", "dynamic", "found"])
 
 
 def resolve_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a shared string file and its asked offsets to format string, library and library id."""
+    """Rows of a shared string file and its asked offsets to format string, library and library id.
+
+    A dynamic offset, like one that no range holds, has the library of the first range.
+    """
     for batch in batches:
         out = []
         for uuid, ranges, images, content, asked in zip(*(batch.column(c).to_pylist() for c in ("uuid", "ranges", "images", "content", "asked")), strict=True):
@@ -80,7 +84,7 @@ def resolve_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 base, found, image = 0, None, None
                 for r in ranges:
                     at = a["offset"] - r["low"]
-                    if 0 <= at < r["size"]:
+                    if 0 <= at < r["size"] and not a["dynamic"]:
                         found, image = text_to_zero(content[base + at : base + r["size"]]), r["image"]
                         break
                     base += r["size"]
@@ -88,9 +92,9 @@ def resolve_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     image = ranges[0]["image"]
                 own = images[image] if image is not None and 0 <= image < len(images) else None
                 bad = image is not None and own is None
-                out.append((uuid, a["offset"], "Error: Invalid UUID index" if bad else found, own["path"] if own else None, own["uuid"] if own else None, bool(ranges), bad))
-        types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["file_uuid", "offset", "found", "image", "image_id", "ranges", "bad"])
+                out.append((uuid, a["offset"], a["dynamic"], "Error: Invalid UUID index" if bad else found, own["path"] if own else None, own["uuid"] if own else None, bool(ranges), bad))
+        types = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["file_uuid", "offset", "dynamic", "found", "image", "image_id", "ranges", "bad"])
 
 
 def asked_of(events: DataFrame, files: DataFrame, *fields: str) -> DataFrame:
@@ -107,9 +111,9 @@ def with_strings(events: DataFrame, uuidtext: DataFrame, dsc: DataFrame) -> Data
     r = F.col("route")
     file_uuid = F.when(r == SHARED, F.col("dsc_uuid")).when(r == ABSOLUTE, F.coalesce("image_uuid", F.lit(""))).when(r == RELATIVE, F.col("uuid_relative")).when(r == MAIN, F.col("main_uuid"))
     events = events.withColumn("file_uuid", file_uuid)
-    texts = asked_of(events.where(r != SHARED), uuidtext, "route", "offset").mapInArrow(resolve_text, "route string, file_uuid string, offset bigint, found string")
-    shared = asked_of(events.where(r == SHARED), dsc, "offset").mapInArrow(resolve_shared, "file_uuid string, offset bigint, found string, image string, image_id string, ranges boolean, bad boolean").withColumn("route", F.lit(SHARED))
-    key = ["route", "file_uuid", "offset"]
+    texts = asked_of(events.where(r != SHARED), uuidtext, "route", "offset", "dynamic").mapInArrow(resolve_text, "route string, file_uuid string, offset bigint, dynamic boolean, found string")
+    shared = asked_of(events.where(r == SHARED), dsc, "offset", "dynamic").mapInArrow(resolve_shared, "file_uuid string, offset bigint, dynamic boolean, found string, image string, image_id string, ranges boolean, bad boolean").withColumn("route", F.lit(SHARED))
+    key = ["route", "file_uuid", "offset", "dynamic"]
     found = texts.withColumns({"image": F.lit(None).cast("string"), "image_id": F.lit(None).cast("string"), "ranges": F.lit(True), "bad": F.lit(False)}).unionByName(shared)
     # Paths of images are few and short; files without bytes would do.
     paths = uuidtext.select(F.col("uuid").alias("path_uuid"), F.col("image").alias("path"))

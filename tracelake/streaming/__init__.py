@@ -1 +1 @@
-"""See the package README."""
+"""Micro-batch streaming and bookmarks."""
