@@ -160,8 +160,10 @@ def test_permissive_and_failfast(spark, tmp_path):
     root = encode.write(str(tmp_path), good | {"Special/bad.tracev3": good["Persist/0000000000000001.tracev3"][:-40], "timesync/bad.timesync": b"junk", "._x/Persist/._a.tracev3": b""})
     assert archive.records(spark, root).count() > 0
     assert archive.timesync(spark, root).count() == 3
-    with pytest.raises(Exception, match="Malformed|cut off|wanted"):
+    with pytest.raises(Exception, match="Failed to parse tracev3 file: .*bad.tracev3"):
         archive.records(spark, root, "FAILFAST").count()
+    with pytest.raises(Exception, match="Failed to parse timesync file: .*bad.timesync"):
+        archive.timesync(spark, root, "FAILFAST").count()
 
 
 def test_data_source(spark, root):
@@ -191,6 +193,10 @@ def test_bookmarks(spark, root, tmp_path):
     assert [spark.read.parquet(o).count() for o in outs] == [122, 0]
     found = marks.load(spark, mark, root)
     assert found.time > 1.7e18 and marks.load(spark, mark, "other").time == 0
+    assert marks.default_path("live", "darwin").endswith("/Library/Application Support/tracelake/live.bookmark")
+    for mode, text in (("log-archive", "Failed to open directory path"), ("single-file", "Failed to open file path")):
+        with pytest.raises(SystemExit, match=text):
+            cli.main([mode, "--input", str(tmp_path / "none"), "--output", str(tmp_path / "x")], spark)
     assert found.advanced(1.0) is found and found.advanced(2e18).time == 2e18
 
 

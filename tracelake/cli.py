@@ -3,24 +3,37 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tracelake import sinks
+from tracelake.functions.tables import ERRORS
 from tracelake.plans.assemble import event_table, in_order
 from tracelake.sources import archive
 from tracelake.streaming import bookmark as marks
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
+    """Runs one command; a path that is not there ends it with a fixed text."""
+    try:
+        run(args, spark)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise SystemExit(ERRORS["path" if "single-file" in (args or sys.argv) else "dir"]) from e
+
+
+def run(args: list[str] | None, spark: SparkSession | None) -> None:
     p = argparse.ArgumentParser(prog="tracelake", description=__doc__)
     p.add_argument("mode", choices=["live", "log-archive", "single-file"])
     p.add_argument("--input", help="archive directory or trace file; live reads the system's own")
     p.add_argument("--output", required=True)
     p.add_argument("--format", choices=["jsonl", "csv", "parquet"], default="jsonl")
     p.add_argument("--exclude-missing", action="store_true", help="leave out events whose values were never found")
-    p.add_argument("--bookmark", help="file that keeps the latest time read; later runs emit only later events")
+    p.add_argument("--bookmark", nargs="?", const="", help="file that keeps the latest time read, by default in the user's data folder; later runs emit only later events")
     p.add_argument("--ordered", action="store_true", help="rows in order of emission")
     a = p.parse_args(args)
     spark = spark or SparkSession.builder.appName("tracelake").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -33,6 +46,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     else:
         records = archive.records(spark, roots)
         dims = archive.timesync(spark, roots), archive.uuidtext(spark, roots), archive.dsc(spark, roots)
+    if a.bookmark == "":
+        a.bookmark = marks.default_path(a.mode)
     events = event_table(records.persist(), *dims, exclude_missing=a.exclude_missing)
     if a.bookmark:
         mark = marks.load(spark, a.bookmark, str(roots))

@@ -276,3 +276,14 @@ LOG_TYPE = {
 
 # What stands in a result where something could not be had.
 UNKNOWN_SUBSYSTEM, MISSING, PRIVATE, NULL_TEXT = "Unknown subsystem", "<Missing message data>", "<private>", "(null)"
+
+# What a failed read is called.
+ERRORS = {
+    "path": "Failed to open file path",
+    "dir": "Failed to open directory path",
+    "TraceV3": "Failed to parse tracev3 file",
+    "read": "Failed to read file",
+    "Timesync": "Failed to parse timesync file",
+    "Dsc": "Failed to parse dsc file",
+    "UUIDText": "Failedto parse UUIDtext file",
+}

@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tracelake import schemas
+from tracelake.functions.tables import ERRORS
 from tracelake.sources import codec
 
 LIVE_ROOTS = ("/private/var/db/diagnostics", "/private/var/db/uuidtext")
@@ -50,8 +51,11 @@ def files(spark: SparkSession, roots: str | list[str], kind: str | None = None,
     return (found.where(file_kind(F.col("path")) == kind) if kind else found).select("path", "content")
 
 
-def decoded(source: DataFrame, ddl: str, rows: Callable[[str, bytes], Iterator[dict]], strict: bool) -> DataFrame:
-    """Rows that a function makes of each file, in Arrow batches of bounded length."""
+def decoded(source: DataFrame, kind: str, ddl: str, rows: Callable[[str, bytes], Iterator[dict]], strict: bool) -> DataFrame:
+    """Rows that a function makes of each file, in Arrow batches of bounded length.
+
+    strict fails on a file that cannot be decoded, naming its kind and path.
+    """
     schema = StructType.fromDDL(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,9 +69,9 @@ def decoded(source: DataFrame, ddl: str, rows: Callable[[str, bytes], Iterator[d
                         if len(out) >= BATCH:
                             yield pa.RecordBatch.from_pylist(out, arrow)
                             out = []
-                except (codec.Malformed, struct.error):
+                except (codec.Malformed, struct.error) as e:
                     if strict:
-                        raise
+                        raise codec.Malformed(f"{ERRORS[kind]}: {path.as_py()}: {e}") from e
                 if out:
                     yield pa.RecordBatch.from_pylist(out, arrow)
 
@@ -86,7 +90,7 @@ def records_of(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
         for kind, catalog_seq, chunk_seq, record in codec.trace_file(content, strict):
             yield {"evidence": path, "catalog_seq": catalog_seq, "chunk_seq": chunk_seq, "kind": kind, kind: record}
 
-    return decoded(source, schemas.RECORD_DDL, rows, strict)
+    return decoded(source, "TraceV3", schemas.RECORD_DDL, rows, strict)
 
 
 def records(spark: SparkSession, roots: str | list[str], mode: str = "PERMISSIVE") -> DataFrame:
@@ -108,7 +112,7 @@ def timesync_of(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
             for i, r in enumerate(boot["records"]):
                 yield own | {"seq": i, "kernel_time": r["kernel_time"], "walltime": r["walltime"]}
 
-    return decoded(source, schemas.TIMESYNC_DDL, rows, mode.upper() == "FAILFAST")
+    return decoded(source, "Timesync", schemas.TIMESYNC_DDL, rows, mode.upper() == "FAILFAST")
 
 
 def timesync(spark: SparkSession, roots: str | list[str], mode: str = "PERMISSIVE") -> DataFrame:
@@ -131,7 +135,7 @@ def uuidtext_of(source: DataFrame, needed: DataFrame | None = None, mode: str =
         yield {"uuid": "".join(path.split("/")[-2:]).upper(), "path": path, "image": codec.text_to_zero(found["footer"][at:]), **found}
 
     found = source.withColumn("uuid", F.upper(F.concat(F.element_at(F.split("path", "/"), -2), F.element_at(F.split("path", "/"), -1))))
-    return decoded(wanted(found, needed).select("path", "content"), schemas.UUIDTEXT_DDL, rows, mode.upper() == "FAILFAST")
+    return decoded(wanted(found, needed).select("path", "content"), "UUIDText", schemas.UUIDTEXT_DDL, rows, mode.upper() == "FAILFAST")
 
 
 def uuidtext(spark: SparkSession, roots: str | list[str], needed: DataFrame | None = None, mode: str = "PERMISSIVE") -> DataFrame:
@@ -146,7 +150,7 @@ def dsc_of(source: DataFrame, needed: DataFrame | None = None, mode: str = "PERM
         yield {"uuid": path.split("/")[-1].upper(), "path": path, "ranges": found["ranges"], "images": found["images"], "content": b"".join(r["data"] for r in found["ranges"])}
 
     found = source.withColumn("uuid", F.upper(F.element_at(F.split("path", "/"), -1)))
-    return decoded(wanted(found, needed).select("path", "content"), schemas.DSC_DDL, rows, mode.upper() == "FAILFAST")
+    return decoded(wanted(found, needed).select("path", "content"), "Dsc", schemas.DSC_DDL, rows, mode.upper() == "FAILFAST")
 
 
 def dsc(spark: SparkSession, roots: str | list[str], needed: DataFrame | None = None, mode: str = "PERMISSIVE") -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import sys
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,18 @@ class Bookmark:
         return self if time is None or time <= self.time else replace(self, time=time)
 
 
+def default_path(mode: str, system: str = sys.platform) -> str:
+    """Where a mode's bookmark is kept if no place is named: the user's data folder of the system."""
+    home = os.environ.get("HOME", ".")
+    if system.startswith("win"):
+        folder = os.environ.get("LOCALAPPDATA", ".")
+    elif system == "darwin":
+        folder = f"{home}/Library/Application Support"
+    else:
+        folder = os.environ.get("XDG_DATA_HOME", f"{home}/.local/share")
+    return f"{folder}/tracelake/{mode}.bookmark"
+
+
 def _file(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
