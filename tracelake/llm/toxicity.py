@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.llm.bpe import slices
-from tracelake.llm.common import crc_mod, table, tidy
+from tracelake.llm.common import crc_mod, cut, table, tidy
 
 TRAIN_DOCS = 20_000
 STEMS, EDGE = (4, 5, 6), b".,;:!?\"'()[]{}<>|*_-"
-PRIOR_SHARE, Z_LEAST, DRIFT, ALPHA = 0.01, 2.5, -0.5, 0.05
+PRIOR_SHARE, Z_LEAST, SCORE_LEAST, DRIFT, ALPHA = 0.1, 3.0, 2.5, -0.5, 0.05
 BLOCK_BYTES, CACHE_WORDS = 2_000_000, 150_000
 
 
@@ -175,7 +175,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     # train_docs rows of two numbers at most: small enough to broadcast at any input size.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Copies of one text count once. The sample is read three times, and never more than train_docs texts.
+    rows = cut(rows.groupBy("text").agg(F.max("toxic").alias("toxic")))
     counts = rows.mapInArrow(tidy(counted), "feature binary, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     whole = counts.where(F.octet_length("feature") == 0).first()
     n0, n1 = (whole["clean"], whole["toxic"]) if whole else (0, 0)
@@ -188,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     log_odds = F.log((F.col("toxic") + a) / (n1 + prior - F.col("toxic") - a)) - F.log((F.col("clean") + a) / (n0 + prior - F.col("clean") - a))
     strong = counts.where("octet_length(feature) > 0 and toxic > 0").select("feature", log_odds.alias("score"), (log_odds / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))).alias("z"), ((F.col("clean") + a) / (n0 + prior)).alias("chance"))
     # Bounded by the sample: words and stems of train_docs documents.
-    kept = strong.where((F.col("z") >= Z_LEAST) & (F.col("score") > 1)).collect()
+    kept = strong.where((F.col("z") >= Z_LEAST) & (F.col("score") >= SCORE_LEAST)).collect()
     model = Model({bytes(r["feature"]): r["score"] for r in kept}, {bytes(r["feature"]): r["chance"] / 100 for r in kept})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
