@@ -215,14 +215,15 @@ def test_mixing_reruns_and_bins(spark, monkeypatch):
     assert all(sum(r[5] for r in own) == round(own[0][4]) for own in by.values())
 
 
-def test_pipeline_against_its_stages(spark, documents):
+def test_pipeline_against_its_stages(spark):
     import corpus_pipeline
 
-    docs, names = documents, []
+    sf_dir = "/root/testdata/sf0.01"
+    docs, names = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, docs = docs, common.cut(stage(spark, docs, SF))
+        before, docs = docs, common.cut(stage(spark, docs, sf_dir))
         names.append((name, before.count(), docs.count()))
     assert names[0][2] < names[0][1] and names[1][2] < names[1][1]
-    got = collections.Counter((r["doc_id"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, SF).collect())
+    got = collections.Counter((r["doc_id"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, sf_dir).collect())
     assert got == collections.Counter((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in docs.select("doc_id", "text").collect())
     assert not docs.where(F.length("text") != F.col("n_chars")).count()

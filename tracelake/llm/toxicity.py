@@ -37,7 +37,7 @@ from tracelake.llm.common import crc_mod, cut, table, tidy
 
 TRAIN_DOCS = 20_000
 STEMS, EDGE = (4, 5, 6), b".,;:!?\"'()[]{}<>|*_-"
-PRIOR_SHARE, Z_LEAST, SCORE_LEAST, DRIFT, ALPHA = 0.1, 3.0, 2.5, -0.5, 0.05
+PRIOR_SHARE, Z_LEAST, SCORE_LEAST, DRIFT, ALPHA = 0.1, 2.5, 2.5, -0.5, 0.05
 BLOCK_BYTES, CACHE_WORDS = 2_000_000, 150_000
 
 
