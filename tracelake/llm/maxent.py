@@ -40,7 +40,7 @@ CLASSES, OWN = 128, 63  # class 0: end; 1..OWN: one word each; the rest: by last
 SHAPES = CLASSES - OWN - 1
 PAIR_ROWS = 2048
 ROWS = 1 + 2 * CLASSES + PAIR_ROWS
-DOCS_PER_BLOCK, BLOCKS_PER_SHARD, LEAST_SHARDS, GROUPS, STEP_TASKS = 1024, 4, 64, 16, 4
+DOCS_PER_BLOCK, BLOCKS_PER_SHARD, LEAST_SHARDS, GROUPS, COUNT_TASKS, STEP_TASKS = 1024, 4, 64, 256, 4096, 4
 STEPS, RATE, RIDGE = 30, 0.25, 1e-7
 BLOCK_BYTES = 2_000_000
 ADDED = 0.1
@@ -356,8 +356,9 @@ def score(docs: DataFrame) -> DataFrame:
     per_class[0, 0] = ends
     own = {word: i + 1 for i, (_, word, _) in enumerate(top)}
     tokens = int(per_class[0].sum())
-    seen = docs.where("not held_out").select("text").mapInArrow(tidy(trigrams(own)), "g long, codes binary, counts binary")
-    seen = cut(seen.repartition(GROUPS, "g").mapInArrow(tidy(added), "codes binary, counts binary").coalesce(STEP_TASKS))
+    # A task's counts have bounded size, so with a bounded number of tasks what each group receives is bounded too.
+    seen = docs.where("not held_out").select("text").coalesce(COUNT_TASKS).mapInArrow(tidy(trigrams(own)), "g long, codes binary, counts binary")
+    seen = cut(seen.repartition(GROUPS, "g").mapInArrow(tidy(added), "codes binary, counts binary")).coalesce(STEP_TASKS)
     prior = (per_class[0] + 0.5) / (tokens + 0.5 * CLASSES)
     model = Model(own, per_class, train(seen, prior, tokens), tokens, n_words)
     shared = docs.sparkSession.sparkContext.broadcast(model)
