@@ -17,6 +17,7 @@ QUERIES = {
     "op10_suffixdedup": suffixdedup.op10_suffixdedup,
 }
 ORACLES = {
+    "op1_rabitq": rabitq.OP1_SQL,
     "op3_urlrules": urlrules.OP3_SQL,
     "op4_chat": chat.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
