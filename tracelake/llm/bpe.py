@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import table, tidy
+from tracelake.llm.common import small_batches, table, tidy
 
 BLOCK_CHARS, CACHE_WORDS = 4_000_000, 250_000
 NONE = np.int64(1 << 62)
@@ -230,6 +230,7 @@ def mapped(docs: DataFrame, steps: list[Step], names: list[str]) -> DataFrame:
             batches = step(batches)
         yield from batches
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *(T.StructField(n, T.BinaryType()) for n in names)]))
 
 

@@ -53,6 +53,19 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+ARROW_BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the session's Arrow batches, so that long texts never make a batch large on either side."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    text = (spark.conf.get(name, None) or "").lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(text[-1:], 1)
+    size = text.rstrip("kmg")
+    if not size.lstrip("-").isdigit() or not 0 < int(size) * unit <= ARROW_BATCH:
+        spark.conf.set(name, str(ARROW_BATCH))
+
+
 def tidy(run):
     """A mapInArrow function that gives memory back to the system when its task ends.
 

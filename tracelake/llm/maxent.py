@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.bpe import slices
-from tracelake.llm.common import blocks, crc_mod, cut, table, tidy
+from tracelake.llm.common import blocks, crc_mod, cut, small_batches, table, tidy
 
 CLASSES, OWN = 128, 63  # class 0: end; 1..OWN: one word each; the rest: by last bytes
 SHAPES = CLASSES - OWN - 1
@@ -338,6 +338,7 @@ def scorer(shared, ends: int, shards: int):
 
 def score(docs: DataFrame) -> DataFrame:
     """Scores of docs (doc_id, held_out, text), learnt from those not held out."""
+    small_batches(docs.sparkSession)
     n_blocks = blocks(docs.count(), DOCS_PER_BLOCK)
     ends = docs.where("not held_out").count()
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.llm.bpe import slices, with_column
-from tracelake.llm.common import components, cut, equal_runs, roots, table, tidy
+from tracelake.llm.common import components, cut, equal_runs, roots, small_batches, table, tidy
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = [(0, 21), (21, 21), (42, 22)]
@@ -92,6 +92,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> D
                 yield with_column(kept, name, pa.array(found.view(np.int64)))
 
     kept = [f for f in docs.schema.fields if f.name != text]
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(tidy(run), T.StructType([*kept, T.StructField(name, T.LongType())]))
 
 

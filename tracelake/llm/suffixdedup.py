@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.bpe import slices
-from tracelake.llm.common import blocks, cut, table, tidy
+from tracelake.llm.common import blocks, cut, small_batches, table, tidy
 
 LENGTH = 400
 BLOCK_BYTES, MANY, AT_ONCE, SPANS_AT_ONCE, DOCS_PER_BUCKET = 1_000_000, 256, 8_000_000, 2_000_000, 1024
@@ -430,6 +430,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     string, without the bytes of characters that were cut apart.
     """
     keep = [doc_id] if keep is None else keep
+    small_batches(docs.sparkSession)
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc")
     rows = docs.select(doc, F.hash(text).alias("th"), F.col(text).alias("text"))
     runs = rows.where(F.octet_length("text") >= length).mapInArrow(tidy(scan(length)), RUNS)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.llm.bpe import slices
-from tracelake.llm.common import crc_mod, cut, table, tidy
+from tracelake.llm.common import crc_mod, cut, small_batches, table, tidy
 
 TRAIN_DOCS = 20_000
 STEMS, EDGE = (4, 5, 6), b".,;:!?\"'()[]{}<>|*_-"
@@ -233,6 +233,7 @@ PASSAGES = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("sco
 def scored(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False, names: tuple[str, str] = ("score", "passages")) -> DataFrame:
     """docs with score and passages (word positions begin to end, and score); its text only if keep_text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
