@@ -115,6 +115,7 @@ def test_repeats(spark, monkeypatch, length, many, at_once):
     own = suffixdedup.portions
     monkeypatch.setattr(suffixdedup, "portions", lambda batches, text, _, *more: own((b.slice(i, 3) for b in batches for i in range(0, b.num_rows, 3)), text, at_once, *more))
     monkeypatch.setattr(suffixdedup, "MANY", many)
+    monkeypatch.setattr(suffixdedup, "MANY_STRINGS", 40 * many)
     rnd = random.Random(5)
     text = lambda n: "".join(rnd.choice("abcdefgh é") for _ in range(n))
     base = [text(3000) for _ in range(4)]

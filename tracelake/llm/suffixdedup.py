@@ -13,8 +13,8 @@ finds the same repeated strings by content-defined runs of suffixes instead:
    repeated throughout. Keys with several different texts are ragged: there,
    the edge of a repeat lies inside the run. Other runs are dropped.
 3. The texts of ragged runs (one of each) are dealt by key, and their 400-byte
-   strings compared by two 64-bit hashes. Keys with very many texts are dealt
-   by string hash instead, equal strings of a block as one row, so none is
+   strings compared by two 64-bit hashes. Keys with very many texts or strings
+   are dealt by string hash instead, equal strings of a block as one row, so none is
    gathered in one task. What is found travels packed to buckets of documents.
 4. Every document gets its repeated starts back and loses the bytes they cover.
 
@@ -43,7 +43,7 @@ from tracelake.llm.bpe import slices
 from tracelake.llm.common import blocks, cut, small_batches, table, tidy
 
 LENGTH = 400
-BLOCK_BYTES, MANY, AT_ONCE, SPANS_AT_ONCE, DOCS_PER_BUCKET = 1_000_000, 256, 8_000_000, 2_000_000, 1024
+BLOCK_BYTES, MANY, MANY_STRINGS, AT_ONCE, SPANS_AT_ONCE, DOCS_PER_BUCKET = 1_000_000, 256, 20_000, 8_000_000, 500_000, 1024
 NO_ID = -(1 << 63)
 RUNS = "key long, s1 long, s2 long, size int, again boolean, n long, places binary"
 FOUND = "doc long, th int, start int, size int, key long, texts long"
@@ -242,12 +242,15 @@ def classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = np.zeros(len(first), bool)
         np.logical_or.at(again, group, rows.column("again").to_numpy(zero_copy_only=False))
         of_key = np.cumsum(np.append(True, key[first][1:] != key[first][:-1])) - 1
-        texts = np.bincount(of_key)[of_key]
-        texts[((of_key == 0) & key_before) | ((of_key == of_key[-1]) & key_after)] = MANY + 1
         size = rows.column("size").to_numpy()
+        apart = ((of_key == 0) & key_before) | ((of_key == of_key[-1]) & key_after)
+        # Long runs, as of one phrase over and over, hold very many strings in few texts.
+        long = np.bincount(of_key, size[first])[of_key] > MANY_STRINGS
+        count = np.bincount(of_key)[of_key]
+        texts = np.where(apart | long, MANY + 1, count)
         full = np.flatnonzero(n[group] > 1)
         place, each = unpacked(rows.column("places"), full)
-        one = (texts > 1) | again
+        one = (count > 1) | again | apart
         one[0] &= not text_before
         ragged = first[one]
         head, head_n = unpacked(rows.column("places"), ragged)
