@@ -228,3 +228,32 @@ def test_pipeline_against_its_stages(spark):
     got = collections.Counter((r["doc_id"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, sf_dir).collect())
     assert got == collections.Counter((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in docs.select("doc_id", "text").collect())
     assert not docs.where(F.length("text") != F.col("n_chars")).count()
+
+def jaccard(x, y):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.encode().lower().split()) else set() for t in (x, y))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_near_copies_against_brute_force(spark):
+    # Single links of 0.8 and more over five words, near the threshold on both sides, in long and short texts.
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    line = " ".join(word() for _ in range(30))
+    texts = ["", " \n", "one two three", "One  two three", "one two three four"]
+    for size in (8, 30, 60, 150, 400):
+        for _ in range(4):
+            base = [word() for _ in range(size)]
+            texts.append(" ".join(base))
+            for changes in range(1, max(3, size // 20)):
+                copy = list(base)
+                for at in rnd.sample(range(size), changes):
+                    copy[at] = word()
+                texts.append(" ".join(copy))
+            texts.append(" ".join(base[: size * 9 // 10]))
+            texts.append(" ".join(base[size // 10 :]) + " " + line)
+    a, b = zip(*[(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8], strict=True)
+    want = set(common.roots(len(texts), np.array(a), np.array(b)).tolist())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == want
+    far = [bin(fingerprint(texts[i]) ^ fingerprint(texts[j])).count("1") for i, j in zip(a, b, strict=True)]
+    assert max(far) > 4

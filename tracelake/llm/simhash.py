@@ -25,36 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelake.llm import near
 from tracelake.llm.bpe import slices, with_column
 from tracelake.llm.common import components, cut, equal_runs, roots, small_batches, table, tidy
 
-SHINGLE, SEED, DISTANCE = 4, 42, 4
+SHINGLE, DISTANCE = 4, 4
 SEGMENTS = [(0, 21), (21, 21), (42, 22)]
 HALF, AT_ONCE, SMALL, BLOCK_BYTES = 1024, 200_000, 20_000, 2_000_000
 LANES = np.uint64(0x0101010101010101)
 
 
-def shingle_hashes(text: str | None, n: int = SHINGLE) -> list[int]:
-    """XXH64 of each n-word shingle of the lower-cased text, repeats included."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return []
-    line, hashed = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= n:
-        return [hashed(line, SEED)]
-    ends, at = [], -1
-    for w in words:
-        at += len(w) + 1
-        ends.append(at)
-    starts = [0, *[e + 1 for e in ends[: len(words) - n]]]
-    return [hashed(line[a:b], SEED) for a, b in zip(starts, ends[n - 1 :], strict=True)]
-
-
 def fingerprints(hashes: list[list[int]]) -> np.ndarray:
     """The fingerprint of each list: bit set where over half of the hashes have it.
 
@@ -87,7 +71,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text, BLOCK_BYTES):
-                found = fingerprints([shingle_hashes(t) for t in batch.column(text).to_pylist()])
+                found = fingerprints([near.shingle_hashes(t, SHINGLE) for t in batch.column(text).to_pylist()])
                 kept = batch.drop_columns([text])
                 yield with_column(kept, name, pa.array(found.view(np.int64)))
 
@@ -175,16 +159,19 @@ def classes(rows: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row of each group of linked documents with the smallest id (null first), ties by a hash of the text.
+    """The row of each group of near copies with the smallest id (null first), ties by a hash of the text.
 
-    Of rows equal in id and text one stays.
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+    more, and what such pairs connect (near.py); texts without words are one group. Of rows equal
+    in id and text one stays.
     """
     doc, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text")
-    rows = cut(with_fingerprint(docs.select(doc.alias("__doc"), th.alias("__th"), "text")))
-    fps = cut(rows.groupBy("fp").agg(F.min(F.struct("__doc", "__th")).alias("least")))
-    found = components(near_links(fps.select("fp")))
-    fps = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    first = fps.groupBy("component").agg(F.min("least").alias("least")).select("least.*")
+    texts = docs.select(doc.alias("__doc"), th.alias("__th"), "text")
+    sets = near.with_sets(texts, near.common_shingles(texts))
+    nodes = cut(sets.groupBy("node").agg(F.min(F.struct("__doc", "__th")).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    found = components(near.links(nodes, texts))
+    nodes = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = nodes.groupBy("component").agg(F.min("least").alias("least")).select("least.*")
     kept = docs.withColumns({"__doc": doc, "__th": th}).join(cut(first), ["__doc", "__th"], "left_semi")
     return kept.dropDuplicates(["__doc", "__th"]).select(*docs.columns)
 
