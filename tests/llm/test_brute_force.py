@@ -257,3 +257,41 @@ def test_near_copies_against_brute_force(spark):
     assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == want
     far = [bin(fingerprint(texts[i]) ^ fingerprint(texts[j])).count("1") for i, j in zip(a, b, strict=True)]
     assert max(far) > 4
+
+
+def test_repeated_passages(spark):
+    # 51 words in under 400 bytes are a repeat, 50 are not; white space between words does not count.
+    rnd = random.Random(7)
+    words = lambda n: [rnd.choice("abcdefgh") + str(rnd.randrange(10_000)) for _ in range(n)]
+    planted, short = words(51), words(50)
+    texts = [" ".join([*words(20), *planted, *words(20), *short, *words(9)]), " ".join(words(30)) + " " + "\n".join(planted) + " " + " ".join(words(30)), " ".join([*short, *words(40)])]
+    base = words(400)
+    for _ in range(40):
+        s = rnd.randrange(330)
+        texts.append(" ".join([*words(rnd.randrange(30)), *base[s : s + rnd.randrange(30, 90)], *words(rnd.randrange(30))]))
+    texts += ["x " * 120, "", None, " ", "é " * 51, "y " * 51]
+    assert len(" ".join(planted)) < 400
+    split = [(t or "").split() for t in texts]
+    count = collections.Counter(tuple(w[i : i + 51]) for w in split for i in range(len(w) - 50))
+    strings = collections.Counter(t.encode()[i : i + 400] for t in texts if t for i in range(len(t.encode()) - 399))
+    want = []
+    for text, own in zip(texts, split, strict=True):
+        data, at = (text or "").encode(), 0
+        gone = bytearray(len(data))
+        edges = []
+        for w in own:
+            begin = data.index(w.encode(), at)
+            at = begin + len(w.encode())
+            edges.append((begin, at))
+        for i in range(len(own) - 50):
+            if count[tuple(own[i : i + 51])] > 1:
+                for b in range(edges[i][0], edges[i + 50][1]):
+                    gone[b] = 1
+        for i in range(len(data) - 399):
+            if strings[data[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        want.append(bytes(b for b, g in zip(data, gone, strict=True) if not g).decode(errors="ignore"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["text"] for r in suffixdedup.without_repeats(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert planted[0] not in got[0] and short[0] in got[0]

@@ -18,6 +18,10 @@ finds the same repeated strings by content-defined runs of suffixes instead:
    gathered in one task. What is found travels packed to buckets of documents.
 4. Every document gets its repeated starts back and loses the bytes they cover.
 
+The same method runs over words in place of bytes: a text is then the sequence of its
+words' 64-bit hashes, and lengths and starts count words. The pipeline's stage removes what
+a repeated 400-byte string or a repeated passage of 51 words covers.
+
 Equality is by 128 bits of polynomial hashes. Work and memory are linear in the
 bytes; equal runs of a block are one row before any shuffle.
 
@@ -36,17 +40,20 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.bpe import slices
 from tracelake.llm.common import blocks, cut, small_batches, table, tidy
 
-LENGTH = 400
+LENGTH, WORDS = 400, 51
 BLOCK_BYTES, MANY, MANY_STRINGS, AT_ONCE, SPANS_AT_ONCE, DOCS_PER_BUCKET = 1_000_000, 256, 20_000, 8_000_000, 500_000, 1024
 NO_ID = -(1 << 63)
 RUNS = "key long, s1 long, s2 long, size int, again boolean, n long, places binary"
 FOUND = "doc long, th int, start int, size int, key long, texts long"
+BYTE, WORD = np.dtype(np.uint8), np.dtype(np.uint64)
+WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 PLACE = np.dtype([("doc", "<i8"), ("th", "<i4"), ("start", "<i4")])
 
 
@@ -71,15 +78,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def units(text: str | None, kind: np.dtype) -> bytes:
+    """The text's bytes, or the hashes of its words."""
+    data = (text or "").encode()
+    if kind == BYTE:
+        return data
+    own = data.split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, own), WORD, len(own)).tobytes()
+
+
 class Hashed:
-    """Hashes of any substring of some bytes from prefix sums."""
+    """Hashes of any substring of some bytes or words from prefix sums."""
 
     def __init__(self, data: np.ndarray):
         room = 1 << max(20, int(len(data)).bit_length())
         self.parts = []
         for values, powers, inverse in tables(room):
             prefix = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(values[data] * powers[: len(data)], out=prefix[1:])
+            own = values[data] if data.dtype == BYTE else mixed(data ^ values[0])
+            np.cumsum(own * powers[: len(data)], out=prefix[1:])
             self.parts.append((prefix, inverse))
 
     def all(self, which: int, length: int) -> np.ndarray:
@@ -101,18 +118,19 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - (width - w)], values[width - w :]) if w < width else values
 
 
-def runs_of(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(text, start, size, key, s1, s2, again) of every run of the texts.
+def runs_of(texts: list[bytes], length: int = LENGTH, kind: np.dtype = BYTE) -> tuple[np.ndarray, ...]:
+    """(text, start, size, key, s1, s2, again) of every run of the texts, given in units of that kind.
 
     again: the run may hold one string at two of its starts.
     """
     gram = length // 2
     width = length - gram + 1
-    own = np.flatnonzero(np.fromiter(map(len, texts), np.int64, len(texts)) >= length)
-    sizes = np.array([len(texts[i]) for i in own], np.int64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) // kind.itemsize
+    own = np.flatnonzero(sizes >= length)
+    sizes = sizes[own]
     if not len(own):
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, bool))
-    data = np.frombuffer(b"".join([texts[i] for i in own]), np.uint8)
+    data = np.frombuffer(b"".join([texts[i] for i in own]), kind)
     begin = np.cumsum(sizes) - sizes
     hashed = Hashed(data)
     grams = hashed.all(0, gram)
@@ -143,10 +161,10 @@ def runs_of(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     return own[text], start - begin[text], end - start, key, hashed.at(0, start, stop), hashed.at(1, start, stop), again
 
 
-def scan(length: int):
+def scan(length: int, kind: np.dtype):
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-        text, start, size, key, s1, s2, again = runs_of(texts, length)
+        texts = [units(t, kind) for t in batch.column("text").to_pylist()]
+        text, start, size, key, s1, s2, again = runs_of(texts, length, kind)
         place = np.empty(len(text), PLACE)
         place["doc"], place["th"], place["start"] = batch.column("doc").to_numpy()[text], batch.column("th").to_numpy()[text], start
         order = np.lexsort((s2, s1, key))
@@ -272,7 +290,7 @@ def grouped(new: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.dtype.itemsize).astype(np.int32)), pa.py_buffer(values.tobytes())])
 
 
-def spans(length: int):
+def spans(length: int, kind: np.dtype):
     """Rows of (text, runs) to the texts of the runs.
 
     Runs of keys with very many texts become their single strings instead, equal
@@ -283,12 +301,12 @@ def spans(length: int):
         out: list[tuple] = []
         single: list[tuple[np.ndarray, ...]] = []
         for doc, th, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc", "th", "text", "runs")), strict=True):
-            data = text.encode()
-            hashed = Hashed(np.frombuffer(data, np.uint8)) if any(r["texts"] > MANY for r in runs) else None
+            data = np.frombuffer(units(text, kind), kind)
+            hashed = Hashed(data) if any(r["texts"] > MANY for r in runs) else None
             for r in runs:
                 a, n = r["start"], r["size"]
                 if r["texts"] <= MANY:
-                    out.append((r["key"], 0, n, data[a : a + n - 1 + length], np.array([(doc, th, a)], PLACE).tobytes()))
+                    out.append((r["key"], 0, n, data[a : a + n - 1 + length].tobytes(), np.array([(doc, th, a)], PLACE).tobytes()))
                 else:
                     starts = np.arange(a, a + n)
                     place = np.empty(n, PLACE)
@@ -324,17 +342,17 @@ def twice(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def resolved(length: int, buckets: int):
+def resolved(length: int, buckets: int, kind: np.dtype):
     """Starts of strings that are found twice among the rows of a key, as runs packed for buckets of documents."""
 
     def of_texts(rows: pa.Table) -> np.ndarray:
         key, size = rows.column("key").to_numpy(), rows.column("size").to_numpy()
         data = rows.column("bytes").to_pylist()
-        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        lengths = np.fromiter(map(len, data), np.int64, len(data)) // kind.itemsize
         place, _ = unpacked(rows.column("places"), np.arange(len(rows)))
         row = np.repeat(np.arange(len(key)), size)
         step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        hashed = Hashed(np.frombuffer(b"".join(data), np.uint8))
+        hashed = Hashed(np.frombuffer(b"".join(data), kind))
         at = (np.cumsum(lengths) - lengths)[row] + step
         found = np.flatnonzero(twice(hashed.at(1, at, at + length), hashed.at(0, at, at + length), key[row]))
         head = np.append(True, (found[1:] != found[:-1] + 1) | (row[found[1:]] != row[found[:-1]])) if len(found) else np.zeros(0, bool)
@@ -404,16 +422,39 @@ def removed(starts: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndar
     return begin[head], reach[np.append(np.flatnonzero(head)[1:] - 1, len(begin) - 1)]
 
 
-def cleaned(length: int, as_text: bool):
+def word_edges(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends."""
+    inside = np.concatenate([[False], ~WHITE[np.frombuffer(data, np.uint8)], [False]])
+    return np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
+
+
+def gone_of(data: bytes, runs: list[dict], length: int, words: int | None) -> list[tuple[int, int]]:
+    """Spans of bytes that repeated strings and repeated passages of words cover."""
+    begin, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for by_word in (False, True):
+        own = [r for r in runs if r["by_word"] == by_word]
+        if own:
+            a, b = removed(np.array([r["start"] for r in own]), np.array([r["size"] for r in own]), words if by_word else length)
+            if by_word:
+                first, last = word_edges(data)
+                a, b = first[a], last[b - 1]
+            begin.append(a)
+            end.append(b)
+    a, b = np.concatenate(begin), np.concatenate(end)
+    if not len(a):
+        return []
+    a, b = removed(a, b - a, 1)
+    return list(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def cleaned(length: int, as_text: bool, words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", BLOCK_BYTES):
                 out: list[list] = [[] for _ in range(4)]
                 for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                    data, gone = (text or "").encode(), []
-                    if runs:
-                        begin, end = removed(np.array([r["start"] for r in runs]), np.array([r["size"] for r in runs]), length)
-                        gone = list(zip(begin.tolist(), end.tolist(), strict=True))
+                    data = (text or "").encode()
+                    gone = gone_of(data, runs or [], length, words)
                     edges = [0, *[x for g in gone for x in g], len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                     row = (len(data), len(data) - len(kept), [{"begin": a, "end": b} for a, b in gone], kept.decode(errors="ignore") if as_text else kept)
@@ -426,35 +467,45 @@ def cleaned(length: int, as_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+def repeated(rows: DataFrame, length: int, kind: np.dtype, n_buckets: int) -> DataFrame:
+    """(doc, th, start, size) of the repeated starts of rows of (doc, th, text), in units of that kind."""
+    least = length if kind == BYTE else 2 * length - 1
+    runs = rows.where(F.octet_length("text") >= least).mapInArrow(tidy(scan(length, kind)), RUNS)
+    found = cut(runs.repartition("key").sortWithinPartitions("key", "s1", "s2").mapInArrow(tidy(classified), FOUND))
+    ragged = found.where("texts > 0").groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size", "key", "texts")).alias("runs"))
+    # One of equal rows is enough, because a run is named by id and text.
+    pieces = rows.join(ragged, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("doc", "th", "text", "runs").mapInArrow(tidy(spans(length, kind)), SPANS)
+    edges = pieces.repartition("key").sortWithinPartitions("key", "w2").mapInArrow(tidy(resolved(length, n_buckets, kind)), PACKED)
+    edges = edges.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(merged), "doc long, th int, start int, size int")
+    return found.where("texts = 0").select("doc", "th", "start", "size").unionByName(edges)
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, length: int = LENGTH, as_text: bool = False, words: int | None = None) -> DataFrame:
     """Every row of docs with n_bytes, n_removed, spans (array of begin, end) and kept.
 
     keep names the columns that are passed through. kept is binary; as_text makes it a
-    string, without the bytes of characters that were cut apart.
+    string, without the bytes of characters that were cut apart. With words, repeated
+    passages of that many words go too, whatever white space is between the words.
     """
     keep = [doc_id] if keep is None else keep
     small_batches(docs.sparkSession)
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc")
     rows = docs.select(doc, F.hash(text).alias("th"), F.col(text).alias("text"))
-    runs = rows.where(F.octet_length("text") >= length).mapInArrow(tidy(scan(length)), RUNS)
-    found = cut(runs.repartition("key").sortWithinPartitions("key", "s1", "s2").mapInArrow(tidy(classified), FOUND))
-    ragged = found.where("texts > 0").groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size", "key", "texts")).alias("runs"))
-    # One of equal rows is enough, because a run is named by id and text.
-    pieces = rows.join(ragged, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("doc", "th", "text", "runs").mapInArrow(tidy(spans(length)), SPANS)
     n_buckets = blocks(docs.count(), DOCS_PER_BUCKET)
-    edges = pieces.repartition("key").sortWithinPartitions("key", "w2").mapInArrow(tidy(resolved(length, n_buckets)), PACKED)
-    edges = edges.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(merged), "doc long, th int, start int, size int")
-    repeats = found.where("texts = 0").select("doc", "th", "start", "size").unionByName(edges)
-    repeats = repeats.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
+    repeats = repeated(rows, length, BYTE, n_buckets).withColumn("by_word", F.lit(False))
+    if words is not None:
+        # One after the other, so that the two never hold memory at once.
+        repeats = cut(repeats).unionByName(cut(repeated(rows, words, WORD, n_buckets).withColumn("by_word", F.lit(True))))
+    repeats = repeats.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size", "by_word")).alias("runs"))
     whole = docs.select(doc, F.hash(text).alias("th"), *[F.col(c).alias(f"__{c}") for c in keep], F.col(text).alias("text")).join(repeats, ["doc", "th"], "left")
     types = ", ".join(f"`__{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = whole.mapInArrow(tidy(cleaned(length, as_text)), f"{types}, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept {'string' if as_text else 'binary'}")
+    out = whole.mapInArrow(tidy(cleaned(length, as_text, words)), f"{types}, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept {'string' if as_text else 'binary'}")
     return out.select(*[F.col(f"__{c}").alias(c) for c in keep if c.lower() not in ("n_bytes", "n_removed", "spans", "kept")], "n_bytes", "n_removed", "spans", "kept")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs without the repeated strings of their texts; n_chars, where there is one, follows."""
-    found = remove_repeats(docs, keep=[c for c in docs.columns if c != "text"], as_text=True)
+    """docs without the repeated strings and passages of over 50 words of their texts; n_chars, where there is one, follows."""
+    found = remove_repeats(docs, keep=[c for c in docs.columns if c != "text"], as_text=True, words=WORDS)
     columns = [F.col("kept").alias("text") if c == "text" else F.length("kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return found.select(*columns)
 
