@@ -65,11 +65,44 @@ def test_simhash(docs, none):
 def test_suffixdedup(docs, none):
     got = suffixdedup.remove_repeats(docs, keep=["doc_id", "score", "kept"])
     assert {r["doc_id"]: r["n_removed"] for r in got.collect()}[5] > 0
-    assert suffixdedup.without_repeats(docs).columns == docs.columns
-    assert suffixdedup.without_repeats(docs).count() == len(ROWS)
+    cleaned = suffixdedup.without_repeats(docs)
+    assert cleaned.columns == docs.columns
+    # The caller's columns keep their values, whatever they are called.
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    assert sorted(map(str, cleaned.select(*others).collect())) == sorted(map(str, docs.select(*others).collect()))
     assert suffixdedup.without_repeats(none).count() == 0
 
 
+def test_suffixdedup_names(spark):
+    """Ids are not looked at: null, repeated and of any type, beside columns with the names of results and helpers."""
+    import random
+
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    a, b = text(900), text(700)
+    rows = [(None, a, "k", 77), (None, b, "l", 78), ("x", "xx" + a, "m", 79), ("x", text(500), "n", 80)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, kept string, n_bytes long").withColumn("t1", F.lit(1)).withColumn("__0", F.lit(2))
+    got = {r["kept"]: r for r in suffixdedup.without_repeats(df).collect()}
+    assert {k: (r["doc_id"], r["text"], r["n_bytes"], r["t1"], r["__0"]) for k, r in got.items()} == {"k": (None, "", 77, 1, 2), "l": (None, b, 78, 1, 2), "m": ("x", "xx", 79, 1, 2), "n": ("x", rows[3][1], 80, 1, 2)}
+
+
+def test_long_texts_are_cut(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffixdedup, "BLOCK", 300)
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 101, n)).decode() for n in (5, 39, 40, 41, 299, 700, 5000)] + ["ab" * 900]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], names=["t1", "t2", "text"])
+    seen = [set() for _ in texts]
+    for parts in suffixdedup.parts_of([batch], 40, suffixdedup.BYTE):
+        assert sum(len(p[3]) for p in parts) <= 300 + 39 or len(parts) == 1
+        text, start, size, *_ = suffixdedup.runs_of([p[3] for p in parts], 40)
+        for i, a, n in zip(text.tolist(), start.tolist(), size.tolist(), strict=True):
+            seen[parts[i][0]].update(range(parts[i][2] + a, parts[i][2] + a + n))
+    assert seen == [set(range(max(0, len(t) - 39))) for t in texts]
+
+
 def test_mixing(docs, labels, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS)

@@ -8,7 +8,8 @@ finds the same repeated strings by content-defined runs of suffixes instead:
 1. The suffixes of a text are grouped into runs: neighbours whose first 400
    bytes share the smallest hash among their 200-byte strings. Equal 400-byte
    strings always have equal smallest hashes, so a repeat can only lie in runs
-   of equal key. About one run per hundred bytes leaves the scan.
+   of equal key. About one run per hundred bytes leaves the scan. A run of one
+   phrase over and over is folded to one turn of it.
 2. Runs are dealt and sorted by key. A run whose whole text is found again is
    repeated throughout. Keys with several different texts are ragged: there,
    the edge of a repeat lies inside the run. Other runs are dropped.
@@ -27,7 +28,7 @@ bytes; equal runs of a block are one row before any shuffle.
 
 Defined cases: null text counts as empty; texts under 400 bytes keep every byte;
 matches never cross documents; equal rows are each treated (and remove each
-other, if long enough); rows without an id are handled like others.
+other, if long enough); ids are never looked at, so they may be null, repeated or of any type.
 """
 
 from __future__ import annotations
@@ -43,18 +44,19 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelake.llm.bpe import slices
 from tracelake.llm.common import blocks, cut, small_batches, table, tidy
 
 LENGTH, WORDS = 400, 51
-BLOCK_BYTES, MANY, MANY_STRINGS, AT_ONCE, SPANS_AT_ONCE, DOCS_PER_BUCKET = 1_000_000, 256, 20_000, 8_000_000, 500_000, 1024
-NO_ID = -(1 << 63)
+BLOCK, BATCH_BYTES, MANY, MANY_STRINGS, AT_ONCE, SPANS_AT_ONCE, TEXTS_PER_BUCKET = 1 << 18, 1_000_000, 256, 50_000, 4_000_000, 500_000, 1024
 RUNS = "key long, s1 long, s2 long, size int, again boolean, n long, places binary"
-FOUND = "doc long, th int, start int, size int, key long, texts long"
+FOUND = "t1 long, t2 long, start int, size int, key long, texts long"
+NAME = ["__t1", "__t2"]
 BYTE, WORD = np.dtype(np.uint8), np.dtype(np.uint64)
 WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
-PLACE = np.dtype([("doc", "<i8"), ("th", "<i4"), ("start", "<i4")])
+PLACE = np.dtype([("t1", "<i8"), ("t2", "<i8"), ("start", "<i4")])
 
 
 @lru_cache(maxsize=1)
@@ -91,7 +93,7 @@ class Hashed:
     """Hashes of any substring of some bytes or words from prefix sums."""
 
     def __init__(self, data: np.ndarray):
-        room = 1 << max(20, int(len(data)).bit_length())
+        room = 1 << max(19, int(len(data)).bit_length())
         self.parts = []
         for values, powers, inverse in tables(room):
             prefix = np.zeros(len(data) + 1, np.uint64)
@@ -118,19 +120,26 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - (width - w)], values[width - w :]) if w < width else values
 
 
-def runs_of(texts: list[bytes], length: int = LENGTH, kind: np.dtype = BYTE) -> tuple[np.ndarray, ...]:
-    """(text, start, size, key, s1, s2, again) of every run of the texts, given in units of that kind.
+def folded(data: np.ndarray, strings: np.ndarray, least: int) -> int:
+    """For a run's units and the hashes of its strings: a number of starts, least or more, that hold all
+    its strings and after which the run only repeats itself, at least once more; 0 if there is none."""
+    same = np.flatnonzero(strings[1 : 2 * least] == strings[0])
+    if not len(same):
+        return 0
+    period = int(same[0]) + 1
+    q = period * -(-least // period)
+    return q if len(strings) >= 2 * q and np.array_equal(data[period:], data[:-period]) else 0
+
+
+def runs_of(texts: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(text, start, size, key, s1, s2, again) of every run of the texts, each of that many units at least.
 
     again: the run may hold one string at two of its starts.
     """
     gram = length // 2
     width = length - gram + 1
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) // kind.itemsize
-    own = np.flatnonzero(sizes >= length)
-    sizes = sizes[own]
-    if not len(own):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, bool))
-    data = np.frombuffer(b"".join([texts[i] for i in own]), kind)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    data = np.concatenate(texts)
     begin = np.cumsum(sizes) - sizes
     hashed = Hashed(data)
     grams = hashed.all(0, gram)
@@ -156,17 +165,48 @@ def runs_of(texts: list[bytes], length: int = LENGTH, kind: np.dtype = BYTE) ->
     place = place[order]
     close = (grams[place[1:]] == grams[place[:-1]]) & (place[1:] - place[:-1] < 2 * length)
     again = np.isin(key, np.unique(grams[place[1:]][close]))
-    text = np.searchsorted(begin, start, side="right") - 1
-    stop = end - 1 + length
-    return own[text], start - begin[text], end - start, key, hashed.at(0, start, stop), hashed.at(1, start, stop), again
+    run, first = [np.arange(len(start))], [start]
+    for i in np.flatnonzero(again & (end - start > 2 * width)):
+        at = np.arange(start[i], end[i])
+        q = folded(data[start[i] : end[i] - 1 + length], hashed.at(0, at, at + length), width)
+        if q:
+            # The other parts stand beside the first one: what is found twice is repeated throughout.
+            first.append(np.append(np.arange(start[i] + q, end[i] - q, q), end[i] - q))
+            run.append(np.full(len(first[-1]), i))
+            end[i], again[i] = start[i] + q, False
+    run, first, stop = np.concatenate(run), np.concatenate(first), end - 1 + length
+    text = np.searchsorted(begin, first, side="right") - 1
+    return text, first - begin[text], (end - start)[run], key[run], hashed.at(0, start, stop)[run], hashed.at(1, start, stop)[run], again[run]
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], length: int, kind: np.dtype) -> Iterator[list[tuple[int, int, int, np.ndarray]]]:
+    """Lists of (t1, t2, start, units) of at most some BLOCK units in all; long texts are cut, with an overlap of length - 1.
+
+    Which run a start is in follows from its own string alone, so a cut can only split a run in two.
+    """
+    parts, size = [], 0
+    for whole in batches:
+        for batch in slices(whole, "text", BATCH_BYTES):
+            for t1, t2, text in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text")), strict=True):
+                data = np.frombuffer(units(text, kind), kind)
+                for at in range(0, len(data) - length + 1, BLOCK):
+                    part = data[at : at + BLOCK + length - 1]
+                    if parts and size + len(part) > BLOCK:
+                        yield parts
+                        parts, size = [], 0
+                    parts.append((t1, t2, at, part))
+                    size += len(part)
+    if parts:
+        yield parts
 
 
 def scan(length: int, kind: np.dtype):
-    def block(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [units(t, kind) for t in batch.column("text").to_pylist()]
-        text, start, size, key, s1, s2, again = runs_of(texts, length, kind)
+    def block(parts: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        text, start, size, key, s1, s2, again = runs_of([p[3] for p in parts], length)
         place = np.empty(len(text), PLACE)
-        place["doc"], place["th"], place["start"] = batch.column("doc").to_numpy()[text], batch.column("th").to_numpy()[text], start
+        for i, c in enumerate(("t1", "t2", "start")):
+            place[c] = np.array([p[i] for p in parts])[text]
+        place["start"] += start.astype(np.int32)
         order = np.lexsort((s2, s1, key))
         key, s1, s2, size, again, place = (x[order] for x in (key, s1, s2, size, again, place))
         new = np.ones(len(key), bool)
@@ -176,9 +216,8 @@ def scan(length: int, kind: np.dtype):
         return pa.RecordBatch.from_arrays([*map(pa.array, columns), grouped(new, place)], names=["key", "s1", "s2", "size", "again", "n", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", BLOCK_BYTES):
-                yield block(batch)
+        for parts in parts_of(batches, length, kind):
+            yield block(parts)
 
     return run
 
@@ -262,7 +301,7 @@ def classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_key = np.cumsum(np.append(True, key[first][1:] != key[first][:-1])) - 1
         size = rows.column("size").to_numpy()
         apart = ((of_key == 0) & key_before) | ((of_key == of_key[-1]) & key_after)
-        # Long runs, as of one phrase over and over, hold very many strings in few texts.
+        # Long runs hold very many strings in few texts.
         long = np.bincount(of_key, size[first])[of_key] > MANY_STRINGS
         count = np.bincount(of_key)[of_key]
         texts = np.where(apart | long, MANY + 1, count)
@@ -273,15 +312,15 @@ def classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ragged = first[one]
         head, head_n = unpacked(rows.column("places"), ragged)
         head = head[np.cumsum(head_n) - head_n]
-        columns = [np.concatenate([place[c], head[c]]) for c in ("doc", "th", "start")]
+        columns = [np.concatenate([place[c], head[c]]) for c in ("t1", "t2", "start")]
         columns += [np.concatenate([np.repeat(size[full], each), size[ragged]]), np.concatenate([np.repeat(key[full], each), key[ragged]])]
         columns += [np.concatenate([np.zeros(len(place), np.int64), texts[group[ragged]]])]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "th", "start", "size", "key", "texts"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t1", "t2", "start", "size", "key", "texts"])
 
 
 SPANS = "key long, w2 long, size int, bytes binary, places binary"
 PACKED = "bucket int, packed binary"
-SPAN = np.dtype([("doc", "<i8"), ("th", "<i4"), ("start", "<i4"), ("size", "<i4")])
+SPAN = np.dtype([("t1", "<i8"), ("t2", "<i8"), ("start", "<i4"), ("size", "<i4")])
 
 
 def grouped(new: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -291,41 +330,53 @@ def grouped(new: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 def spans(length: int, kind: np.dtype):
-    """Rows of (text, runs) to the texts of the runs.
+    """Rows of (t1, t2, text, runs) to the texts of the runs.
 
     Runs of keys with very many texts become their single strings instead, equal
     ones of a block in one row, dealt by their own hash.
     """
 
-    def block(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple] = []
-        single: list[tuple[np.ndarray, ...]] = []
-        for doc, th, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc", "th", "text", "runs")), strict=True):
-            data = np.frombuffer(units(text, kind), kind)
-            hashed = Hashed(data) if any(r["texts"] > MANY for r in runs) else None
-            for r in runs:
-                a, n = r["start"], r["size"]
-                if r["texts"] <= MANY:
-                    out.append((r["key"], 0, n, data[a : a + n - 1 + length].tobytes(), np.array([(doc, th, a)], PLACE).tobytes()))
-                else:
-                    starts = np.arange(a, a + n)
-                    place = np.empty(n, PLACE)
-                    place["doc"], place["th"], place["start"] = doc, th, starts
-                    single.append((hashed.at(0, starts, starts + length), hashed.at(1, starts, starts + length), place))
-        columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
-        if single:
-            w1, w2, place = (np.concatenate(x) for x in zip(*single, strict=True))
-            order = np.lexsort((w2, w1))
-            w1, w2, place = w1[order], w2[order], place[order]
-            new = np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))
-            more = [pa.array(w1[new].view(np.int64)), pa.array(w2[new].view(np.int64)), pa.array(np.ones(new.sum(), np.int32)), pa.nulls(int(new.sum()), pa.binary()), grouped(new, place)]
-            columns = [pa.concat_arrays(x) for x in zip(columns, more, strict=True)]
+    def texts(parts: list[tuple]) -> pa.RecordBatch:
+        places = np.array([(t1, t2, r["start"]) for t1, t2, r, _ in parts], PLACE)
+        columns = [pa.array([r["key"] for _, _, r, _ in parts], pa.int64()), pa.array(np.zeros(len(parts), np.int64)), pa.array([r["size"] for _, _, r, _ in parts], pa.int32())]
+        columns += [pa.array([d.tobytes() for *_, d in parts], pa.binary()), grouped(np.ones(len(parts), bool), places)]
         return pa.RecordBatch.from_arrays(columns, names=["key", "w2", "size", "bytes", "places"])
 
+    def strings(parts: list[tuple]) -> pa.RecordBatch:
+        size = np.array([r["size"] for _, _, r, _ in parts])
+        lengths = np.array([len(d) for *_, d in parts])
+        row = np.repeat(np.arange(len(parts)), size)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        at = (np.cumsum(lengths) - lengths)[row] + step
+        hashed = Hashed(np.concatenate([d for *_, d in parts]))
+        w1, w2 = hashed.at(0, at, at + length), hashed.at(1, at, at + length)
+        place = np.array([(t1, t2, r["start"]) for t1, t2, r, _ in parts], PLACE)[row]
+        place["start"] += step.astype(np.int32)
+        order = np.lexsort((w2, w1))
+        w1, w2, place = w1[order], w2[order], place[order]
+        new = np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))
+        n = int(new.sum())
+        return pa.RecordBatch.from_arrays([pa.array(w1[new].view(np.int64)), pa.array(w2[new].view(np.int64)), pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.binary()), grouped(new, place)], names=["key", "w2", "size", "bytes", "places"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few, many, held = [], [], [0, 0]
         for whole in batches:
-            for batch in slices(whole, "text", BLOCK_BYTES):
-                yield block(batch)
+            for batch in slices(whole, "text", BATCH_BYTES):
+                for t1, t2, text, runs in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text", "runs")), strict=True):
+                    data = np.frombuffer(units(text, kind), kind)
+                    for r in runs:
+                        own = data[r["start"] : r["start"] + r["size"] - 1 + length]
+                        which = r["texts"] > MANY
+                        (many if which else few).append((t1, t2, r, own))
+                        held[which] += len(own)
+                        if held[which] > BLOCK:
+                            yield strings(many) if which else texts(few)
+                            (many if which else few).clear()
+                            held[which] = 0
+        if few:
+            yield texts(few)
+        if many:
+            yield strings(many)
 
     return run
 
@@ -358,7 +409,7 @@ def resolved(length: int, buckets: int, kind: np.dtype):
         head = np.append(True, (found[1:] != found[:-1] + 1) | (row[found[1:]] != row[found[:-1]])) if len(found) else np.zeros(0, bool)
         first = found[head]
         out = np.empty(len(first), SPAN)
-        out["doc"], out["th"], out["start"] = place["doc"][row[first]], place["th"][row[first]], place["start"][row[first]] + step[first]
+        out["t1"], out["t2"], out["start"] = place["t1"][row[first]], place["t2"][row[first]], place["start"][row[first]] + step[first]
         out["size"] = np.diff(np.append(np.flatnonzero(head), len(found)))
         return out
 
@@ -368,7 +419,7 @@ def resolved(length: int, buckets: int, kind: np.dtype):
         again = twice(w2, key) | (each > 1) | (before & (key == key[0]) & (w2 == w2[0]))
         place = place[np.repeat(again, each)]
         out = np.empty(len(place), SPAN)
-        out["doc"], out["th"], out["start"], out["size"] = place["doc"], place["th"], place["start"], 1
+        out["t1"], out["t2"], out["start"], out["size"] = place["t1"], place["t2"], place["start"], 1
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +428,7 @@ def resolved(length: int, buckets: int, kind: np.dtype):
             texts, strings = rows.filter(pc.invert(single)), rows.filter(single)
             found = np.concatenate([np.empty(0, SPAN), *([of_texts(texts)] if len(texts) else []), *([of_strings(strings, text_before)] if len(strings) else [])])
             if len(found):
-                bucket = (found["doc"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
+                bucket = (found["t1"].astype(np.uint64) >> np.uint64(33)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 bucket = bucket[order].astype(np.int32)
                 new = np.append(True, bucket[1:] != bucket[:-1])
@@ -391,15 +442,15 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def joined(parts: list[bytes]) -> pa.RecordBatch:
         x = np.frombuffer(b"".join(parts), SPAN)
-        x = x[np.lexsort((x["start"], x["th"], x["doc"]))]
-        own = np.append(True, (x["doc"][1:] != x["doc"][:-1]) | (x["th"][1:] != x["th"][:-1]))
+        x = x[np.lexsort((x["start"], x["t2"], x["t1"]))]
+        own = np.append(True, (x["t1"][1:] != x["t1"][:-1]) | (x["t2"][1:] != x["t2"][:-1]))
         # Ends grow along a document's runs once each document is lifted above the ones before.
         lift = np.cumsum(own) * (1 << 32)
         begin, reach = x["start"] + lift, np.maximum.accumulate(x["start"].astype(np.int64) + x["size"] + lift)
         head = np.append(True, own[1:] | (begin[1:] > reach[:-1]))
         first = np.flatnonzero(head)
         size = reach[np.append(first[1:], len(x)) - 1] - begin[first]
-        return pa.RecordBatch.from_arrays([pa.array(x["doc"][first]), pa.array(x["th"][first]), pa.array(x["start"][first]), pa.array(size.astype(np.int32))], names=["doc", "th", "start", "size"])
+        return pa.RecordBatch.from_arrays([*(pa.array(x[c][first]) for c in ("t1", "t2", "start")), pa.array(size.astype(np.int32))], names=["t1", "t2", "start", "size"])
 
     now, parts = None, []
     for batch in batches:
@@ -428,18 +479,21 @@ def word_edges(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
 
 
-def gone_of(data: bytes, runs: list[dict], length: int, words: int | None) -> list[tuple[int, int]]:
-    """Spans of bytes that repeated strings and repeated passages of words cover."""
+def gone_of(data: bytes, runs: list[dict], copied: bool, length: int, words: int | None) -> list[tuple[int, int]]:
+    """Spans of bytes that repeated strings and repeated passages of words cover; all of a copied text's are."""
     begin, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for by_word in (False, True):
+    if copied and len(data) >= length:
+        return [(0, len(data))]
+    for by_word in (False, True) if words else (False,):
         own = [r for r in runs if r["by_word"] == by_word]
+        first, last = word_edges(data) if by_word and (own or copied) else (begin[0], end[0])
         if own:
             a, b = removed(np.array([r["start"] for r in own]), np.array([r["size"] for r in own]), words if by_word else length)
-            if by_word:
-                first, last = word_edges(data)
-                a, b = first[a], last[b - 1]
-            begin.append(a)
-            end.append(b)
+            begin.append(first[a] if by_word else a)
+            end.append(last[b - 1] if by_word else b)
+        if by_word and copied and len(first) >= words:
+            begin.append(first[:1])
+            end.append(last[-1:])
     a, b = np.concatenate(begin), np.concatenate(end)
     if not len(a):
         return []
@@ -447,70 +501,87 @@ def gone_of(data: bytes, runs: list[dict], length: int, words: int | None) -> li
     return list(zip(a.tolist(), b.tolist(), strict=True))
 
 
+GONE = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+OWN = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])))]
+
+
 def cleaned(length: int, as_text: bool, words: int | None):
+    def block(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[] for _ in range(4)]
+        for text, runs, copied in zip(*(batch.column(c).to_pylist() for c in ("__text", "__runs", "__copied")), strict=True):
+            data = (text or "").encode()
+            gone = gone_of(data, runs or [], bool(copied), length, words)
+            edges = [0, *[x for g in gone for x in g], len(data)]
+            kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            row = (len(data), len(data) - len(kept), [{"begin": a, "end": b} for a, b in gone], kept.decode(errors="ignore") if as_text else kept)
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+        new = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), GONE, pa.string() if as_text else pa.binary()), strict=True)]
+        kept = batch.drop_columns(["__text", "__runs", "__copied"])
+        return pa.RecordBatch.from_arrays([*kept.columns, *new], names=[*kept.schema.names, "n_bytes", "n_removed", "spans", "kept"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", BLOCK_BYTES):
-                out: list[list] = [[] for _ in range(4)]
-                for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                    data = (text or "").encode()
-                    gone = gone_of(data, runs or [], length, words)
-                    edges = [0, *[x for g in gone for x in g], len(data)]
-                    kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    row = (len(data), len(data) - len(kept), [{"begin": a, "end": b} for a, b in gone], kept.decode(errors="ignore") if as_text else kept)
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-                types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.string() if as_text else pa.binary()]
-                kept = batch.drop_columns(["text", "runs", "doc", "th"])
-                yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=[*kept.schema.names, "n_bytes", "n_removed", "spans", "kept"])
+            for batch in slices(whole, "__text", BATCH_BYTES):
+                yield block(batch)
 
     return run
 
 
 def repeated(rows: DataFrame, length: int, kind: np.dtype, n_buckets: int) -> DataFrame:
-    """(doc, th, start, size) of the repeated starts of rows of (doc, th, text), in units of that kind."""
-    least = length if kind == BYTE else 2 * length - 1
-    runs = rows.where(F.octet_length("text") >= least).mapInArrow(tidy(scan(length, kind)), RUNS)
+    """(t1, t2, start, size) of the repeated starts of rows of (t1, t2, text), in units of that kind."""
+    rows = rows.where(F.octet_length("text") >= (length if kind == BYTE else 2 * length - 1))
+    runs = rows.mapInArrow(tidy(scan(length, kind)), RUNS)
     found = cut(runs.repartition("key").sortWithinPartitions("key", "s1", "s2").mapInArrow(tidy(classified), FOUND))
-    ragged = found.where("texts > 0").groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size", "key", "texts")).alias("runs"))
-    # One of equal rows is enough, because a run is named by id and text.
-    pieces = rows.join(ragged, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("doc", "th", "text", "runs").mapInArrow(tidy(spans(length, kind)), SPANS)
+    ragged = found.where("texts > 0").groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "size", "key", "texts")).alias("runs"))
+    # One of equal texts is enough, and fewer before the join than after it: no text is too common for one task.
+    pieces = rows.dropDuplicates(["t1", "t2"]).join(ragged, ["t1", "t2"]).select("t1", "t2", "text", "runs").mapInArrow(tidy(spans(length, kind)), SPANS)
     edges = pieces.repartition("key").sortWithinPartitions("key", "w2").mapInArrow(tidy(resolved(length, n_buckets, kind)), PACKED)
-    edges = edges.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(merged), "doc long, th int, start int, size int")
-    return found.where("texts = 0").select("doc", "th", "start", "size").unionByName(edges)
+    edges = edges.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(merged), "t1 long, t2 long, start int, size int")
+    return found.where("texts = 0").select("t1", "t2", "start", "size").unionByName(edges)
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, length: int = LENGTH, as_text: bool = False, words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, length: int = LENGTH, as_text: bool = False, words: int | None = None) -> DataFrame:
     """Every row of docs with n_bytes, n_removed, spans (array of begin, end) and kept.
 
-    keep names the columns that are passed through. kept is binary; as_text makes it a
-    string, without the bytes of characters that were cut apart. With words, repeated
-    passages of that many words go too, whatever white space is between the words.
+    keep names the columns passed through, all but the text if absent; they may not have
+    the names that are added. kept is binary; as_text makes it a string, without the bytes of
+    characters that were cut apart. With words, repeated passages of that many words go too,
+    whatever white space is between the words.
     """
-    keep = [doc_id] if keep is None else keep
+    keep = [c for c in docs.columns if c != text] if keep is None else keep
     small_batches(docs.sparkSession)
-    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc")
-    rows = docs.select(doc, F.hash(text).alias("th"), F.col(text).alias("text"))
-    n_buckets = blocks(docs.count(), DOCS_PER_BUCKET)
+    value = F.coalesce(F.col(text), F.lit(""))
+    # Texts are named by 128 bits of hash: rows need no id of their own.
+    t1, t2 = F.xxhash64(value).alias("t1"), F.xxhash64(F.lit(2), value).alias("t2")
+    rows = docs.select(t1, t2, value.alias("text"))
+    names = cut(docs.select(t1, t2).groupBy("t1", "t2").agg((F.count("*") > 1).alias("copied")))
+    n_buckets = blocks(names.count(), TEXTS_PER_BUCKET)
     repeats = repeated(rows, length, BYTE, n_buckets).withColumn("by_word", F.lit(False))
     if words is not None:
         # One after the other, so that the two never hold memory at once.
         repeats = cut(repeats).unionByName(cut(repeated(rows, words, WORD, n_buckets).withColumn("by_word", F.lit(True))))
-    repeats = repeats.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size", "by_word")).alias("runs"))
-    whole = docs.select(doc, F.hash(text).alias("th"), *[F.col(c).alias(f"__{c}") for c in keep], F.col(text).alias("text")).join(repeats, ["doc", "th"], "left")
-    types = ", ".join(f"`__{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = whole.mapInArrow(tidy(cleaned(length, as_text, words)), f"{types}, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept {'string' if as_text else 'binary'}")
-    return out.select(*[F.col(f"__{c}").alias(c) for c in keep if c.lower() not in ("n_bytes", "n_removed", "spans", "kept")], "n_bytes", "n_removed", "spans", "kept")
+    repeats = repeats.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "size", "by_word")).alias("runs"))
+    marks = names.where("copied").join(repeats, ["t1", "t2"], "full").select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("runs").alias("__runs"), F.col("copied").alias("__copied"))
+    whole = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], value.alias("__text"), t1.alias("__t1"), t2.alias("__t2"))
+    whole = whole.join(marks, NAME, "left").drop(*NAME)
+    fields = [T.StructField(f"__{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    out = whole.mapInArrow(tidy(cleaned(length, as_text, words)), T.StructType([*fields, *OWN, T.StructField("kept", T.StringType() if as_text else T.BinaryType())]))
+    return out.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "n_removed", "spans", "kept")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs without the repeated strings and passages of over 50 words of their texts; n_chars, where there is one, follows."""
-    found = remove_repeats(docs, keep=[c for c in docs.columns if c != "text"], as_text=True, words=WORDS)
-    columns = [F.col("kept").alias("text") if c == "text" else F.length("kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return found.select(*columns)
+    others = [c for c in docs.columns if c != "text"]
+    found = remove_repeats(docs, as_text=True, words=WORDS)
+    found = found.toDF(*[f"__{i}" for i in range(len(others))], "n_bytes", "n_removed", "spans", "kept")
+    place = {c: F.col(f"__{i}") for i, c in enumerate(others)} | {"text": F.col("kept")}
+    if "n_chars" in place:
+        place["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[place[c].alias(c) for c in docs.columns])
 
 
 def op10_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to repeated 400-byte strings."""
-    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
