@@ -1,36 +1,45 @@
-"""Texts with a Jaccard similarity of 0.8 or more over five-word shingles, exactly.
-
-Two sets with that similarity share one of the first n - ceil(0.8 n) + 1 shingles of
-each, in any order that is the same for all sets (prefix filter). So each
-distinct set is dealt to buckets by the shingles of its prefix, and every pair
-that is linked meets in a bucket. The order puts shingles that are common in a sample
-of the documents last: the sample decides how full buckets get, never what is found.
-
-A bucket first links each set to the one with the smallest name, so a group of many near
-copies costs as many tests as it has members. Then all pairs of a bucket are tested
-whose sizes fit and whose sets are not yet in one component. Every link is tested on the whole sets.
-
-Sets are told apart by 64-bit hashes. A text of at most five words is one shingle.
+"""Texts with a Jaccard similarity of 0.8 or more over five-word shingles.
+
+Candidates come from two indexes over the distinct sets of shingles:
+
+* SimHash: fingerprints of the sets that differ in at most four bits, by the deletion
+  variants of simhash.py. At a similarity of 0.8 fingerprints differ in some ten bits,
+  so this finds the close copies only.
+* Prefixes: two sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1
+  shingles of each, in any order that is the same for all sets. Sets are dealt to
+  buckets by those shingles. The order puts shingles that are common in a sample of
+  the texts last and is random else, so of a set without common shingles the first KEYS
+  suffice: each of the first KEYS shingles of the union of two sets is in both with
+  probability 0.8, and that none is has probability 0.2 ** KEYS, under 1e-11. The sample
+  decides how full buckets get, never what is found.
+
+In a bucket each set first meets the one with the smallest name, so a group of many
+near copies costs as many tests as it has members. Then all pairs of a bucket are tested
+that are not yet in one component. Buckets of one component leave before that, and large ones
+are cut into chunks whose pairs are cells of their own. Every link is tested on the whole
+sets. Pairs whose sizes do not fit are not tested, nor pairs of FEW or more shingles whose
+fingerprints differ in over FAR bits: at a similarity of 0.8, that has probability under 1e-8.
+
+Sets are told apart by 64-bit hashes, texts by 128 bits. A text of at most five words is one shingle.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.bpe import slices
 from tracelake.llm.common import components, cut, equal_runs, small_batches, tidy
 
-SHINGLE, SEED = 5, 42
+SHINGLE, SEED, KEYS, FEW, FAR = 5, 42, 16, 30, 28
 SAMPLE_DOCS, COMMON, MOST_COMMON = 20_000, 8, 100_000
-BLOCK_BYTES, AT_ONCE = 2_000_000, 200_000
+BLOCK_BYTES, AT_ONCE, CHUNK, CACHE_SHINGLES, BROADCAST_NAMES = 1_000_000, 200_000, 4096, 2_000_000, 200_000
 
 
 def shingle_hashes(text: str | None, n: int) -> list[int]:
@@ -54,7 +63,7 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def common_shingles(texts: DataFrame) -> np.ndarray:
-    """The shingles found in the most documents of a sample of bounded size, rarer first."""
+    """The shingles found in the most texts of a sample of bounded size, rarer first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -62,127 +71,155 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
                 sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
 
-    small_batches(texts.sparkSession)
     each = max(1, math.ceil(texts.count() / SAMPLE_DOCS))
-    sample = texts.where(F.pmod(F.xxhash64("__doc", "__th"), F.lit(each)) == 0).select("text")
+    sample = texts.where(F.pmod("t1", F.lit(each)) == 0).dropDuplicates(["t1", "t2"]).select("text")
     count = sample.mapInArrow(tidy(run), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     rows = count.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).collect()
     return np.array([r["shingle"] for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-def with_sets(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """(__doc, __th, node, n, prefix): name and size of each text's set and the shingles it is found by."""
-    by_value = np.argsort(common)
-    values = common[by_value]
+def keys_of(own: np.ndarray, values: np.ndarray, rank_of: np.ndarray) -> np.ndarray:
+    """The shingles of a set that it is found by."""
+    if not len(own):
+        return own
+    rank = np.zeros(len(own), np.int64)
+    if len(values):
+        at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        rank = np.where(values[at] == own, rank_of[at] + 1, 0)
+    n = len(own) - (4 * len(own) + 4) // 5 + 1
+    return own[np.lexsort((own, rank))][: n if rank.any() else min(n, KEYS)]
+
 
-    def prefix(own: np.ndarray) -> np.ndarray:
-        rank = np.zeros(len(own), np.int64)
-        if len(values):
-            at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-            rank = np.where(values[at] == own, by_value[at] + 1, 0)
-        return own[np.lexsort((own, rank))][: len(own) - (4 * len(own) + 4) // 5 + 1] if len(own) else own
+def with_sets(texts: DataFrame, common: np.ndarray, fingerprints) -> DataFrame:
+    """(id, t1, t2, node, n, fp, keys): name, size and fingerprint of each text's set and what it is found by."""
+    rank_of = np.argsort(common)
+    values = common[rank_of]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", BLOCK_BYTES):
                 sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-                found = pa.array([prefix(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-                columns = [batch.column("__doc"), batch.column("__th"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), found]
-                yield pa.RecordBatch.from_arrays(columns, names=["__doc", "__th", "node", "n", "prefix"])
-
-    small_batches(texts.sparkSession)
-    return texts.mapInArrow(tidy(run), "__doc long, __th long, node long, n long, prefix array<long>")
-
-
-def whole_buckets(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.Table]:
-    """Rows sorted by key in tables of about at_once rows, cut between keys."""
-    parts: list[pa.Table] = []
-    for batch in batches:
-        parts.append(pa.Table.from_batches([batch]))
-        if sum(map(len, parts)) >= at_once:
-            rows = pa.concat_tables(parts).combine_chunks()
-            key = rows.column("key").to_numpy()
-            at = int(np.searchsorted(key, key[-1]))
-            if at:
-                yield rows.slice(0, at)
-            parts = [rows.slice(at)]
-    if parts:
-        yield pa.concat_tables(parts).combine_chunks()
-
+                found = pa.array([keys_of(s, values, rank_of).view(np.int64) for s in sets], pa.list_(pa.int64()))
+                fp = fingerprints(sets).view(np.int64)
+                kept = batch.drop_columns(["text"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), found], names=[*kept.schema.names, "node", "n", "fp", "keys"])
 
-def fits(n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
+    id_type = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(tidy(run), f"id {id_type}, t1 long, t2 long, node long, n long, fp long, keys array<long>")
 
 
-def pairs_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
-
-
-def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set of a bucket with the first one."""
-    for rows in whole_buckets(batches, AT_ONCE):
-        key, node, n = (rows.column(c).to_numpy() for c in ("key", "node", "n"))
-        at = np.arange(len(key))
-        first = np.searchsorted(key, key)
-        keep = (at != first) & fits(n, at, first)
-        yield pairs_of(node[first[keep]], node[at[keep]])
+def may_link(n: Column, m: Column, fp: Column, other: Column) -> Column:
+    fits = 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+    return fits & ((F.least(n, m) < FEW) | (F.bit_count(fp.bitwiseXOR(other)) <= FAR))
 
 
 def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of a bucket that are in different components."""
-    for rows in whole_buckets(batches, AT_ONCE):
-        key, node, n, own = (rows.column(c).to_numpy() for c in ("key", "node", "n", "component"))
+    """The pairs (a, b) of a cell that may link and are in different components; of a cell of two chunks, only pairs across them."""
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell, node, n, fp, own, mine = (rows.column(c).to_numpy() for c in ("cell", "node", "n", "fp", "component", "mine"))
+        within = rows.column("within").to_numpy(zero_copy_only=False)
         a, b, size = [], [], 0
-        for i, j in equal_runs(key):
-            keep = (own[i] != own[j]) & fits(n, i, j)
+        for i, j in equal_runs(cell):
+            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            keep = (own[i] != own[j]) & (5 * low >= 4 * high) & (within[i] | (mine[i] != mine[j]))
+            i, j, low = i[keep], j[keep], low[keep]
+            keep = (low < FEW) | (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= FAR)
             a.append(node[i[keep]])
             b.append(node[j[keep]])
             size += len(a[-1])
             if size >= AT_ONCE:
-                yield pairs_of(np.concatenate(a), np.concatenate(b))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
                 a, b, size = [], [], 0
         if size:
-            yield pairs_of(np.concatenate(a), np.concatenate(b))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+    parts: list[pa.Table] = []
+    for batch in batches:
+        parts.append(pa.Table.from_batches([batch]))
+        if sum(map(len, parts)) >= AT_ONCE:
+            rows = pa.concat_tables(parts).combine_chunks()
+            cell = rows.column("cell").to_numpy()
+            at = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if (cell != cell[-1]).any() else 0
+            if at:
+                yield from pairs(rows.slice(0, at))
+            parts = [rows.slice(at)]
+    if parts:
+        yield from pairs(pa.concat_tables(parts).combine_chunks())
 
 
 def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose sets have 0.8 of their union in common."""
-    known = lru_cache(maxsize=256)(shingle_set)
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            both = np.sort(np.concatenate([known(x), known(y)]))
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(5 * shared >= 4 * (len(both) - shared))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    known: dict[str, np.ndarray] = {}
+    held = 0
+
+    def of(text: str) -> np.ndarray:
+        nonlocal held
+        if text not in known:
+            if held > CACHE_SHINGLES:
+                known.clear()
+                held = 0
+            known[text] = shingle_set(text)
+            held += len(known[text])
+        return known[text]
+
+    for whole in batches:
+        for batch in slices(whole, "x", BLOCK_BYTES):
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                both = np.sort(np.concatenate([of(x), of(y)]))
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(5 * shared >= 4 * (len(both) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def tested(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar; of their texts one each is read again."""
+    """The pairs (a, b) of nodes that are similar; of their texts one each is read again. pairs should be a checkpoint."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    names = nodes.select("node", "least.*").join(asked, "node", "left_semi")
-    # Texts take less room on disk than their sets, whose hashes cannot be compressed.
-    own = cut(texts.join(names, ["__doc", "__th"]).dropDuplicates(["__doc", "__th"]).select("node", "text"))
+    names = cut(nodes.join(asked, "node", "left_semi").select("node", "text.*"))
+    # Three numbers a row: broadcast only while few; beyond, Spark joins by shuffle.
+    names = F.broadcast(names) if names.count() <= BROADCAST_NAMES else names
+    own = texts.select("t1", "t2", "text").join(names, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
     both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return cut(both.mapInArrow(tidy(similar), "a long, b long"))
 
 
-def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all nodes with similar sets; nodes has node, n, prefix and least, the (__doc, __th) of a text."""
-    dealt = nodes.select(F.explode("prefix").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key", "node")
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_buckets(batches, AT_ONCE):
-            key = rows.column("key").to_numpy()
-            same = key[1:] == key[:-1]
-            yield from rows.filter(pa.array(np.append(same, False) | np.append(False, same))).to_batches()
-
-    buckets = cut(dealt.mapInArrow(tidy(shared), "key long, node long, n long"))
-    pairs = cut(buckets.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(stars), "a long, b long").distinct())
+def links(nodes: DataFrame, texts: DataFrame, near_links) -> DataFrame:
+    """Edges (a, b) that connect all nodes with similar sets; nodes has node, n, fp, keys and text, the (t1, t2) of a text."""
+    slim = nodes.select("node", "n", "fp")
+    # Fingerprints: each set with the first of its fingerprint, and those with the first ones of fingerprints nearby.
+    heads = cut(slim.groupBy("fp").agg(F.min("node").alias("head")))
+    close = near_links(heads.select("fp")).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    close = close.unionByName(slim.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")))
+    # Prefixes: buckets of two and more sets, each set with the first one.
+    dealt = nodes.select(F.explode("keys").alias("key"), "node", "n", "fp")
+    full = dealt.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n", "fp")).alias("first")).where("size > 1")
+    buckets = cut(dealt.join(full, "key"))
+    stars = buckets.where((F.col("node") != F.col("first.node")) & may_link(F.col("n"), F.col("first.n"), F.col("fp"), F.col("first.fp")))
+    stars = stars.select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+    pairs = cut(close.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     near = tested(pairs, nodes, texts)
     own = components(near).select("node", "component")
-    rest = buckets.join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = rest.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(across), "a long, b long").distinct()
-    return near.unionByName(tested(cut(rest.join(pairs, ["a", "b"], "left_anti")), nodes, texts))
+    rest = buckets.select("key", "size", "node", "n", "fp").join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    rest = rest.join(mixed, "key", "left_semi").withColumn("chunks", F.ceil(F.col("size") / CHUNK))
+    rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1L)")))
+    cell = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    rest = rest.select(cell.alias("cell"), "node", "n", "fp", "component", "mine", (F.col("mine") == F.col("other")).alias("within"))
+    rest = rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(across), "a long, b long")
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    return near.unionByName(tested(cut(rest), nodes, texts))
+
+
+def first_of_groups(docs: DataFrame, doc_id: str, text: str, fingerprints, near_links) -> DataFrame:
+    """(id, t1, t2) of the row with the smallest id (null first; ties by hash) of each group of near copies."""
+    small_batches(docs.sparkSession)
+    value = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(value).alias("t1"), F.xxhash64(F.lit(2), value).alias("t2"), value.alias("text"))
+    sets = with_sets(texts, common_shingles(texts), fingerprints)
+    nodes = sets.groupBy("node").agg(F.min(F.struct("id", "t1", "t2")).alias("least"), F.min(F.struct("t1", "t2")).alias("text"), F.min(F.struct("n", "fp", "keys")).alias("set"))
+    nodes = cut(nodes.select("node", "least", "text", "set.*"))
+    found = components(links(nodes, texts, near_links))
+    nodes = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return nodes.groupBy("component").agg(F.min("least").alias("least")).select("least.*")

@@ -39,7 +39,7 @@ HALF, AT_ONCE, SMALL, BLOCK_BYTES = 1024, 200_000, 20_000, 2_000_000
 LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprints(hashes: list[list[int]]) -> np.ndarray:
+def fingerprints(hashes: list[list[int]] | list[np.ndarray]) -> np.ndarray:
     """The fingerprint of each list: bit set where over half of the hashes have it.
 
     Bits are counted eight at a time in byte lanes over runs of at most 255 hashes.
@@ -49,7 +49,7 @@ def fingerprints(hashes: list[list[int]]) -> np.ndarray:
     full = np.flatnonzero(lengths)
     if not len(full):
         return out
-    flat = np.fromiter((h for own in hashes for h in own), np.uint64, int(lengths.sum()))
+    flat = np.concatenate([np.array(own, np.uint64) for own in hashes])
     lengths = lengths[full]
     starts = np.cumsum(lengths) - lengths
     runs = -(-lengths // 255)
@@ -136,7 +136,8 @@ def near_links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all fingerprints at most DISTANCE bits apart."""
     many = cut(crowded(fps))
     n = many.count()
-    rows = variants(fps)
+    # One fingerprint makes 64 rows, so few tasks of few fingerprints each would make very many.
+    rows = variants(fps.repartition("fp"))
     if n:
         # Broadcast only while small; beyond, Spark joins by shuffle.
         rows = rows.join(F.broadcast(many) if n <= SMALL else many, "key", "left")
@@ -158,22 +159,19 @@ def classes(rows: DataFrame) -> DataFrame:
     return cut(fps.join(names, "component").select("fp", "component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of each group of near copies with the smallest id (null first), ties by a hash of the text.
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
     more, and what such pairs connect (near.py); texts without words are one group. Of rows equal
-    in id and text one stays.
+    in id and text one stays. Ids may be of any type that has an order.
     """
-    doc, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text")
-    texts = docs.select(doc.alias("__doc"), th.alias("__th"), "text")
-    sets = near.with_sets(texts, near.common_shingles(texts))
-    nodes = cut(sets.groupBy("node").agg(F.min(F.struct("__doc", "__th")).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    found = components(near.links(nodes, texts))
-    nodes = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = nodes.groupBy("component").agg(F.min("least").alias("least")).select("least.*")
-    kept = docs.withColumns({"__doc": doc, "__th": th}).join(cut(first), ["__doc", "__th"], "left_semi")
-    return kept.dropDuplicates(["__doc", "__th"]).select(*docs.columns)
+    first = near.first_of_groups(docs, doc_id, text, fingerprints, near_links)
+    value = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.withColumns({"__id": F.col(doc_id), "__t1": F.xxhash64(value), "__t2": F.xxhash64(F.lit(2), value)})
+    first = first.toDF("__x", "__y", "__z")
+    same = F.col("__id").eqNullSafe(F.col("__x")) & (F.col("__t1") == F.col("__y")) & (F.col("__t2") == F.col("__z"))
+    return rows.dropDuplicates(["__id", "__t1", "__t2"]).join(cut(first), same, "left_semi").select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,6 +232,13 @@ class Portion(NamedTuple):
     key_after: bool
 
 
+def thin(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about as many bytes as most."""
+    step = max(1, int(batch.num_rows * most / max(batch.nbytes, most))) if batch.num_rows else 1
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
 def portions(batches: Iterator[pa.RecordBatch], text: list[str], at_once: int, whole_if: str | None = None) -> Iterator[Portion]:
     """Sorted rows in portions of about at_once bytes, cut between keys, within a key between texts
     (equal in all columns of text, which begin with the key), and within a text only if it fills a portion.
@@ -255,7 +262,7 @@ def portions(batches: Iterator[pa.RecordBatch], text: list[str], at_once: int, w
             other |= values != values[-1]
         return int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in thin(whole, at_once)):
         if batch.num_rows:
             parts.append(pa.Table.from_batches([batch]))
             size += batch.nbytes
