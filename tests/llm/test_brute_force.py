@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, common, maxent, mixing, rabitq, simhash, suffixdedup, toxicity
+from tracelake.llm import bpe, common, maxent, mixing, near, rabitq, simhash, suffixdedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,12 +79,12 @@ def test_simhash(spark, documents, monkeypatch, half):
     monkeypatch.setattr(simhash, "HALF", half)  # with 3, buckets are cut into chunks
     rows = documents.select("doc_id", "text").collect()
     rnd = random.Random(2)
-    near = [(1000 + i, rnd.getrandbits(64)) for i in range(30)]
-    near += [(2000 + i, near[i % 30][1] ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(6)))) for i in range(300)]
+    close = [(1000 + i, rnd.getrandbits(64)) for i in range(30)]
+    close += [(2000 + i, close[i % 30][1] ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(6)))) for i in range(300)]
     own = [(r["doc_id"], fingerprint(r["text"])) for r in rows]
     got = simhash.with_fingerprint(documents.select("doc_id", "text")).collect()
     assert {r["doc_id"]: r["fp"] & (1 << 64) - 1 for r in got} == dict(own)
-    every = own + near
+    every = own + close
     fps = np.array([f for _, f in every], np.uint64)
     a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1))
     ids = np.array([i for i, _ in every])
@@ -234,7 +234,11 @@ def jaccard(x, y):
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
-def test_near_copies_against_brute_force(spark):
+@pytest.mark.parametrize("small", [32, 2])
+def test_near_copies_against_brute_force(spark, monkeypatch, small):
+    # With 2, most buckets count as crowded; these are cut into chunks.
+    monkeypatch.setattr(near, "SMALL", small)
+    monkeypatch.setattr(near, "CHUNK_SHINGLES", 100 * small)
     # Single links of 0.8 and more over five words, near the threshold on both sides, in long and short texts.
     rnd = random.Random(11)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))

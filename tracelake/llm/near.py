@@ -15,9 +15,10 @@ Candidates come from two indexes over the distinct sets of shingles:
 
 In a bucket each set first meets the one with the smallest name, so a group of many
 near copies costs as many tests as it has members. Then all pairs of a bucket are tested
-that are not yet in one component. Buckets of one component leave before that, and large ones
-are cut into chunks whose pairs are cells of their own. Every link is tested on the whole
-sets. Pairs whose sizes do not fit are not tested, nor pairs of FEW or more shingles whose
+that are not yet in one component; buckets of one component leave before that. Buckets of
+at most SMALL sets give their pairs, which meet their texts like those before. To larger ones the
+sets themselves go, each pair is tested in the first bucket it shares, and a forest of links comes
+out; they are cut into chunks of bounded size, whose pairs are cells of their own. Every link is tested on the whole sets. Pairs whose sizes do not fit are not tested, nor pairs of FEW or more shingles whose
 fingerprints differ in over FAR bits: at a similarity of 0.8, that has probability under 1e-8.
 
 Sets are told apart by 64-bit hashes, texts by 128 bits. A text of at most five words is one shingle.
@@ -35,11 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.bpe import slices
-from tracelake.llm.common import components, cut, equal_runs, small_batches, tidy
+from tracelake.llm.common import components, cut, equal_runs, roots, small_batches, thin, tidy
 
 SHINGLE, SEED, KEYS, FEW, FAR = 5, 42, 16, 30, 28
 SAMPLE_DOCS, COMMON, MOST_COMMON = 20_000, 8, 100_000
-BLOCK_BYTES, AT_ONCE, CHUNK, CACHE_SHINGLES, BROADCAST_NAMES = 1_000_000, 200_000, 4096, 2_000_000, 200_000
+BLOCK_BYTES, AT_ONCE, SMALL, CHUNK_SHINGLES, CACHE_SHINGLES, BROADCAST_NAMES = 1_000_000, 200_000, 32, 200_000, 2_000_000, 200_000
 
 
 def shingle_hashes(text: str | None, n: int) -> list[int]:
@@ -114,39 +115,89 @@ def may_link(n: Column, m: Column, fp: Column, other: Column) -> Column:
     return fits & ((F.least(n, m) < FEW) | (F.bit_count(fp.bitwiseXOR(other)) <= FAR))
 
 
-def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) of a cell that may link and are in different components; of a cell of two chunks, only pairs across them."""
-
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell, node, n, fp, own, mine = (rows.column(c).to_numpy() for c in ("cell", "node", "n", "fp", "component", "mine"))
-        within = rows.column("within").to_numpy(zero_copy_only=False)
-        a, b, size = [], [], 0
-        for i, j in equal_runs(cell):
-            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            keep = (own[i] != own[j]) & (5 * low >= 4 * high) & (within[i] | (mine[i] != mine[j]))
-            i, j, low = i[keep], j[keep], low[keep]
-            keep = (low < FEW) | (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= FAR)
-            a.append(node[i[keep]])
-            b.append(node[j[keep]])
-            size += len(a[-1])
-            if size >= AT_ONCE:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
-                a, b, size = [], [], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
-
+def whole_cells(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows sorted by cell in tables of about that many bytes, cut between cells."""
     parts: list[pa.Table] = []
-    for batch in batches:
-        parts.append(pa.Table.from_batches([batch]))
-        if sum(map(len, parts)) >= AT_ONCE:
-            rows = pa.concat_tables(parts).combine_chunks()
-            cell = rows.column("cell").to_numpy()
-            at = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if (cell != cell[-1]).any() else 0
-            if at:
-                yield from pairs(rows.slice(0, at))
-            parts = [rows.slice(at)]
+    for whole in batches:
+        for batch in thin(whole, most):
+            parts.append(pa.Table.from_batches([batch]))
+            if sum(p.nbytes for p in parts) >= most:
+                rows = pa.concat_tables(parts).combine_chunks()
+                cell = rows.column("cell").to_numpy()
+                at = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if (cell != cell[-1]).any() else 0
+                if at:
+                    yield rows.slice(0, at)
+                parts = [rows.slice(at).combine_chunks()]
     if parts:
-        yield from pairs(pa.concat_tables(parts).combine_chunks())
+        yield pa.concat_tables(parts).combine_chunks()
+
+
+def fitting(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions with equal cells, in different components, that may link."""
+    cell, n, fp, own = (rows.column(c).to_numpy() for c in ("cell", "n", "fp", "component"))
+    for i, j in equal_runs(cell):
+        low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        keep = (own[i] != own[j]) & (5 * low >= 4 * high)
+        i, j, low = i[keep], j[keep], low[keep]
+        keep = (low < FEW) | (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= FAR)
+        yield i[keep], j[keep]
+
+
+def edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (a, b)], names=["a", "b"])
+
+
+def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of each small bucket that may link."""
+    for rows in whole_cells(batches, AT_ONCE * 8):
+        node, a, b = rows.column("node").to_numpy(), [], []
+        for i, j in fitting(rows):
+            a.append(node[i])
+            b.append(node[j])
+        yield edges(a, b)
+
+
+def bits_of(lists: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each list: which of the values that several lists have it has."""
+    value, count = np.unique(np.concatenate(lists), return_counts=True)
+    value = value[count > 1]
+    out = np.zeros((len(lists), -(-max(1, len(value)) // 64)), np.uint64)
+    for row, own in zip(out, lists, strict=True):
+        at = np.flatnonzero(np.isin(value, own, assume_unique=True))
+        np.bitwise_or.at(row, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+    return out
+
+
+def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest (a, b) over the similar sets of each cell; of a cell of two chunks, only pairs across them are tested."""
+
+    def forest(rows: pa.Table) -> pa.RecordBatch:
+        node, n, key, mine = (rows.column(c).to_numpy() for c in ("node", "n", "key", "mine"))
+        within = rows.column("within").to_numpy(zero_copy_only=False)
+        found = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        shingles = earlier = None
+        for i, j in fitting(rows):
+            keep = within[i] | (mine[i] != mine[j])
+            i, j = i[keep], j[keep]
+            if len(i) and shingles is None:
+                shingles = bits_of([np.frombuffer(x, np.int64) for x in rows.column("shingles").to_pylist()])
+                earlier = bits_of([(x := np.array(k, np.int64))[x < own] for k, own in zip(rows.column("keys").to_pylist(), key.tolist(), strict=True)])
+            for at in range(0, len(i), step := max(1, 1_000_000 // (shingles.shape[1] if len(i) else 1))):
+                p, q = i[at : at + step], j[at : at + step]
+                first = ~(earlier[p] & earlier[q]).any(axis=1)
+                p, q = p[first], q[first]
+                shared = np.bitwise_count(shingles[p] & shingles[q]).sum(axis=1, dtype=np.int64)
+                near = 5 * shared >= 4 * (n[p] + n[q] - shared)
+                found = np.append(found[0], p[near]), np.append(found[1], q[near])
+        top = roots(len(node), *found)
+        edge = np.flatnonzero(top != np.arange(len(node)))
+        return edges([node[edge]], [node[top[edge]]])
+
+    for rows in whole_cells(batches, BLOCK_BYTES):
+        cell = rows.column("cell").to_numpy()
+        cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            yield forest(rows.slice(at, end - at).combine_chunks())
 
 
 def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,13 +225,24 @@ def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def tested(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar; of their texts one each is read again. pairs should be a checkpoint."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def texts_of(asked: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the asked nodes, one of their texts each."""
     names = cut(nodes.join(asked, "node", "left_semi").select("node", "text.*"))
     # Three numbers a row: broadcast only while few; beyond, Spark joins by shuffle.
     names = F.broadcast(names) if names.count() <= BROADCAST_NAMES else names
-    own = texts.select("t1", "t2", "text").join(names, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
+    return texts.select("t1", "t2", "text").join(names, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
+
+
+def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text", BLOCK_BYTES):
+            sets = [shingle_set(t).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+
+def tested(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar. pairs should be a checkpoint."""
+    own = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, texts)
     both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return cut(both.mapInArrow(tidy(similar), "a long, b long"))
 
@@ -203,13 +265,19 @@ def links(nodes: DataFrame, texts: DataFrame, near_links) -> DataFrame:
     own = components(near).select("node", "component")
     rest = buckets.select("key", "size", "node", "n", "fp").join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = rest.join(mixed, "key", "left_semi").withColumn("chunks", F.ceil(F.col("size") / CHUNK))
-    rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1L)")))
+    rest = cut(rest.join(mixed, "key", "left_semi"))
+    few = rest.where(F.col("size") <= SMALL).select(F.col("key").alias("cell"), "node", "n", "fp", "component")
+    few = few.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(across), "a long, b long")
+    few = few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    many = rest.where(F.col("size") > SMALL)
+    crowd = many.groupBy("key").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("chunks"))
+    cells = many.join(crowd, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1L)")))
     cell = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-    rest = rest.select(cell.alias("cell"), "node", "n", "fp", "component", "mine", (F.col("mine") == F.col("other")).alias("within"))
-    rest = rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(across), "a long, b long")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    return near.unionByName(tested(cut(rest), nodes, texts))
+    cells = cells.select(cell.alias("cell"), "key", "node", "n", "fp", "component", "mine", (F.col("mine") == F.col("other")).alias("within"))
+    sets = texts_of(many.select("node").distinct(), nodes, texts).mapInArrow(tidy(sets_of), "node long, shingles binary")
+    cells = cells.join(sets.join(nodes.select("node", "keys"), "node"), "node")
+    crowded = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(linked), "a long, b long")
+    return near.unionByName(tested(cut(few), nodes, texts)).unionByName(cut(crowded))
 
 
 def first_of_groups(docs: DataFrame, doc_id: str, text: str, fingerprints, near_links) -> DataFrame:

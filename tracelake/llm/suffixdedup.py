@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.llm.bpe import slices
-from tracelake.llm.common import blocks, cut, small_batches, table, tidy
+from tracelake.llm.common import blocks, cut, small_batches, table, thin, tidy
 
 LENGTH, WORDS = 400, 51
 BLOCK, BATCH_BYTES, MANY, MANY_STRINGS, AT_ONCE, SPANS_AT_ONCE, TEXTS_PER_BUCKET = 1 << 18, 1_000_000, 256, 50_000, 4_000_000, 500_000, 1024
@@ -232,13 +232,6 @@ class Portion(NamedTuple):
     key_after: bool
 
 
-def thin(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about as many bytes as most."""
-    step = max(1, int(batch.num_rows * most / max(batch.nbytes, most))) if batch.num_rows else 1
-    for i in range(0, batch.num_rows, step):
-        yield batch.slice(i, step)
-
-
 def portions(batches: Iterator[pa.RecordBatch], text: list[str], at_once: int, whole_if: str | None = None) -> Iterator[Portion]:
     """Sorted rows in portions of about at_once bytes, cut between keys, within a key between texts
     (equal in all columns of text, which begin with the key), and within a text only if it fills a portion.
