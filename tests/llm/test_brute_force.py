@@ -234,7 +234,7 @@ def jaccard(x, y):
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
-@pytest.mark.parametrize("small", [32, 2])
+@pytest.mark.parametrize("small", [128, 2])
 def test_near_copies_against_brute_force(spark, monkeypatch, small):
     # With 2, most buckets count as crowded; these are cut into chunks.
     monkeypatch.setattr(near, "SMALL", small)

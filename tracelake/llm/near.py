@@ -40,7 +40,7 @@ from tracelake.llm.common import components, cut, equal_runs, roots, small_batch
 
 SHINGLE, SEED, KEYS, FEW, FAR = 5, 42, 16, 30, 28
 SAMPLE_DOCS, COMMON, MOST_COMMON = 20_000, 8, 100_000
-BLOCK_BYTES, AT_ONCE, SMALL, CHUNK_SHINGLES, CACHE_SHINGLES, BROADCAST_NAMES = 1_000_000, 200_000, 32, 200_000, 2_000_000, 200_000
+BLOCK_BYTES, AT_ONCE, SMALL, CHUNK_SHINGLES, CACHE_SHINGLES, BROADCAST_NAMES = 1_000_000, 200_000, 128, 200_000, 2_000_000, 200_000
 
 
 def shingle_hashes(text: str | None, n: int) -> list[int]:
@@ -64,13 +64,15 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def common_shingles(texts: DataFrame) -> np.ndarray:
-    """The shingles found in the most texts of a sample of bounded size, rarer first."""
+    """The shingles found in the most texts of a sample of bounded size, rarer first; only those of the lowest
+    quarter of hashes, since a set is found by its lowest ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", BLOCK_BYTES):
                 sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
+                every = np.concatenate(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(every[every < np.uint64(1 << 62)].view(np.int64))], names=["shingle"])
 
     each = max(1, math.ceil(texts.count() / SAMPLE_DOCS))
     sample = texts.where(F.pmod("t1", F.lit(each)) == 0).dropDuplicates(["t1", "t2"]).select("text")

@@ -168,10 +168,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     first = near.first_of_groups(docs, doc_id, text, fingerprints, near_links)
     value = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumns({"__id": F.col(doc_id), "__t1": F.xxhash64(value), "__t2": F.xxhash64(F.lit(2), value)})
-    first = first.toDF("__x", "__y", "__z")
-    same = F.col("__id").eqNullSafe(F.col("__x")) & (F.col("__t1") == F.col("__y")) & (F.col("__t2") == F.col("__z"))
-    return rows.dropDuplicates(["__id", "__t1", "__t2"]).join(cut(first), same, "left_semi").select(*docs.columns)
+    # Keys without nulls, so that one shuffle serves both steps.
+    named = lambda i: {"__none": i.isNull(), "__id": F.coalesce(i.cast("string"), F.lit(""))}
+    rows = docs.withColumns(named(F.col(doc_id)) | {"__t1": F.xxhash64(value), "__t2": F.xxhash64(F.lit(2), value)})
+    first = first.withColumns(named(F.col("id"))).select("__none", "__id", F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
+    key = ["__none", "__id", "__t1", "__t2"]
+    return rows.dropDuplicates(key).join(cut(first), key, "left_semi").select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
