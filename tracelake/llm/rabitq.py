@@ -2,9 +2,10 @@
 
 Unit vectors are turned by random rotations and reduced to sign bits; with each
 code its correction factor is stored, the inner product of the turned vector and
-its code. From two codes' differing bits and factors follow an estimate of the
-cosine and a confidence bound; only pairs whose upper bound reaches the
-threshold are recomputed in double precision, and only recomputed pairs link.
+its code. The inner product of one vector's code, of the first rotation, with
+the other turned vector, divided by the factor, estimates the cosine without bias; the
+part of the vector that the code misses bounds the error. Only pairs whose upper bound reaches
+the threshold, from either side, are recomputed in double precision, and only recomputed pairs link.
 
 Candidates are vectors whose codes agree in a band of bits. Bits per band grow
 with the logarithm of the number of vectors and the number of bands so that a
@@ -65,14 +66,14 @@ def coded(dim: int, bits: int, bands: int):
     """Rows (rid, vector) to (rid, code, factor, keys): keys has one long a band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotations(dim, bits * bands)
+        turn = rotations(dim, max(dim, bits * bands))
         weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
                 turned = unit_rows(part.column("vector"), dim) @ turn
-                sign = turned > 0
-                factor = np.abs(turned).sum(axis=1) / np.linalg.norm(turned, axis=1) / math.sqrt(turned.shape[1])
+                sign = turned[:, : bits * bands] > 0
+                factor = np.abs(turned[:, :dim]).sum(axis=1) / math.sqrt(dim)
                 keys = sign.reshape(len(sign), bands, bits) @ weights
                 code = np.packbits(sign, axis=1)
                 lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * bands, pa.array(keys.ravel()))
@@ -81,30 +82,28 @@ def coded(dim: int, bits: int, bands: int):
     return run
 
 
-def cosine_bounds(differ: np.ndarray, bits: int, fa: np.ndarray, fb: np.ndarray, bound: float = BOUND) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated cosine from the number of differing code bits, and its upper bound.
+def estimates(sign: np.ndarray, factor: np.ndarray, turned: np.ndarray, bound: float = BOUND) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated cosines, row by row, of vectors given as codes (+1, -1) and factors with turned unit vectors, and upper bounds.
 
-    Signs of a random direction differ with probability angle / pi, so the share of
-    differing bits estimates the angle without bias; its deviation is binomial,
-    widened by how far the codes' factors are from the mean factor of a random
-    rotation.
+    With the code as a unit vector c and f = <c, x>, <c, y> / f estimates <x, y>: its error is the inner product of y
+    with what of c is at right angles to x, over f, whose direction a random rotation makes random.
     """
-    share = differ / bits
-    estimate = np.cos(np.pi * share)
-    off = np.abs(fa * fb * (math.pi / 2) - 1)
-    spread = bound * np.sqrt(np.maximum(share * (1 - share), 1 / bits) / bits) * (1 + off)
-    return estimate, np.cos(np.pi * np.clip(share - spread, 0, 1))
+    dim = sign.shape[1]
+    estimate = np.einsum("ij,ij->i", sign, turned) / math.sqrt(dim) / factor
+    return estimate, estimate + bound * np.sqrt(np.maximum(1 - factor * factor, 0)) / factor / math.sqrt(max(dim - 1, 1))
 
 
 def linked(dim: int, bits: int, bands: int, threshold: float):
-    """Counts (a, null, n) and forest edges (a, b, null) of the cells."""
+    """Counts (a, a, n) and forest edges (a, b, 0) of the cells."""
+    turn = rotations(dim, dim)
 
     def cells(cell: np.ndarray, rows: pa.Table) -> pa.RecordBatch:
         band, mine, rid, copies = (rows.column(c).to_numpy() for c in ("band", "mine", "rid", "copies"))
         cross, factor = rows.column("cross").to_numpy(zero_copy_only=False), rows.column("factor").to_numpy()
         code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(cell), -1)
-        wide = np.pad(code, ((0, 0), (0, -code.shape[1] % 8))).view(np.uint64)
         unit = unit_rows(rows.column("vector").combine_chunks(), dim)
+        turned = (unit @ turn).astype(np.float32)
+        sign = np.where(turned > 0, np.float32(1), np.float32(-1))
         nodes, at = np.unique(rid, return_inverse=True)
         count, a, b = np.zeros(len(nodes), np.int64), [], []
         for every_i, every_j in equal_runs(cell):
@@ -114,11 +113,11 @@ def linked(dim: int, bits: int, bands: int, threshold: float):
                 i, j = i[ok], j[ok]
                 if not len(i):
                     continue
-                differ = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64)
-                near = np.flatnonzero(cosine_bounds(differ, bits * bands, factor[i], factor[j])[1] >= threshold)
-                i, j = i[near], j[near]
                 for x in range(0, len(i), 4096):
                     p, q = i[x : x + 4096], j[x : x + 4096]
+                    upper = np.minimum(estimates(sign[p], factor[p], turned[q])[1], estimates(sign[q], factor[q], turned[p])[1])
+                    near = upper >= threshold
+                    p, q = p[near], q[near]
                     apart = np.unpackbits(code[p] ^ code[q], axis=1, count=bits * bands).reshape(len(p), bands, bits).any(axis=2)
                     own = np.argmin(apart, axis=1) == band[p]
                     p, q = p[own], q[own]
