@@ -36,8 +36,10 @@ def test_equal_runs_and_roots():
     assert common.roots(100, a, b).tolist() == label
 
 
+@pytest.mark.parametrize("few", [0, common.FEW_EDGES])
 @pytest.mark.parametrize("shape", ["path", "star", "random"])
-def test_components(spark, shape):
+def test_components(spark, monkeypatch, shape, few):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
     rnd = random.Random(4)
     edges = {"path": [(i, i + 1) for i in range(60)], "star": [(-5, i) for i in range(60)], "random": [(rnd.randrange(80), rnd.randrange(80)) for _ in range(60)]}[shape]
     nodes = sorted({x for e in edges if e[0] != e[1] for x in e})
@@ -158,6 +160,26 @@ def test_near_duplicate_vectors(spark, monkeypatch):
         assert np.mean([got[i]["component_id"] == want[i] for i in range(len(n))]) >= 0.97
 
 
+def test_inner_product_estimates():
+    """Unbiased over rotations, and within their bounds."""
+    rng = np.random.default_rng(21)
+    a = rng.standard_normal((400, 48))
+    b = a + rng.standard_normal((400, 48)) * rng.choice([0.2, 0.5, 1.0], (400, 1))
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+    true, errors, outside = np.einsum("ij,ij->i", a, b), [], 0
+    for seed in range(60):
+        turn = np.linalg.qr(np.random.default_rng(seed).standard_normal((48, 48)))[0]
+        x, y = a @ turn, b @ turn
+        factor = np.abs(x).sum(axis=1) / math.sqrt(48)
+        estimate, upper = rabitq.estimates(np.where(x > 0, 1.0, -1.0), factor, y)
+        errors.append(estimate - true)
+        outside += int((upper < true).sum())
+    errors = np.array(errors)
+    assert abs(errors.mean()) < 4 * errors.mean(axis=0).std() / math.sqrt(400) + 1e-3
+    assert np.abs(errors.mean(axis=0)).max() < 5 * errors.std(axis=0).max() / math.sqrt(60)
+    assert outside <= 60 * 400 * 1e-3
+
+
 def test_toxicity_on_held_out(spark):
     got = toxicity.op6_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").collect()
     right = sum(r["predicted"] == r["toxic"] for r in got) / len(got)

@@ -160,8 +160,20 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+#: Edges up to which one task, which then holds some 100 MB, finds all components.
+FEW_EDGES = 1_000_000
+
+
+def in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    u, v = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]) for i in (0, 1))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    top = roots(len(nodes), at[: len(u)], at[len(u) :])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[top])], names=["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components by alternating large-star and small-star rounds.
+    """Connected components by alternating large-star and small-star rounds; in one task if the edges, counted before, are few.
 
     edges has longs a and b. Returns (node, component) for every node of an edge,
     component being the smallest node reachable. Minima are taken by partial
@@ -171,6 +183,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut(e)
+    if e.count() <= FEW_EDGES:
+        return e.coalesce(1).mapInArrow(tidy(in_one_task), "node long, component long")
     seen = None
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
