@@ -50,7 +50,7 @@ from tracelake.llm.bpe import slices
 from tracelake.llm.common import blocks, cut, small_batches, table, thin, tidy
 
 LENGTH, WORDS = 400, 51
-BLOCK, BATCH_BYTES, MANY, MANY_STRINGS, AT_ONCE, SPANS_AT_ONCE, TEXTS_PER_BUCKET = 1 << 18, 1_000_000, 256, 50_000, 4_000_000, 500_000, 1024
+BLOCK, BATCH_BYTES, MANY, MANY_STRINGS, AT_ONCE, SPANS_AT_ONCE, TEXTS_PER_BUCKET = 1 << 18, 1_000_000, 20_000, 1_000_000, 4_000_000, 500_000, 1024
 RUNS = "key long, s1 long, s2 long, size int, again boolean, n long, places binary"
 FOUND = "t1 long, t2 long, start int, size int, key long, texts long"
 NAME = ["__t1", "__t2"]
@@ -301,7 +301,7 @@ def classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_key = np.cumsum(np.append(True, key[first][1:] != key[first][:-1])) - 1
         size = rows.column("size").to_numpy()
         apart = ((of_key == 0) & key_before) | ((of_key == of_key[-1]) & key_after)
-        # Long runs hold very many strings in few texts.
+        # A task may hold MANY_STRINGS strings of a key, some 120 MB; keys of more are dealt by string.
         long = np.bincount(of_key, size[first])[of_key] > MANY_STRINGS
         count = np.bincount(of_key)[of_key]
         texts = np.where(apart | long, MANY + 1, count)
