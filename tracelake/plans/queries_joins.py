@@ -161,9 +161,9 @@ def image_path(spark, d):
     return joined.select("event_id", F.when(F.col("k") == 0, "").otherwise(F.coalesce("url", unknown)).alias("process"))
 
 
-@query("q_timesync_merge", f"WITH {EV} SELECT boot, string_agg(t || ':' || event_id, ',' ORDER BY event_id) AS records FROM ev WHERE event_id % 100 = 0 GROUP BY boot")
+@query("q_timesync_merge", f"WITH {EV} SELECT boot, string_agg(t || ':' || event_id, ',' ORDER BY event_id) AS records FROM ev GROUP BY boot")
 def timesync_merge(spark, d):
-    e = events(spark, d).where("event_id % 100 = 0")
+    e = events(spark, d)
     listed = F.sort_array(F.collect_list(F.struct("event_id", "t")))
     return e.groupBy("boot").agg(F.array_join(F.transform(listed, lambda r: F.concat(r["t"].cast("string"), F.lit(":"), r["event_id"].cast("string"))), ",").alias("records"))
 
@@ -190,10 +190,10 @@ def contains_ci(spark, d):
     return table(spark, d, "documents").select("doc_id", F.contains(F.lower("text"), F.lit("the")).alias("has_the"), F.contains("text", F.lit("http")).alias("has_http"))
 
 
-@query("q_regex_only_s", "SELECT lang, count(*) FILTER (regexp_matches(substr(text, 1, 40), '^\\s*[A-Z][a-z]+\\s')) AS n_title, CAST(sum(len(regexp_extract_all(text, '[0-9]+'))) AS BIGINT) AS n_numbers FROM documents GROUP BY lang")
+@query("q_regex_only_s", "SELECT lang, count(*) FILTER (regexp_matches(text, '^\\s*[A-Z][a-z]+\\s')) AS n_title, CAST(sum(len(regexp_extract_all(text, '[0-9]+'))) AS BIGINT) AS n_numbers FROM documents GROUP BY lang")
 def regex_only_s(spark, d):
     docs = table(spark, d, "documents")
-    title = F.substring("text", 1, 40).rlike(r"^\s*[A-Z][a-z]+\s")
+    title = F.col("text").rlike(r"^\s*[A-Z][a-z]+\s")
     return docs.groupBy("lang").agg(F.count_if(title).alias("n_title"), F.sum(F.regexp_count("text", F.lit("[0-9]+"))).alias("n_numbers"))
 
 

@@ -59,7 +59,8 @@ def stream_events(spark: SparkSession, root: str, sink: Callable[[DataFrame, int
         rows = event_table(records.drop("age"), archive.timesync(spark, root), archive.uuidtext(spark, root), archive.dsc(spark, root))
         ages = records.where("kind IN ('firehose', 'simpledump', 'statedump')").select(*CHUNK, "age")
         rows = rows.join(ages, CHUNK).persist()
-        open_now = F.contains("message", F.lit(MISSING)) & (F.col("age") < patience)
+        # Only events wait; a dump that holds the marker is complete as it is.
+        open_now = (F.col("section") == 0) & F.contains("message", F.lit(MISSING)) & (F.col("age") < patience)
         due = rows.where(~open_now)
         if written is not None:
             due = due.join(written, EVENT, "left_anti")
