@@ -31,13 +31,24 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Spark deletes them once the driver's JVM has collected their plans. Left to itself that
+    comes late, and until then the files of all steps before take disk beside the next one's.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint.
 
     The folder is the cluster's spark.checkpoint.dir; a folder of our own is set
-    only where none is (tests in local mode).
+    only where none is (tests in local mode). What earlier steps shuffled goes first.
     """
     shared_folder(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint()
 
 
