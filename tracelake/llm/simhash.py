@@ -31,11 +31,11 @@ from pyspark.sql import types as T
 
 from tracelake.llm import near
 from tracelake.llm.bpe import slices, with_column
-from tracelake.llm.common import components, cut, equal_runs, roots, small_batches, table, tidy
+from tracelake.llm.common import blocks, components, cut, equal_runs, roots, small_batches, table, tidy
 
 SHINGLE, DISTANCE = 4, 4
 SEGMENTS = [(0, 21), (21, 21), (42, 22)]
-HALF, AT_ONCE, SMALL, BLOCK_BYTES = 1024, 200_000, 20_000, 2_000_000
+HALF, AT_ONCE, SMALL, BLOCK_BYTES, FPS_PER_TASK = 1024, 200_000, 20_000, 2_000_000, 20_000
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -136,8 +136,8 @@ def near_links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all fingerprints at most DISTANCE bits apart."""
     many = cut(crowded(fps))
     n = many.count()
-    # One fingerprint makes 64 rows, so few tasks of few fingerprints each would make very many.
-    rows = variants(fps.repartition("fp"))
+    # One fingerprint makes 64 rows, so tasks are as many as those need; a number given is not reduced by AQE.
+    rows = variants(fps.repartition(blocks(fps.count(), FPS_PER_TASK), "fp"))
     if n:
         # Broadcast only while small; beyond, Spark joins by shuffle.
         rows = rows.join(F.broadcast(many) if n <= SMALL else many, "key", "left")
