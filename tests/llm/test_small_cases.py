@@ -1,10 +1,12 @@
 """Every operator and stage on null, empty, long, tied, repeated and clashing rows, and on empty tables."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracelake.llm import bpe, chat, maxent, mixing, rabitq, simhash, suffixdedup, topk, toxicity, urlrules
+from tracelake.llm import bpe, chat, common, maxent, mixing, rabitq, simhash, suffixdedup, topk, toxicity, urlrules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string, size int, kept string, fp long"
 ROWS = [
@@ -202,3 +204,17 @@ def test_stages_keep_columns(spark, docs, labels, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+
+
+@pytest.mark.parametrize(("master", "folder"), [("yarn", None), ("spark://host:7077", None), ("yarn", "/shared"), ("local[8]", None)])
+def test_checkpoints_never_go_to_a_local_folder_on_a_cluster(master, folder):
+    """A folder is made up in local mode only; a given one is taken as it is."""
+    given = []
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: given[-1] if given else None, setCheckpointDir=given.append)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: folder))
+    if folder or master.startswith("local"):
+        found = common.shared_folder(session)
+        assert found == folder or "tracelake-" in found
+    else:
+        with pytest.raises(ValueError):
+            common.shared_folder(session)
