@@ -227,6 +227,87 @@ def test_language_model_sums_to_one():
     assert math.isclose(seen + 10 ** model.word_logs(kind, np.array([0]))[0], 1, rel_tol=1e-9)
 
 
+def pairs_by_bisection(n, prior):
+    """What fit_pairs returns for one row, from its stationary point: bisection on the normaliser, then on each weight."""
+    n, prior, total = np.array(n, float), np.array(prior, float), sum(n)
+
+    def weights(z):
+        low, high = np.full(len(n), -50.0), np.full(len(n), 700.0)
+        for _ in range(100):
+            a = (low + high) / 2
+            up = n - total * prior * np.exp(a) / z - maxent.PAIR_RIDGE * a > 0
+            low, high = np.where(up, a, low), np.where(up, high, a)
+        return np.where(n > 0, low, 0.0)
+
+    low, high = -20.0, 20.0
+    for _ in range(100):
+        z = np.exp((low + high) / 2)
+        if z < 1 + (prior * np.expm1(weights(z)))[n > 0].sum():
+            low = np.log(z)
+        else:
+            high = np.log(z)
+    return weights(np.exp(low)) - low
+
+
+def test_language_model_pairs():
+    rng = np.random.default_rng(11)
+    for size in (1, 2, 5, 60):
+        prior = rng.dirichlet(np.full(size + 1, 0.3))[:size]
+        n = rng.choice([0, 1, 1, 3, 40, 5000], size)
+        row = np.zeros(size, np.int64)
+        value = maxent.fit_pairs(row, n, prior)
+        assert np.allclose(value, pairs_by_bisection(n, prior), atol=2e-3)
+        # The words of a class with this history, and those without a pair, sum to one.
+        rest = 1 - prior.sum()
+        unseen = value[n == 0][0] if (n == 0).any() else np.log((1 - prior[n > 0].sum()) ** -1 * (1 - (prior * np.exp(value))[n > 0].sum()))
+        assert math.isclose((prior * np.exp(value)).sum() + rest * np.exp(unseen), 1, rel_tol=1e-6)
+    both = maxent.fit_pairs(np.array([3, 3, 8]), np.array([2, 0, 5]), np.array([0.1, 0.2, 0.01]))
+    assert np.allclose(both[:2], maxent.fit_pairs(np.array([3, 3]), np.array([2, 0]), np.array([0.1, 0.2])))
+
+
+def test_language_model_score_recomputed(spark, monkeypatch):
+    """Every score of op8, from plain dictionaries and the class model's table."""
+    made, real = [], maxent.Model.__init__
+    monkeypatch.setattr(maxent.Model, "__init__", lambda self, *parts: made.append(self) or real(self, *parts))
+    monkeypatch.setattr(maxent, "DOCS_PER_BLOCK", 30)
+    got = {r["doc_id"]: r["score"] for r in maxent.op8_maxent(spark, SF).collect()}
+    model = made[0]
+    docs = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), None] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in docs}
+    count = collections.Counter(w for i, own in docs.items() if not held[i] for w in own)
+
+    def kind(word):
+        return 0 if word is None else model.own.get(int(maxent.hashes([word])[0]), maxent.shape(word))
+
+    def steps(words):
+        near = far = 0
+        for w in words:
+            c = kind(w)
+            frequent = ("n-gram", near) if near <= maxent.OWN else ("skip", far) if far <= maxent.OWN else None
+            yield w, c, far, near, frequent
+            near, far = c, near
+
+    seen = collections.defaultdict(collections.Counter)
+    for i, words in docs.items():
+        for w, c, _, _, frequent in steps(words):
+            if frequent and c > maxent.OWN:
+                seen[frequent, c][w] += not held[i]
+    share = lambda w, c: float(model.shares(np.array([c]), np.array([count[w]]))[0])
+    rows = [(j, row, w, n) for j, (row, own) in enumerate(seen.items()) for w, n in own.items()]
+    # test_language_model_pairs holds fit_pairs against another solution.
+    value = maxent.fit_pairs(np.array([r[0] for r in rows]), np.array([r[3] for r in rows]), np.array([share(r[2], r[1][1]) for r in rows])) / math.log(10)
+    gain = collections.defaultdict(dict)
+    for (_, row, w, _), x in zip(rows, value, strict=True):
+        gain[row][w] = x
+    assert len(gain) > 100
+    for i, words in docs.items():
+        want = 0.0
+        for w, c, far, near, frequent in steps(words):
+            want += model.table[far * maxent.CLASSES + near, c] + math.log10(share(w, c))
+            want += gain[frequent, c][w] if frequent and c > maxent.OWN else 0.0
+        assert math.isclose(got[i], want, rel_tol=1e-4), i
+
+
 def test_mixing_reruns_and_bins(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     whole = sorted(map(tuple, mixing.mix(docs).collect()))

@@ -4,17 +4,26 @@ P(word | history) = P(class | history) * P(word | class). Frequent words and the
 end of a text are classes of their own; other words are classed by their last
 bytes. P(class | history) is a softmax over n-gram and skip features of the
 history's classes (the class before, the one before that, and both together),
-hashed to rows of one weight matrix. P(word | class) is the word's share of the
-class's training tokens after absolute discounting; the discounted mass belongs
-to the class's unseen words, so all sums to one.
+hashed to rows of one weight matrix. P(word | class, history) is a softmax over
+the class's words. Its prior is the word's share of the class's training tokens
+after absolute discounting (the discounted mass belongs to the class's unseen
+words). Its features are pairs of a frequent word and this word: n-grams if the
+word before is frequent or the text starts here, else skips if the one before
+that is. Every pair seen in training has a weight of its own, named by a hash,
+so the weights grow with the corpus. A pair without a weight has weight zero, so
+the normaliser needs the seen pairs of a row (frequent word, class) only, and
+all sums to one.
 
 All counts cover all training documents. Documents are dealt to blocks of about
-a thousand. A block's distinct words travel as packed arrays of word hashes, by
+a thousand, or fewer if they are long. A block's distinct words travel as packed arrays of word hashes, by
 shards of the hash, whose number grows with the blocks; a shard adds up the
 counts of all blocks and sends each block the corpus counts of its words back.
 So no vocabulary is gathered in one place. Counts of class trigrams (at most CLASSES ** 3 numbers) are the training
 set; every gradient step is a sum over tasks that each hold a share of the
-histories. Scoring gathers from arrays, a block at a time.
+histories. Scoring gathers from arrays, a block at a time. Pairs travel packed
+with their places in the block's documents, by shards of their rows; a shard
+adds the pairs up, fits a row's weights by gradient steps, which no other row
+concerns, and sends each block what its documents gain or lose.
 
 Words are told apart by 64-bit hashes. Defined cases: null text counts as empty
 and is scored as an end only; an unseen word has count zero; without training
@@ -42,7 +51,9 @@ PAIR_ROWS = 2048
 ROWS = 1 + 2 * CLASSES + PAIR_ROWS
 DOCS_PER_BLOCK, BLOCKS_PER_SHARD, LEAST_SHARDS, GROUPS, COUNT_TASKS, STEP_TASKS = 1024, 4, 64, 256, 4096, 4
 STEPS, RATE, RIDGE = 30, 0.25, 1e-7
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES, DOC_BYTES = 2_000_000, 4_000_000  # in a slice; of a block's documents
+PAIR_BLOCKS_PER_SHARD, HASH_BITS = 8, 49
+PAIR_RIDGE, PAIR_STEPS = 0.5, 40
 ADDED = 0.1
 
 
@@ -291,57 +302,199 @@ class Model:
         self.discount = np.where(np.arange(CLASSES) > OWN, np.clip(np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.1, 0.9), 0.0)
         self.unseen = np.where(n > 0, self.discount * v / np.maximum(n, 1), 1.0)
 
-    def word_logs(self, kind: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 P(word | class) by class and corpus count."""
+    def shares(self, kind: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """P(word | class) without a history, by class and corpus count."""
         share = np.where(count > 0, (count - self.discount[kind]) / np.maximum(self.n[kind], 1), self.unseen[kind])
-        return np.log10(np.where(kind <= OWN, 1.0, share))
+        return np.where(kind <= OWN, 1.0, share)
+
+    def word_logs(self, kind: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.log10(self.shares(kind, count))
 
     def base_logs(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + ADDED) / (self.tokens + ADDED * (self.words + 1)))
 
 
 SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: A document of a block, or a shard's pairs in it, or (place, sums) what they add to documents.
+MIXED = "block long, shard long, place long, " + SCORED + ", keys binary, seen binary, held binary, prior binary, places binary, sums binary"
+PACKED = ["keys", "seen", "held", "prior", "places", "sums"]
+
+
+def planes(values: np.ndarray) -> bytes:
+    """An array byte by byte of its values, so that bytes which hardly vary compress."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def unplanes(data: bytes, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
+
+
+def contexts(near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """The history's frequent word: the one before (n-gram), else the one before that (skip), else -1."""
+    return np.where(near <= OWN, near, np.where(far <= OWN, OWN + 1 + far, -1))
+
+
+def row_width(shards: int) -> int:
+    """Rows (context, class) of a shard."""
+    return -(-2 * (OWN + 1) * CLASSES // shards)
+
+
+def row_codes(context: np.ndarray, kind: np.ndarray, shards: int) -> np.ndarray:
+    """Numbers of rows, ordered by shard."""
+    row = context * CLASSES + kind
+    return row % shards * row_width(shards) + row // shards
+
+
+def fit_pairs(row: np.ndarray, n: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Natural logs by which each pair's history changes its word's share; rows are sorted.
+
+    Gradient steps on the log-likelihood of n[i] of a row's tokens being word i,
+    with a ridge, scaled by the inverse of the curvature, which is a diagonal less
+    one product; pairs with n = 0 have no weight.
+    """
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    sizes = np.diff(np.append(starts, len(row)))
+    wide = lambda x: np.repeat(x, sizes)
+    total, seen = wide(np.add.reduceat(n, starts)), n > 0
+    with np.errstate(divide="ignore"):
+        a = np.where(seen, np.clip(np.log(n / np.maximum(total * prior, 1e-300)), -5, n / PAIR_RIDGE), 0.0)
+    for _ in range(PAIR_STEPS):
+        part = np.where(seen, prior * np.exp(a), 0.0)
+        z = 1 + np.add.reduceat(np.where(seen, part - prior, 0.0), starts)
+        part /= wide(z)
+        slope = np.where(seen, n - total * part - PAIR_RIDGE * a, 0.0)
+        curve = total * part + PAIR_RIDGE
+        along = np.add.reduceat(part * slope / curve, starts) / (1 - np.add.reduceat(total * part * part / curve, starts))
+        step = np.where(seen, np.clip((slope + total * part * wide(along)) / curve, -1, 1), 0.0)
+        a += step
+        if np.abs(step).max() < 1e-5:
+            break
+    z = 1 + np.add.reduceat(np.where(seen, prior * np.expm1(a), 0.0), starts)
+    return a - np.log(wide(z))
 
 
-def scorer(shared, ends: int, shards: int):
-    """A block's documents and the corpus counts of its words to scores."""
+def mixed(rows: int, schema: pa.Schema, **columns) -> pa.Table:
+    return pa.table([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+
+def mixed_schema(kind: pa.DataType) -> pa.Schema:
+    names = ["block", "shard", "place", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", *PACKED]
+    types = [pa.int64()] * 3 + [kind, pa.bool_()] + [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.binary()] * len(PACKED)
+    return pa.schema(list(zip(names, types, strict=True)))
+
+
+def scorer(shared, ends: int, shards: int, pair_shards: int):
+    """A block's documents and the corpus counts of its words to scores without pairs, and its pairs."""
 
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         model: Model = shared.value
-        texts = [words_of(t) for t in docs["text"].to_pylist()]
+        schema = mixed_schema(docs.schema.field("doc_id").type)
+        if not docs.num_rows:
+            return schema.empty_table()
         index: dict[bytes, int] = {}
-        for words in texts:
-            for w in words:
-                if w not in index:
-                    index[w] = len(index)
+        flat, sizes, known = [], [], index.setdefault
+        for text in docs["text"].to_pylist():
+            words = words_of(text)
+            flat += [known(w, len(index)) for w in words]
+            flat.append(-1)
+            sizes.append(len(words) + 1)
         words = list(index)
-        h, order = sorted_words(words, shards)
+        at, sizes = np.array(flat, np.int64), np.array(sizes)
+        del flat
+        starts = np.cumsum(sizes) - sizes
+        h = hashes(words)
+        order = np.lexsort((h, h % np.uint64(shards)))
+        # The last entry is the end, which at = -1 finds.
         count, kind = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64)
         if words:
             count[order] = np.frombuffer(b"".join(counts.sort_by("shard")["counts"].to_pylist()), np.int64)
-            kind[:-1] = np.fromiter((c if (c := model.own.get(x)) is not None else shape(w) for x, w in zip(hashes(words).tolist(), words, strict=True)), np.int64, len(words))
-        count[-1] = ends  # the last entry is the end
-        base, own = model.base_logs(count), model.word_logs(kind, count)
-        rows = []
-        for words in texts:
-            at = np.fromiter((index[w] for w in words), np.int64, len(words))
-            at = np.append(at, len(index))
-            c = kind[at]
-            history = np.concatenate([[0, 0], c])
-            lp = model.table[history[:-2] * CLASSES + history[1:-1], c]
-            rows.append((len(at), int((count[at] > 0).sum()), float(base[at].sum()), float((lp + own[at]).sum())))
-        new = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([model.tokens] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.float64())]
-        return pa.table([docs["doc_id"], docs["held_out"], *new], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            kind[:-1] = np.fromiter((c if (c := model.own.get(x)) is not None else shape(w) for x, w in zip(h[order].tolist(), (words[i] for i in order), strict=True)), np.int64, len(words))[np.argsort(order)]
+        count[-1] = ends
+        c = kind[at]
+        near, far = np.append(0, c[:-1]), np.concatenate([[0, 0], c])[: len(c)]
+        near[starts] = far[starts] = 0
+        far[starts[sizes > 1] + 1] = 0
+        shares = model.shares(kind, count)
+        logs = model.table[far * CLASSES + near, c] + np.log10(shares)[at]
+        block, n = docs["block"][0].as_py(), docs.num_rows
+        held = docs["held_out"].to_numpy()
+        out = [mixed(n, schema, block=docs["block"], shard=pa.array([-1 - block % pair_shards] * n, pa.int64()), place=pa.array(range(n), pa.int64()), doc_id=docs["doc_id"], held_out=docs["held_out"], n_tokens=pa.array(sizes), n_known=pa.array(np.add.reduceat((count > 0)[at].astype(np.int64), starts)), train_tokens=pa.array([model.tokens] * n, pa.int64()), base_score=pa.array(np.add.reduceat(model.base_logs(count)[at], starts)), score=pa.array(np.add.reduceat(logs, starts)))]
+        context = contexts(near, far)
+        own = np.flatnonzero((context >= 0) & (c > OWN))
+        if len(own):
+            word, place = at[own], np.repeat(np.arange(n, dtype=np.uint32), sizes)[own]
+            key = row_codes(context[own], c[own], pair_shards).astype(np.uint64) << np.uint64(HASH_BITS) | h[word] >> np.uint64(64 - HASH_BITS)
+            order = np.argsort(key, kind="stable")
+            key, word, place = key[order], word[order], place[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            times = np.diff(np.append(first, len(key))).astype(np.uint32)
+            seen = np.add.reduceat((~held[place]).astype(np.uint32), first, dtype=np.uint32)
+            prior, key = shares[word[first]].astype(np.float32), key[first]
+            shard = (key >> np.uint64(HASH_BITS)).astype(np.int64) // row_width(pair_shards)
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(key)]
+            tops = np.append(first, len(place))
+            rows = [[planes(x[a:b]) for x in (key, seen, times, prior)] + [planes(place[tops[a] : tops[b]])] for a, b in zip(cuts, cuts[1:], strict=False)]
+            columns = {name: pa.array([r[i] for r in rows], pa.binary()) for i, name in enumerate(PACKED[:5])}
+            out.append(mixed(len(rows), schema, block=pa.array([block] * len(rows), pa.int64()), shard=pa.array(shard[cuts[:-1]]), **columns))
+        return pa.concat_tables(out)
 
     return run
 
 
+def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard: documents as they are, and for each block of a shard what its pairs add."""
+
+    def rows(parts: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        key, n, prior = (np.concatenate([unplanes(p[i], t) for p in parts]) for i, t in ((1, np.uint64), (2, np.uint32), (4, np.float32)))
+        pair, first, at = np.unique(key, return_index=True, return_inverse=True)
+        value = fit_pairs((pair >> np.uint64(HASH_BITS)).astype(np.int64), np.bincount(at, n, len(pair)), prior[first].astype(float)) / np.log(10)
+        del key, n, prior, pair, first
+        blocks_, places, sums, a = [], [], [], 0
+        for block, _, _, times, _, place in parts:
+            m, where = unplanes(times, np.uint32), unplanes(place, np.uint32)
+            doc, which = np.unique(where, return_inverse=True)
+            gain = np.bincount(which, np.repeat(value[at[a : a + len(m)]], m))
+            a += len(m)
+            blocks_.append(block)
+            places.append(planes(doc))
+            sums.append(planes(gain))
+        yield from mixed(len(parts), schema, block=pa.array(blocks_, pa.int64()), places=pa.array(places, pa.binary()), sums=pa.array(sums, pa.binary())).to_batches()
+
+    now, parts, schema = None, [], None
+    for batch in batches:
+        schema = mixed_schema(batch.schema.field("doc_id").type)
+        is_doc = pa.array(batch.column("shard").to_numpy() < 0)
+        yield from pa.Table.from_batches([batch]).filter(is_doc).cast(schema).to_batches()
+        pairs = batch.filter(pa.array(batch.column("shard").to_numpy() >= 0))
+        for shard, *part in zip(*(pairs.column(c).to_pylist() for c in ("shard", "block", *PACKED[:5])), strict=True):
+            if shard != now:
+                if parts:
+                    yield from rows(parts, schema)
+                now, parts = shard, []
+            parts.append(tuple(part))
+    if parts:
+        yield from rows(parts, schema)
+
+
+def gathered(block: pa.Table) -> pa.Table:
+    """A block's documents with what their pairs add to their scores, in the order of shards' sums."""
+    is_doc = pa.array(block["place"].is_valid())
+    docs, more = block.filter(is_doc).sort_by("place"), block.filter(pa.array(block["places"].is_valid()))
+    total = docs["score"].to_numpy().copy()
+    gains = sorted((s, p) for p, s in zip(more["places"].to_pylist(), more["sums"].to_pylist(), strict=True))
+    for sums, places in gains:
+        total[unplanes(places, np.uint32)] += unplanes(sums, np.float64)
+    docs = docs.set_column(docs.schema.get_field_index("score"), "score", pa.array(total))
+    return docs.select(["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Scores of docs (doc_id, held_out, text), learnt from those not held out."""
     small_batches(docs.sparkSession)
-    n_blocks = blocks(docs.count(), DOCS_PER_BLOCK)
-    ends = docs.where("not held_out").count()
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
+    size = docs.agg(F.count("*").alias("docs"), F.count(F.when(~F.col("held_out"), 1)).alias("ends"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n_blocks, ends = max(blocks(size["docs"], DOCS_PER_BLOCK), blocks(size["bytes"] or 0, DOC_BYTES)), size["ends"]
+    dealt = docs.select("doc_id", "held_out", "text").withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
     words = dealt.select("block", (~F.col("held_out")).alias("train"), "text").repartition("block").sortWithinPartitions("block")
     shards = max(LEAST_SHARDS, n_blocks // BLOCKS_PER_SHARD)
     words = words.mapInArrow(tidy(packed(shards)), "block long, shard long, words binary, counts binary, shapes binary")
@@ -364,7 +517,11 @@ def score(docs: DataFrame) -> DataFrame:
     model = Model(own, per_class, train(seen, prior, tokens), tokens, n_words)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     left, right = dealt.groupBy("block"), counts.where("block is not null").select("block", "shard", "counts").groupBy("block")
-    return left.cogroup(right).applyInArrow(scorer(shared, ends, shards), SCORED.format(id=docs.schema["doc_id"].dataType.simpleString()))
+    pair_shards = min(max(LEAST_SHARDS, n_blocks // PAIR_BLOCKS_PER_SHARD), 2 * (OWN + 1) * CLASSES)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    first = left.cogroup(right).applyInArrow(scorer(shared, ends, shards, pair_shards), MIXED.format(id=kind))
+    fitted = first.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(weighed), MIXED.format(id=kind))
+    return fitted.groupBy("block").applyInArrow(gathered, SCORED.format(id=kind))
 
 
 def op8_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
