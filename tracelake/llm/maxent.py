@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.bpe import slices
-from tracelake.llm.common import blocks, crc_mod, cut, small_batches, table, tidy
+from tracelake.llm.common import blocks, crc_mod, cut, release, small_batches, table, tidy
 
 CLASSES, OWN = 128, 63  # class 0: end; 1..OWN: one word each; the rest: by last bytes
 SHAPES = CLASSES - OWN - 1
@@ -516,6 +516,9 @@ def score(docs: DataFrame) -> DataFrame:
     prior = (per_class[0] + 0.5) / (tokens + 0.5 * CLASSES)
     model = Model(own, per_class, train(seen, prior, tokens), tokens, n_words)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    # What counting shuffled goes before the pairs come.
+    del words, seen
+    release(docs.sparkSession)
     left, right = dealt.groupBy("block"), counts.where("block is not null").select("block", "shard", "counts").groupBy("block")
     pair_shards = min(max(LEAST_SHARDS, n_blocks // PAIR_BLOCKS_PER_SHARD), 2 * (OWN + 1) * CLASSES)
     kind = docs.schema["doc_id"].dataType.simpleString()
