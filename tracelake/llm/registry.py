@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.llm import bpe, chat, maxent, mixing, rabitq, simhash, suffixdedup, topk, toxicity, urlrules
+from tracelake.llm import bpe, chat, fim, maxent, mixing, rabitq, simhash, suffixdedup, tokenfile, topk, toxicity, urlrules, whitening
 
 QUERIES = {
     "op1_rabitq": rabitq.op1_rabitq,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_maxent": maxent.op8_maxent,
     "op9_topk": topk.op9_topk,
     "op10_suffixdedup": suffixdedup.op10_suffixdedup,
+    "op11_fim": fim.op11_fim,
+    "op12_tokenfile": tokenfile.op12_tokenfile,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLES = {
     "op1_rabitq": rabitq.OP1_SQL,
@@ -22,4 +25,5 @@ ORACLES = {
     "op4_chat": chat.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op9_topk": topk.OP9_SQL,
+    "op11_fim": fim.OP11_SQL,
 }
