@@ -22,10 +22,12 @@ RECORD_KINDS = {
     "statedump": "struct<p1:bigint,p2:bigint,time:bigint,activity_id:bigint,uuid:string,data_type:bigint,library:string,decoder:string,title:string,data:binary>",
     "simpledump": "struct<p1:bigint,p2:bigint,time:bigint,thread_id:bigint,sender_uuid:string,dsc_uuid:string,subsystem:string,message:string>",
 }
-RECORD_DDL = "evidence string, catalog_seq int, chunk_seq int, kind string, " + ", ".join(f"{k} {v}" for k, v in RECORD_KINDS.items())
+#: ticks_from and ticks_to are the zone of the chunkset that holds a record, null where its catalog has none.
+RECORD_DDL = "evidence string, catalog_seq int, chunk_seq int, kind string, ticks_from bigint, ticks_to bigint, " + ", ".join(f"{k} {v}" for k, v in RECORD_KINDS.items())
 TIMESYNC_DDL = "path string, boot_seq int, boot_uuid string, numerator bigint, denominator bigint, boot_time bigint, seq int, kernel_time bigint, walltime bigint"
-UUIDTEXT_DDL = "uuid string, path string, image string, entries array<struct<start:bigint,size:bigint>>, footer binary"
-DSC_DDL = "uuid string, path string, ranges array<struct<low:bigint,size:bigint,image:bigint>>, images array<struct<uuid:string,path:string>>, content binary"
+#: base: where the bytes of a range begin in its file's text.
+UUIDTEXT_DDL = "uuid string, path string, image string, entries array<struct<start:bigint,size:bigint,base:bigint>>, footer binary"
+DSC_DDL = "uuid string, path string, ranges array<struct<low:bigint,size:bigint,image:bigint,base:bigint>>, images array<struct<uuid:string,path:string>>, content binary"
 
 #: The event table, in the order of its fields, then the lineage that gives the order of emission.
 EVENT_COLUMNS = {

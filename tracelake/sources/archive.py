@@ -82,19 +82,27 @@ def of_kind(source: DataFrame, kind: str) -> DataFrame:
     return source.where(file_kind(F.col("path")) == kind)
 
 
-def records_of(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
-    """Every record of trace files (path, content): evidence, catalog_seq, chunk_seq, kind and the column of that kind."""
+def record_row(evidence: str, found: codec.Record) -> dict:
+    kind, catalog_seq, chunk_seq, zone, record = found
+    return {"evidence": evidence, "catalog_seq": catalog_seq, "chunk_seq": chunk_seq, "kind": kind, "ticks_from": zone[0], "ticks_to": zone[1], kind: record}
+
+
+def records_of(source: DataFrame, mode: str = "PERMISSIVE", since: int | None = None, until: int | None = None) -> DataFrame:
+    """Every record of trace files (path, content): evidence, catalog_seq, chunk_seq, kind, zone and the column of that kind.
+
+    since and until, in ticks, leave whole chunksets out that lie outside of them;
+    values too large for their event that lie in such chunksets count as missing.
+    """
     strict = mode.upper() == "FAILFAST"
 
     def rows(path: str, content: bytes) -> Iterator[dict]:
-        for kind, catalog_seq, chunk_seq, record in codec.trace_file(content, strict):
-            yield {"evidence": path, "catalog_seq": catalog_seq, "chunk_seq": chunk_seq, "kind": kind, kind: record}
+        return (record_row(path, r) for r in codec.trace_file(content, strict, since=since, until=until))
 
     return decoded(source, "TraceV3", schemas.RECORD_DDL, rows, strict)
 
 
-def records(spark: SparkSession, roots: str | list[str], mode: str = "PERMISSIVE") -> DataFrame:
-    return records_of(files(spark, roots, "TraceV3"), mode)
+def records(spark: SparkSession, roots: str | list[str], mode: str = "PERMISSIVE", since: int | None = None, until: int | None = None) -> DataFrame:
+    return records_of(files(spark, roots, "TraceV3"), mode, since, until)
 
 
 def single_file(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
@@ -119,9 +127,52 @@ def timesync(spark: SparkSession, roots: str | list[str], mode: str = "PERMISSIV
     return timesync_of(files(spark, roots, "Timesync"), mode)
 
 
-def wanted(found: DataFrame, needed: DataFrame | None) -> DataFrame:
+def file_uuid(path: Column, kind: str) -> Column:
+    """The id that a string file's path stands for."""
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    return F.upper(name if kind == "Dsc" else F.concat(F.element_at(parts, -2), name))
+
+
+def wanted(found: DataFrame, kind: str, needed: DataFrame | None) -> DataFrame:
     """Only the files that are referred to, chosen by path before any content is decoded."""
-    return found if needed is None else found.join(needed.select("uuid").distinct(), "uuid", "left_semi")
+    return found if needed is None else found.withColumn("uuid", file_uuid(F.col("path"), kind)).join(needed.select("uuid").distinct(), "uuid", "left_semi")
+
+
+def only_needed(spark: SparkSession, roots: str | list[str], kind: str, needed: DataFrame | None) -> DataFrame:
+    """(path, content) of the string files that are referred to; the others are listed, but never opened.
+
+    The names of the chosen files, not their contents, pass through the driver, as
+    in any listing of Spark's.
+    """
+    if needed is None:
+        return files(spark, roots, kind)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots).select("path")
+    paths = [r["path"] for r in wanted(listed.where(file_kind(F.col("path")) == kind), kind, needed).select("path").collect()]
+    return files(spark, sorted(paths), kind) if paths else files(spark, roots, kind).where("false")
+
+
+def referenced(records: DataFrame) -> DataFrame:
+    """(uuid): the string files that records can refer to, by their processes, loaded images and events."""
+    people = records.where("kind = 'catalog'").select(F.explode("catalog.processes").alias("p"))
+    named = people.select(F.explode(F.array_union(F.array("p.main_uuid", "p.dsc_uuid"), F.col("p.images.uuid"))).alias("uuid"))
+    relative = records.where("kind = 'firehose'").select(F.explode(F.array_distinct("firehose.events.uuid_relative")).alias("uuid"))
+    return named.unionByName(relative).where("uuid <> ''").distinct()
+
+
+def staged(records: DataFrame, folder: str) -> DataFrame:
+    """The records, decoded once and written by kind: a reader of one kind opens that kind's files and columns only."""
+    records.write.partitionBy("kind").parquet(folder)
+    return records.sparkSession.read.schema(records.schema).parquet(folder).select(*records.columns)
+
+
+def with_base(ranges: list[dict]) -> int:
+    """Gives each range its base, the sum of the sizes before it, and returns the sum of all."""
+    base = 0
+    for r in ranges:
+        r["base"] = base
+        base += r["size"]
+    return base
 
 
 def uuidtext_of(source: DataFrame, needed: DataFrame | None = None, mode: str = "PERMISSIVE") -> DataFrame:
@@ -129,17 +180,16 @@ def uuidtext_of(source: DataFrame, needed: DataFrame | None = None, mode: str =
 
     def rows(path: str, content: bytes) -> Iterator[dict]:
         found = codec.uuidtext(content)
-        at = sum(e["size"] for e in found["entries"])
+        at = with_base(found["entries"])
         if at > len(found["footer"]):
             raise codec.Malformed("path lies outside the file")
         yield {"uuid": "".join(path.split("/")[-2:]).upper(), "path": path, "image": codec.text_to_zero(found["footer"][at:]), **found}
 
-    found = source.withColumn("uuid", F.upper(F.concat(F.element_at(F.split("path", "/"), -2), F.element_at(F.split("path", "/"), -1))))
-    return decoded(wanted(found, needed).select("path", "content"), "UUIDText", schemas.UUIDTEXT_DDL, rows, mode.upper() == "FAILFAST")
+    return decoded(wanted(source, "UUIDText", needed).select("path", "content"), "UUIDText", schemas.UUIDTEXT_DDL, rows, mode.upper() == "FAILFAST")
 
 
 def uuidtext(spark: SparkSession, roots: str | list[str], needed: DataFrame | None = None, mode: str = "PERMISSIVE") -> DataFrame:
-    return uuidtext_of(files(spark, roots, "UUIDText"), needed, mode)
+    return uuidtext_of(only_needed(spark, roots, "UUIDText", needed), None, mode)
 
 
 def dsc_of(source: DataFrame, needed: DataFrame | None = None, mode: str = "PERMISSIVE") -> DataFrame:
@@ -147,11 +197,11 @@ def dsc_of(source: DataFrame, needed: DataFrame | None = None, mode: str = "PERM
 
     def rows(path: str, content: bytes) -> Iterator[dict]:
         found = codec.shared_strings(content)
+        with_base(found["ranges"])
         yield {"uuid": path.split("/")[-1].upper(), "path": path, "ranges": found["ranges"], "images": found["images"], "content": b"".join(r["data"] for r in found["ranges"])}
 
-    found = source.withColumn("uuid", F.upper(F.element_at(F.split("path", "/"), -1)))
-    return decoded(wanted(found, needed).select("path", "content"), "Dsc", schemas.DSC_DDL, rows, mode.upper() == "FAILFAST")
+    return decoded(wanted(source, "Dsc", needed).select("path", "content"), "Dsc", schemas.DSC_DDL, rows, mode.upper() == "FAILFAST")
 
 
 def dsc(spark: SparkSession, roots: str | list[str], needed: DataFrame | None = None, mode: str = "PERMISSIVE") -> DataFrame:
-    return dsc_of(files(spark, roots, "Dsc"), needed, mode)
+    return dsc_of(only_needed(spark, roots, "Dsc", needed), None, mode)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
@@ -451,22 +451,66 @@ def simpledump(data: bytes) -> dict:
 INNER = {FIREHOSE: ("firehose", firehose), OVERSIZE: ("oversize", oversize), STATEDUMP: ("statedump", statedump), SIMPLEDUMP: ("simpledump", simpledump)}
 
 
-def trace_file(data: bytes, strict: bool = False) -> Iterator[tuple[str, int, int, dict]]:
-    """(kind, catalog number, chunk number, record) of a whole trace file, catalogs counted from one.
+def segments(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple[int, int, int]]:
+    """(catalogs before, from, to) of the parts of a trace file, each of which begins with a catalog, but for the first.
 
-    A bad record is left out unless strict; a file that is cut off ends there.
+    read gives so many bytes from a place on; only the 16 bytes before each chunk
+    are asked for. Where chunks can't be followed any more the last part goes on to
+    the end of the file.
     """
-    of_catalog = place = 0
+    begin = at = catalogs = 0
+    while at + 16 <= size:
+        tag, _, length = struct.unpack("<IIQ", read(at, 16))
+        if at + 16 + length > size:
+            break
+        if tag == CATALOG:
+            if at > begin:
+                yield max(0, catalogs - 1), begin, at
+            begin, catalogs = at, catalogs + 1
+        at += 16 + length + padding(length)
+    yield max(0, catalogs - 1), begin, size
+
+
+def zone_of(chunk: bytes, spans: list[dict], place: int) -> tuple[int | None, int | None]:
+    """First and last tick of a chunkset by its catalog; unknown where the catalog has another size for it."""
+    if place < len(spans) and len(chunk) >= 24 and struct.unpack_from("<I", chunk, 20)[0] == spans[place]["size"]:
+        return spans[place]["start"], spans[place]["end"]
+    return None, None
+
+
+def outside(zone: tuple[int | None, int | None], since: int | None, until: int | None) -> bool:
+    """Whether a known zone has nothing in common with a range of ticks, both ends included."""
+    start, end = zone
+    return start is not None and ((since is not None and end < since) or (until is not None and start > until))
+
+
+Record = tuple[str, int, int, tuple[int | None, int | None], dict]
+
+
+def trace_file(data: bytes, strict: bool = False, catalogs: int = 0, since: int | None = None, until: int | None = None) -> Iterator[Record]:
+    """(kind, catalog number, chunk number, zone, record) of a trace file or a part of one, before which there are so many catalogs.
+
+    Catalogs are counted from one, chunks within their catalog. Chunksets that lie
+    outside since and until by their catalog are not unpacked. A bad record is left
+    out unless strict; a file that is cut off ends there.
+    """
+    of_catalog, place, sets, spans, unknown = catalogs, 0, 0, [], (None, None)
     try:
         for tag, chunk in chunks(data):
             place += 1
             try:
                 if tag == HEADER:
-                    yield "header", of_catalog, place, header(chunk)
+                    yield "header", of_catalog, place, unknown, header(chunk)
                 elif tag == CATALOG:
-                    of_catalog += 1
-                    yield "catalog", of_catalog, place, catalog(chunk)
+                    of_catalog, place, sets, spans = of_catalog + 1, 0, 0, []
+                    found = catalog(chunk)
+                    spans = found["spans"]
+                    yield "catalog", of_catalog, place, unknown, found
                 elif tag == CHUNKSET:
+                    zone = zone_of(chunk, spans, sets)
+                    sets += 1
+                    if outside(zone, since, until):
+                        continue
                     for inner, part in chunks(unpack_chunkset(chunk), skip_zeros=True):
                         place += 1
                         if inner in INNER:
@@ -477,7 +521,7 @@ def trace_file(data: bytes, strict: bool = False) -> Iterator[tuple[str, int, in
                                 if strict:
                                     raise
                                 continue
-                            yield kind, of_catalog, place, record
+                            yield kind, of_catalog, place, zone, record
             except (Malformed, struct.error):
                 if strict:
                     raise

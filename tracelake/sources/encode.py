@@ -28,8 +28,11 @@ def header(boot_uuid: str, timezone: str = "/usr/share/zoneinfo/Europe/Paris", n
     return chunk(0x1000, body + fixed(timezone, 48))
 
 
-def catalog(processes: list[dict], uuids: list[str]) -> bytes:
-    """processes: p1, p2, pid, euid, main and dsc (places in uuids), images [(size, place, address)], subsystems [(id, subsystem, category)]."""
+def catalog(processes: list[dict], uuids: list[str], spans: list[tuple[int, int, int]] = ((0, 1 << 40, 65536),)) -> bytes:
+    """processes: p1, p2, pid, euid, main and dsc (places in uuids), images [(size, place, address)], subsystems [(id, subsystem, category)].
+
+    spans: (first tick, last tick, unpacked size) of the chunksets that follow.
+    """
     strings, places = b"", {}
 
     def place(text: str) -> int:
@@ -48,8 +51,8 @@ def catalog(processes: list[dict], uuids: list[str]) -> bytes:
         e += struct.pack("<II", len(subsystems), 0) + b"".join(struct.pack("<3H", n, place(s), place(c)) for n, s, c in subsystems)
         entries += e + bytes(padding(6 * len(subsystems)))
     at = 16 * len(uuids)
-    body = struct.pack("<5H", at, at + len(strings), len(processes), 0, 1) + bytes(6) + struct.pack("<Q", 0) + b"".join(bytes.fromhex(u) for u in uuids) + strings + entries
-    return chunk(0x600B, body + struct.pack("<QQIII", 0, 1 << 40, 65536, 0x100, 0) + struct.pack("<I", 0))
+    body = struct.pack("<5H", at, at + len(strings), len(processes), 0, len(spans)) + bytes(6) + struct.pack("<Q", 0) + b"".join(bytes.fromhex(u) for u in uuids) + strings + entries
+    return chunk(0x600B, body + b"".join(struct.pack("<QQIIII", start, end, size, 0x100, 0, 0) for start, end, size in spans))
 
 
 def text_item(kind: int, text: str) -> tuple[bytes, bytes]:
