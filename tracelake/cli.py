@@ -13,6 +13,7 @@ from tracelake import sinks
 from tracelake.functions.tables import ERRORS
 from tracelake.plans.assemble import event_table, in_order
 from tracelake.sources import archive
+from tracelake.sources.datasource import ranged
 from tracelake.streaming import bookmark as marks
 
 
@@ -35,20 +36,26 @@ def run(args: list[str] | None, spark: SparkSession | None) -> None:
     p.add_argument("--exclude-missing", action="store_true", help="leave out events whose values were never found")
     p.add_argument("--bookmark", nargs="?", const="", help="file that keeps the latest time read, by default in the user's data folder; later runs emit only later events")
     p.add_argument("--ordered", action="store_true", help="rows in order of emission")
+    p.add_argument("--split-bytes", type=int, help="read trace files larger than this by ranges of their catalogs, several tasks a file")
+    p.add_argument("--stage", help="new folder that executors share, where decoded records are written once by kind; without it they are cached")
     a = p.parse_args(args)
     spark = spark or SparkSession.builder.appName("tracelake").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     roots = list(archive.LIVE_ROOTS) if a.mode == "live" else a.input
     if a.mode == "single-file":
-        # Clocks and strings lie elsewhere: the same plan runs on empty dimensions.
         records = archive.single_file(spark, a.input)
+    else:
+        records = ranged(spark, roots, splitBytes=a.split_bytes) if a.split_bytes else archive.records(spark, roots)
+    records = archive.staged(records, a.stage) if a.stage else records.persist()
+    if a.mode == "single-file":
+        # Clocks and strings lie elsewhere: the same plan runs on empty dimensions.
         none = archive.files(spark, a.input).where("false")
         dims = archive.timesync_of(none), archive.uuidtext_of(none), archive.dsc_of(none)
     else:
-        records = archive.records(spark, roots)
-        dims = archive.timesync(spark, roots), archive.uuidtext(spark, roots), archive.dsc(spark, roots)
+        needed = archive.referenced(records)
+        dims = archive.timesync(spark, roots), archive.uuidtext(spark, roots, needed), archive.dsc(spark, roots, needed)
     if a.bookmark == "":
         a.bookmark = marks.default_path(a.mode)
-    events = event_table(records.persist(), *dims, exclude_missing=a.exclude_missing)
+    events = event_table(records, *dims, exclude_missing=a.exclude_missing)
     if a.bookmark:
         mark = marks.load(spark, a.bookmark, str(roots))
         events = events.persist()

@@ -18,7 +18,7 @@ from tracelake.plans.oversize import with_oversize
 
 def headers(records: DataFrame) -> DataFrame:
     """(evidence, boot_uuid, timezone_name) of each file's first header."""
-    first = procs.of_kind(records, "header").groupBy("evidence").agg(F.min_by(F.struct("boot_uuid", "timezone"), "chunk_seq").alias("h"))
+    first = procs.of_kind(records, "header").groupBy("evidence").agg(F.min_by(F.struct("boot_uuid", "timezone"), F.struct("catalog_seq", "chunk_seq")).alias("h"))
     return first.select("evidence", F.col("h.boot_uuid").alias("boot_uuid"), F.element_at(F.split("h.timezone", "/"), -1).alias("timezone_name"))
 
 

@@ -19,12 +19,15 @@ def with_oversize(events: DataFrame, oversize: DataFrame) -> DataFrame:
 
     Only logs refer to such values; signposts that do keep their own items. One
     join over all files gives what carrying values from file to file and trying
-    missing ones again would.
+    missing ones again would. Most events refer to nothing: they get a salt that no
+    value has, so they are spread over the join instead of meeting under one key.
     """
-    joined = events.join(first_of_each(oversize), REF, "left")
     none = F.array().cast(dict(events.dtypes)["items"])
     refers = (F.col("activity_type") == 4) & (F.col("data_ref") != 0)
-    return joined.withColumn("message_items", F.when(refers, F.coalesce("oversize_items", none)).otherwise(F.col("items"))).drop("oversize_items")
+    place = [c for c in ("evidence", "catalog_seq", "chunk_seq", "event_seq") if c in events.columns]
+    salted = events.withColumn("__salt", F.when(refers, 0).otherwise(1 + F.pmod(F.xxhash64(*place, *REF), F.lit(1 << 20)).cast("int")))
+    joined = salted.join(first_of_each(oversize).withColumn("__salt", F.lit(0)), [*REF, "__salt"], "left")
+    return joined.withColumn("message_items", F.when(refers, F.coalesce("oversize_items", none)).otherwise(F.col("items"))).drop("oversize_items", "__salt")
 
 
 def split_missing(events: DataFrame, message: str = "message", marker: str = "<Missing message data>") -> tuple[DataFrame, DataFrame]:

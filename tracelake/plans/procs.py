@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.tables import UNKNOWN_SUBSYSTEM
+from tracelake.operators.ranges import range_lookup
 
 KEY = ["evidence", "catalog_seq", "p1", "p2"]
 
@@ -48,12 +49,7 @@ def with_subsystem(events: DataFrame, dims: DataFrame) -> DataFrame:
 
 
 def absolute_image(events: DataFrame, dims: DataFrame, address: Column) -> DataFrame:
-    """events with image_uuid: the first image of the process whose range (both ends included) holds the address.
-
-    Keys and addresses are reduced to distinct ones before the range is compared.
-    """
+    """events with image_uuid: the first image of the process whose range (both ends included) holds the address."""
     at = "__address"
-    asked = events.select(*KEY, address.alias(at)).where(F.col(at).isNotNull()).distinct()
-    hits = asked.join(dims, KEY).where((F.col(at) >= F.col("low")) & (F.col(at) <= F.col("low") + F.col("size")))
-    first = hits.groupBy(*KEY, at).agg(F.min_by("uuid", "at").alias("image_uuid"))
-    return events.withColumn(at, address).join(first, [*KEY, at], "left").drop(at)
+    found = range_lookup(events.withColumn(at, address), dims.select(*KEY, "at", "low", "size", F.col("uuid").alias("image_uuid")), KEY, at)
+    return found.select(*events.columns, "image_uuid")

@@ -1,8 +1,9 @@
 """Format strings and image paths: which file and offset an event means, and the lookup.
 
-The router is column arithmetic. Lookups are reduced to distinct (route, file,
-offset) first; those of a file meet the file's bytes in one row, so each blob is
-shipped once, and the resolved texts are joined back by equality.
+The router is column arithmetic. Lookups are reduced to distinct (file, kind
+of lookup, offset) first. Which range holds an offset is an interval join of offsets and
+ranges, without any bytes; the places found in a file then meet its bytes in one
+row, so each blob is shipped once, and the texts are joined back by equality.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators.ranges import range_hits
 from tracelake.sources.codec import text_to_zero
 
-SHARED, ABSOLUTE, RELATIVE, MAIN = "shared", "absolute", "relative", "main"
+SHARED, ABSOLUTE, RELATIVE, MAIN, DYNAMIC = "shared", "absolute", "relative", "main", "dynamic"
 DYNAMIC_BIT = 0x80000000
 NO_UUID = "0" * 32
 
@@ -51,56 +53,60 @@ def routed(events: DataFrame) -> DataFrame:
     })
 
 
-def resolve_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a string file and its asked (route, offset) to their format strings; null where no range fits."""
-    for batch in batches:
-        out = []
-        for uuid, entries, footer, asked in zip(*(batch.column(c).to_pylist() for c in ("uuid", "entries", "footer", "asked")), strict=True):
-            for a in asked:
-                offset = a["offset"] & 0xFFFFFFFF if a["route"] == MAIN else a["offset"]
-                base, found = 0, None
-                for e in entries:
-                    at = offset - e["start"]
-                    room = len(footer) - (0 if a["route"] == RELATIVE else base)
-                    if 0 <= at <= min(e["size"], room):
-                        # A relative offset is not checked against the place of its range.
-                        found = text_to_zero(footer[at + base :]) if at + base <= len(footer) else None
-                        break
-                    base += e["size"]
-                out.append((a["route"], uuid, a["offset"], a["dynamic"], found))
-        types = (pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["route", "file_uuid", "offset", "dynamic", "found"])
-
-
-def resolve_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a shared string file and its asked offsets to format string, library and library id.
-
-    A dynamic offset, like one that no range holds, has the library of the first range.
+def text_ranges(uuidtext: DataFrame) -> DataFrame:
+    """(file_uuid, lookup, at, low, size, base, upto, image_at): the ranges of string files, cut to the bytes there are.
+
+    A relative offset is not checked against the place of its range.
     """
+    each = uuidtext.select(F.col("uuid").alias("file_uuid"), F.length("footer").alias("length"), F.posexplode("entries").alias("at", "e"), F.array(F.lit(RELATIVE), F.lit(MAIN)).alias("both"))
+    each = each.select("file_uuid", "length", "at", "e.*", F.explode("both").alias("lookup"))
+    room = F.col("length") - F.when(F.col("lookup") == RELATIVE, 0).otherwise(F.col("base"))
+    none = F.lit(None).cast("bigint")
+    return each.select("file_uuid", "lookup", "at", F.col("start").alias("low"), F.least("size", room).alias("size"), "base", none.alias("upto"), none.alias("image_at"))
+
+
+def shared_ranges(dsc: DataFrame) -> DataFrame:
+    """The same of shared string files; the end of a range is not in it, and a text ends with its range."""
+    each = dsc.select(F.col("uuid").alias("file_uuid"), F.lit(SHARED).alias("lookup"), F.posexplode("ranges").alias("at", "r"))
+    upto = F.col("r.base") + F.col("r.size")
+    return each.select("file_uuid", "lookup", "at", F.col("r.low").alias("low"), (F.col("r.size") - 1).alias("size"), F.col("r.base").alias("base"), upto.alias("upto"), F.col("r.image").alias("image_at"))
+
+
+def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a file (uuid, blob) and its asked (lookup, point, position, upto, image_at) to the text there; upto is null for the file's end."""
+    names = ["file_uuid", "lookup", "point", "image_at", "text"]
+    types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
     for batch in batches:
         out = []
-        for uuid, ranges, images, content, asked in zip(*(batch.column(c).to_pylist() for c in ("uuid", "ranges", "images", "content", "asked")), strict=True):
-            for a in asked:
-                base, found, image = 0, None, None
-                for r in ranges:
-                    at = a["offset"] - r["low"]
-                    if 0 <= at < r["size"] and not a["dynamic"]:
-                        found, image = text_to_zero(content[base + at : base + r["size"]]), r["image"]
-                        break
-                    base += r["size"]
-                if found is None and ranges:
-                    image = ranges[0]["image"]
-                own = images[image] if image is not None and 0 <= image < len(images) else None
-                bad = image is not None and own is None
-                out.append((uuid, a["offset"], a["dynamic"], "Error: Invalid UUID index" if bad else found, own["path"] if own else None, own["uuid"] if own else None, bool(ranges), bad))
-        types = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["file_uuid", "offset", "dynamic", "found", "image", "image_id", "ranges", "bad"])
-
-
-def asked_of(events: DataFrame, files: DataFrame, *fields: str) -> DataFrame:
-    """Files with the distinct lookups that go to them."""
-    asked = events.select("file_uuid", *fields).where("file_uuid <> ''").groupBy("file_uuid").agg(F.collect_set(F.struct(*fields)).alias("asked"))
-    return files.join(asked.withColumnRenamed("file_uuid", "uuid"), "uuid")
+        for uuid, blob, asked in zip(*(batch.column(c) for c in ("uuid", "blob", "asked")), strict=True):
+            view = memoryview(blob.as_buffer())
+            for a in asked.as_py():
+                begin, end = a["position"], len(view) if a["upto"] is None else min(a["upto"], len(view))
+                text = text_to_zero(bytes(view[begin:end])) if begin is not None and begin <= len(view) else None
+                out.append((uuid.as_py(), a["lookup"], a["point"], a["image_at"], text))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+
+
+def resolved(asked: DataFrame, uuidtext: DataFrame, dsc: DataFrame) -> DataFrame:
+    """Distinct asked (file_uuid, lookup, point) of files that exist, with text (null where no range fits), image, image_id, ranges and bad.
+
+    A dynamic offset of a shared file, like one that no range holds, has the
+    library of the first range.
+    """
+    hits = range_hits(asked, text_ranges(uuidtext).unionByName(shared_ranges(dsc)), ["file_uuid", "lookup"], "point")
+    hits = hits.withColumn("position", F.col("base") + F.col("point") - F.col("low")).withColumn("shared", F.col("lookup").isin(SHARED, DYNAMIC))
+    places = hits.groupBy(F.col("file_uuid").alias("uuid"), "shared").agg(F.collect_list(F.struct("lookup", "point", "position", "upto", "image_at")).alias("asked"))
+    blobs = uuidtext.select("uuid", F.lit(False).alias("shared"), F.col("footer").alias("blob")).unionByName(dsc.select("uuid", F.lit(True).alias("shared"), F.col("content").alias("blob")))
+    texts = blobs.join(places, ["uuid", "shared"]).mapInArrow(cut_texts, "file_uuid string, lookup string, point bigint, image_at bigint, text string")
+    shared = dsc.select(F.col("uuid").alias("file_uuid"), "images", (F.size("ranges") > 0).alias("ranges"), F.get("ranges.image", F.lit(0)).alias("first_image"))
+    texts = texts.join(shared, "file_uuid", "left")
+    of_shared = F.col("lookup").isin(SHARED, DYNAMIC)
+    at = F.when(of_shared, F.coalesce("image_at", "first_image"))
+    known = (at >= 0) & (at < F.size("images"))
+    own = F.when(known, F.get("images", F.when(known, at).otherwise(0).cast("int")))
+    bad = F.coalesce(at.isNotNull() & ~known, F.lit(False))
+    text = F.when(bad, "Error: Invalid UUID index").otherwise(F.col("text"))
+    return texts.select("file_uuid", "lookup", "point", text.alias("found"), own["path"].alias("image"), own["uuid"].alias("image_id"), (~of_shared | F.coalesce("ranges", F.lit(False))).alias("ranges"), bad.alias("bad"))
 
 
 def with_strings(events: DataFrame, uuidtext: DataFrame, dsc: DataFrame) -> DataFrame:
@@ -111,10 +117,11 @@ def with_strings(events: DataFrame, uuidtext: DataFrame, dsc: DataFrame) -> Data
     r = F.col("route")
     file_uuid = F.when(r == SHARED, F.col("dsc_uuid")).when(r == ABSOLUTE, F.coalesce("image_uuid", F.lit(""))).when(r == RELATIVE, F.col("uuid_relative")).when(r == MAIN, F.col("main_uuid"))
     events = events.withColumn("file_uuid", file_uuid)
-    texts = asked_of(events.where(r != SHARED), uuidtext, "route", "offset", "dynamic").mapInArrow(resolve_text, "route string, file_uuid string, offset bigint, dynamic boolean, found string")
-    shared = asked_of(events.where(r == SHARED), dsc, "offset", "dynamic").mapInArrow(resolve_shared, "file_uuid string, offset bigint, dynamic boolean, found string, image string, image_id string, ranges boolean, bad boolean").withColumn("route", F.lit(SHARED))
-    key = ["route", "file_uuid", "offset", "dynamic"]
-    found = texts.withColumns({"image": F.lit(None).cast("string"), "image_id": F.lit(None).cast("string"), "ranges": F.lit(True), "bad": F.lit(False)}).unionByName(shared)
+    lookup = F.when(r == SHARED, F.when(F.col("dynamic"), DYNAMIC).otherwise(SHARED)).when(r == RELATIVE, RELATIVE).otherwise(MAIN)
+    point = F.when(r == MAIN, F.col("offset").bitwiseAND(0xFFFFFFFF)).otherwise(F.col("offset"))
+    key = ["file_uuid", "lookup", "point"]
+    events = events.withColumns({"lookup": lookup, "point": point})
+    found = resolved(events.where("file_uuid <> ''").select(*key).distinct(), uuidtext, dsc)
     # Paths of images are few and short; files without bytes would do.
     paths = uuidtext.select(F.col("uuid").alias("path_uuid"), F.col("image").alias("path"))
     joined = events.join(found, key, "left").join(paths.withColumnRenamed("path_uuid", "main_uuid").withColumnRenamed("path", "__process"), "main_uuid", "left")
@@ -137,4 +144,4 @@ def with_strings(events: DataFrame, uuidtext: DataFrame, dsc: DataFrame) -> Data
         "process": F.when(known, F.when(r == MAIN, F.col("__file")).otherwise(process)).otherwise(""),
         "process_uuid": F.when(r.isNull(), "").when((r == SHARED) & ~known, "").otherwise(F.col("main_uuid")),
     }
-    return joined.withColumns(columns).drop("found", "image", "image_id", "ranges", "bad", "__process", "__file", "file_uuid")
+    return joined.withColumns(columns).drop("found", "image", "image_id", "ranges", "bad", "__process", "__file", "file_uuid", "lookup", "point")

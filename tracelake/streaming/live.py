@@ -2,14 +2,17 @@
 
 Files come in micro-batches of the binary source; a checkpoint holds which were
 read. The dimension files (clocks and strings) are read anew for each batch,
-because they grow too. Values too large for their event may arrive in a later
-file: the chunks of such events wait in a folder beside the checkpoint, with the
-large values seen so far, and are tried again in every batch. After ``patience``
-batches they are written as they are, so what waits is bounded in time.
+because they grow too; of the strings only the files that are referred to. Values
+too large for their event may arrive in a later file, or before it: the chunks of
+such events wait in a folder beside the checkpoint, with their header and catalog,
+and are tried again in every batch. After ``patience`` batches they are written as
+they are. Large values are kept for ``keep`` batches. So what a batch carries on is
+bounded by what arrived in the last batches, however long the stream runs.
 
 State is a folder for each batch number. A batch that is run again after a
 failure reads the state before it and replaces its own, so nothing is lost, and
-the sink sees the same rows under the same batch number.
+the sink sees the same rows under the same batch number. States that no batch can
+ask for again are deleted.
 """
 
 from __future__ import annotations
@@ -46,7 +49,24 @@ def state(spark: SparkSession, folder: str) -> DataFrame | None:
         return None
 
 
-def stream_events(spark: SparkSession, root: str, sink: Callable[[DataFrame, int], None], checkpoint: str, per_batch: int = 16, patience: int = 10) -> DataStreamWriter:
+def forget(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder on any file system, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def carried(records: DataFrame, chunks: DataFrame, keep: int) -> DataFrame:
+    """What the next batch needs: waiting chunks with their file's header and their catalog, and large values seen lately."""
+    of = lambda kind: records.where(F.col("kind") == kind)
+    waiting = of("firehose").join(chunks, CHUNK, "left_semi")
+    heads = of("header").join(chunks.select("evidence").distinct(), "evidence", "left_semi")
+    catalogs = of("catalog").join(chunks.select("evidence", "catalog_seq").distinct(), ["evidence", "catalog_seq"], "left_semi")
+    return waiting.unionByName(heads).unionByName(catalogs).unionByName(of("oversize").where(F.col("age") < keep))
+
+
+def stream_events(
+    spark: SparkSession, root: str, sink: Callable[[DataFrame, int], None], checkpoint: str, per_batch: int = 16, patience: int = 10, keep: int = 50
+) -> DataStreamWriter:
     """A writer that gives each micro-batch's event rows to the sink, late ones when they are complete."""
 
     def batch(files: DataFrame, number: int) -> None:
@@ -56,7 +76,8 @@ def stream_events(spark: SparkSession, root: str, sink: Callable[[DataFrame, int
         if waiting is not None:
             records = records.unionByName(waiting.withColumn("age", F.col("age") + 1))
         records = records.persist()
-        rows = event_table(records.drop("age"), archive.timesync(spark, root), archive.uuidtext(spark, root), archive.dsc(spark, root))
+        needed = archive.referenced(records)
+        rows = event_table(records.drop("age"), archive.timesync(spark, root), archive.uuidtext(spark, root, needed), archive.dsc(spark, root, needed))
         ages = records.where("kind IN ('firehose', 'simpledump', 'statedump')").select(*CHUNK, "age")
         rows = rows.join(ages, CHUNK).persist()
         # Only events wait; a dump that holds the marker is complete as it is.
@@ -66,10 +87,11 @@ def stream_events(spark: SparkSession, root: str, sink: Callable[[DataFrame, int
             due = due.join(written, EVENT, "left_anti")
         sink(due.select(*schemas.EVENT_COLUMNS, *schemas.LINEAGE), number)
         chunks = rows.where(open_now).select(*CHUNK).distinct().persist()
-        kept = records.where("kind IN ('header', 'catalog', 'oversize')").unionByName(records.where("kind = 'firehose'").join(chunks, CHUNK, "left_semi"))
-        kept.write.mode("overwrite").parquet(at("records", number))
+        carried(records, chunks, keep).write.mode("overwrite").parquet(at("records", number))
         rows.where(~open_now).join(chunks, CHUNK, "left_semi").select(*EVENT).write.mode("overwrite").parquet(at("written", number))
         for df in (rows, chunks, records):
             df.unpersist()
+        for name in ("records", "written"):
+            forget(spark, at(name, number - 2))
 
     return stream_files(spark, root, per_batch).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
