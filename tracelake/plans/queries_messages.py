@@ -129,7 +129,20 @@ def archive_rows(spark, d):
     return e.where(F.col("section") == 0).select("activity_id", "pid", "euid", "message", "event_type", "log_type", "subsystem", "category", "library", "process", "boot_uuid", "timezone_name", "time")
 
 
-@query("q_archive_counts")
+# Each boot has a dump of both kinds, at 5000 and 6000 ticks; its second clock record stands at 3000.
+ARCHIVE_COUNTS_SQL = f"""
+WITH r AS ({ARCHIVE_SQL}),
+n AS (
+  SELECT event_type, log_type, CAST(time AS BIGINT) AS ns FROM r
+  UNION ALL SELECT kind, kind, CAST(ticks - 3000::DOUBLE + 1700000000000004000::DOUBLE AS BIGINT)
+  FROM (SELECT DISTINCT boot_uuid FROM r), (VALUES ('Simpledump', 5000::DOUBLE), ('Statedump', 6000::DOUBLE)) d(kind, ticks)
+),
+s AS (SELECT event_type, log_type, strftime(make_timestamp((ns // 1000000000) * 1000000), '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(ns % 1000000000 AS VARCHAR), 9, '0') || 'Z' AS t FROM n)
+SELECT event_type, log_type, count(*) AS n, min(t) AS first, max(t) AS last FROM s GROUP BY event_type, log_type
+"""
+
+
+@query("q_archive_counts", ARCHIVE_COUNTS_SQL)
 def archive_counts(spark, d):
     """Rows of each kind, dumps included, of all archives."""
     e = archive_events(table(spark, d, "events").select("event_id", "user_id", "value", "event_type"))
