@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import TextIO
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,26 @@ def json_rows(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(F.struct(*EVENT_COLUMNS)).alias("value"))
 
 
+def print_rows(events: DataFrame, out: TextIO, kind: str = "jsonl") -> bool:
+    """Prints rows as lines, a partition at a time; false if the reader went away, which ends the run early and cleanly."""
+    if kind == "csv":
+        rows, head = csv_rows(events), ",".join(f'"{c}"' for c in CSV)
+        lines = rows.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"escape": '"', "quoteAll": "true"}).alias("value"))
+    elif kind == "jsonl":
+        lines, head = json_rows(events), None
+    else:
+        raise ValueError(f"unknown format for printed rows: {kind}")
+    try:
+        if head:
+            out.write(head + "\n")
+        for row in lines.toLocalIterator():
+            out.write(row["value"] + "\n")
+        out.flush()
+    except BrokenPipeError:
+        return False
+    return True
+
+
 def write(events: DataFrame, path: str, kind: str = "jsonl", append: bool = True) -> None:
     mode = "append" if append else "errorifexists"
     if kind == "csv":

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -28,6 +28,7 @@ from tracelake import schemas
 from tracelake.functions.tables import MISSING
 from tracelake.plans.assemble import event_table
 from tracelake.sources import archive
+from tracelake.streaming import bookmark as marks
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 CHUNK = ["evidence", "catalog_seq", "chunk_seq"]
@@ -49,6 +50,29 @@ def state(spark: SparkSession, folder: str) -> DataFrame | None:
         return None
 
 
+class Stopped(Exception):
+    """A batch was not begun because a stop was asked for."""
+
+
+def run(writer: DataStreamWriter, stopping: Callable[[], bool], poll: float = 1.0) -> bool:
+    """Runs a stream to its end (true) or until a stop is asked for (false).
+
+    The batch at work is finished: its rows, state and bookmark are complete. The
+    next one is refused before it does anything, so a later run from the same
+    checkpoint begins with it and nothing is lost or written twice. A stream that
+    waits for files is stopped while it waits.
+    """
+    query = writer.start()
+    try:
+        while not query.awaitTermination(poll):
+            if stopping() and not query.status["isTriggerActive"]:
+                query.stop()
+    except StreamingQueryException:
+        if not stopping():
+            raise
+    return not stopping()
+
+
 def forget(spark: SparkSession, folder: str) -> None:
     """Deletes a folder on any file system, if it is there."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -65,11 +89,18 @@ def carried(records: DataFrame, chunks: DataFrame, keep: int) -> DataFrame:
 
 
 def stream_events(
-    spark: SparkSession, root: str, sink: Callable[[DataFrame, int], None], checkpoint: str, per_batch: int = 16, patience: int = 10, keep: int = 50
-) -> DataStreamWriter:
-    """A writer that gives each micro-batch's event rows to the sink, late ones when they are complete."""
+    spark: SparkSession, root: str, sink: Callable[[DataFrame, int], None], checkpoint: str, per_batch: int = 16, patience: int = 10, keep: int = 50,
+    stopping: Callable[[], bool] = lambda: False, bookmark: str | None = None,
+) -> DataStreamWriter:
+    """A writer that gives each micro-batch's event rows to the sink, late ones when they are complete.
+
+    stopping is asked before each batch; see run(). bookmark names a file that keeps
+    the latest time written, saved after the batch's rows and state.
+    """
 
     def batch(files: DataFrame, number: int) -> None:
+        if stopping():
+            raise Stopped(f"batch {number} waits for the next run")
         at = lambda name, n: f"{checkpoint}-state/{name}/{n}"
         records = archive.records_of(files).withColumn("age", F.lit(0))
         waiting, written = state(spark, at("records", number - 1)), state(spark, at("written", number - 1))
@@ -89,6 +120,8 @@ def stream_events(
         chunks = rows.where(open_now).select(*CHUNK).distinct().persist()
         carried(records, chunks, keep).write.mode("overwrite").parquet(at("records", number))
         rows.where(~open_now).join(chunks, CHUNK, "left_semi").select(*EVENT).write.mode("overwrite").parquet(at("written", number))
+        if bookmark:
+            marks.save(spark, bookmark, marks.load(spark, bookmark, root).advanced(due.agg(F.max("time")).first()[0]))
         for df in (rows, chunks, records):
             df.unpersist()
         for name in ("records", "written"):
