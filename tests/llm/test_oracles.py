@@ -12,9 +12,10 @@ def shown(value) -> str:
     return "NULL" if value is None or value != value else repr(round(value, 6) + 0.0) if isinstance(value, float) else str(value)
 
 
-def rows_of(frame) -> list[tuple[str, ...]]:
-    frame = frame.astype(object)
-    return sorted(tuple(shown(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False))
+def rows_of(columns, rows) -> list[tuple[str, ...]]:
+    """Rows as texts, columns in order of their names. Values are not taken through pandas, which turns long columns with nulls into doubles."""
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple(shown(r[i]) for i in order) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -23,6 +24,7 @@ def test_against_sql(spark, name):
     con.execute("SET TimeZone = 'UTC'")
     for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    got, want = registry.QUERIES[name](spark, SF).toPandas(), con.execute(registry.ORACLES[name]).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    assert rows_of(got) == rows_of(want)
+    got, want = registry.QUERIES[name](spark, SF), con.execute(registry.ORACLES[name])
+    names = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert rows_of(got.columns, got.collect()) == rows_of(names, want.fetchall())
