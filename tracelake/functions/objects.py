@@ -1,4 +1,4 @@
-"""Decoders without a column form, as column functions over Arrow batches."""
+"""Packed values as column functions: expressions where there is one (``packed``), Arrow batches for the rest."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tracelake.functions.packed import client_state, ipv6, member_details, resolver_address, sid, sockaddr
 from tracelake.operators import objects
 
+__all__ = ["client_state", "decoded", "ipv6", "location_state", "member_details", "resolver_address", "service_binding", "sid", "sockaddr", "state"]
+
 
 @F.pandas_udf(StringType())
 def _decoded(annotation: pd.Series, value: pd.Series) -> pd.Series:
@@ -30,33 +33,9 @@ def state(kind: Column, title: Column, data: Column) -> Column:
     return _state(kind, title, data)
 
 
-def member_details(value: Column) -> Column:
-    return decoded("odtypes:mbr_details", value)
-
-
-def sid(value: Column) -> Column:
-    return decoded("odtypes:nt_sid_t", value)
-
-
-def ipv6(value: Column) -> Column:
-    return decoded("network:in6_addr", value)
-
-
-def sockaddr(value: Column) -> Column:
-    return decoded("network:sockaddr", value)
-
-
 def service_binding(value: Column) -> Column:
     return decoded("mdns:rd.svcb", value)
 
 
-def resolver_address(value: Column) -> Column:
-    return decoded("mdnsresponder:ip_addr", value)
-
-
-def client_state(value: Column) -> Column:
-    return decoded("location:_CLClientManagerStateTrackerState", value)
-
-
 def location_state(value: Column) -> Column:
     return decoded("location:_CLLocationManagerStateTrackerState", value)
