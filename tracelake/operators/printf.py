@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tracelake.functions.packed import let
 from tracelake.functions.tables import MISSING, PRIVATE
 from tracelake.operators.objects import bits, decoded, errno
 
@@ -207,15 +208,75 @@ def render(raw: str, items: list[Item]) -> str:
     return "".join([*out, rest])
 
 
+#: Conversions that column expressions print: no flags, width or precision, and no annotation that names a decoder.
+PLAIN = r"%(?:\{(?:public|private|sensitive)\})?(?:hh|h|ll|l|q|z|t)?[diuxXos@S]"
+#: Stands for a percent sign written twice.
+TWICE = "\0"
+
+
+def is_plain(raw: Column, items: Column) -> Column:
+    """Whether `spliced` can print the row: every conversion is plain, and no item holds the width of the next one.
+
+    Written without lambdas, so that it may guard the arguments of a Python function.
+    """
+    marked = F.replace(raw, F.lit("%%"), F.lit(TWICE))
+    plain = ~F.contains(F.regexp_replace(marked, PLAIN, ""), F.lit("%")) & ~F.contains(raw, F.lit(TWICE))
+    dynamic = F.coalesce(F.arrays_overlap(items["t"], F.array(*map(F.lit, DYNAMIC))), F.lit(False))
+    return (raw == "") | (plain & ~dynamic)
+
+
+def spliced(raw: Column, items: Column) -> Column:
+    """The message of a format of plain conversions, without Python.
+
+    Every conversion takes one item, as none has a width or a precision of its own, so the i-th conversion shows the
+    i-th item.
+    """
+
+    def shown(spec: Column, item: Column, text: Column) -> Column:
+        number = F.coalesce(F.when(text.rlike(r"^[+-]?[0-9]+\z"), text.try_cast("bigint")), F.lit(0))
+        kind = F.lower(F.right(spec, F.lit(1)))
+        hidden = (item["t"].isin(*HIDDEN) & (text == "") & (item["s"] == 0)) | ((item["t"] == 1) & (item["s"] == 0x8000))
+        return (
+            F.when(item.isNull(), MISSING)
+            .when(hidden | (F.startswith(spec, F.lit("%{")) & (text == PRIVATE)), PRIVATE)
+            .when(kind.isin("d", "i", "u"), number.cast("string"))
+            .when(kind == "x", F.hex(number))
+            .when(kind == "o", F.conv(F.hex(number), 16, 8))
+            .otherwise(text)
+        )
+
+    def joined(marked: Column) -> Column:
+        specs = F.regexp_extract_all(marked, F.lit(PLAIN), F.lit(0))
+        values = F.transform(specs, lambda spec, i: let(F.get(items, i), lambda item: shown(spec, item, F.coalesce(item["m"], F.lit("")))))
+        between = F.split(marked, PLAIN, -1)
+        return F.array_join(F.zip_with(between, values, lambda b, v: F.concat(F.replace(b, F.lit(TWICE), F.lit("%")), F.coalesce(v, F.lit("")))), "")
+
+    first = F.coalesce(F.get(items, F.lit(0))["m"], F.lit(""))
+    return F.when(raw == "", first).otherwise(let(F.replace(raw, F.lit("%%"), F.lit(TWICE)), joined))
+
+
 def format_log(raw: Column, items: Column) -> Column:
     """The message column of a format string column and an array column of items.
 
-    It is a column expression, so a plan that does not use the message drops it.
+    It is a column expression, so a plan that does not use the message drops it. Formats of plain conversions are
+    spliced in the JVM; of their rows Python sees a null only. A null format has a null message, null items are none,
+    and an item's null text is empty.
     """
-    texts = F.transform(items, lambda i: F.struct(i["item_type"].cast("int").alias("t"), i["item_size"].cast("int").alias("s"), i["message_strings"].alias("m")))
-    return _format(raw, texts)
+    kind = "array<struct<t:int,s:int,m:string>>"
+    texts = F.coalesce(F.arrays_zip(items["item_type"], items["item_size"], items["message_strings"]).cast(kind), F.array().cast(kind))
+    plain = is_plain(raw, texts)
+    return F.when(plain, spliced(raw, texts)).otherwise(_format_rest(F.when(~plain, F.struct(raw.alias("raw"), texts.alias("items")))))
+
+
+def evaluated(raw: str | None, items: list[dict] | None) -> str | None:
+    return None if raw is None else render(raw, [Item(i["t"], i["s"], i["m"] or "") for i in items] if items is not None else [])
 
 
 @F.pandas_udf(StringType())
 def _format(raw: pd.Series, items: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None else render(r, [Item(i["t"], i["s"], i["m"]) for i in own] if own is not None else []) for r, own in zip(raw, items, strict=True)])
+    return pd.Series([evaluated(r, own) for r, own in zip(raw, items, strict=True)], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def _format_rest(rows: pd.DataFrame) -> pd.Series:
+    return pd.Series([evaluated(r, own) for r, own in zip(rows["raw"], rows["items"], strict=True)], dtype=object)
