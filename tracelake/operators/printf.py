@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from dataclasses import dataclass
@@ -9,6 +10,7 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -208,8 +210,8 @@ def render(raw: str, items: list[Item]) -> str:
     return "".join([*out, rest])
 
 
-#: Conversions that column expressions print: no flags, width or precision, and no annotation that names a decoder.
-PLAIN = r"%(?:\{(?:public|private|sensitive)\})?(?:hh|h|ll|l|q|z|t)?[diuxXos@S]"
+#: What follows the percent sign of a conversion that column expressions print: no flags, width or precision, and no annotation that names a decoder.
+PLAIN = r"(?:\{(?:public|private|sensitive)\})?(?:hh|h|ll|l|q|z|t)?([diuxXos@S])"
 #: Stands for a percent sign written twice.
 TWICE = "\0"
 
@@ -220,7 +222,7 @@ def is_plain(raw: Column, items: Column) -> Column:
     Written without lambdas, so that it may guard the arguments of a Python function.
     """
     marked = F.replace(raw, F.lit("%%"), F.lit(TWICE))
-    plain = ~F.contains(F.regexp_replace(marked, PLAIN, ""), F.lit("%")) & ~F.contains(raw, F.lit(TWICE))
+    plain = ~marked.rlike(f"%(?!{PLAIN})") & ~F.contains(raw, F.lit(TWICE))
     dynamic = F.coalesce(F.arrays_overlap(items["t"], F.array(*map(F.lit, DYNAMIC))), F.lit(False))
     return (raw == "") | (plain & ~dynamic)
 
@@ -232,24 +234,30 @@ def spliced(raw: Column, items: Column) -> Column:
     i-th item.
     """
 
-    def shown(spec: Column, item: Column, text: Column) -> Column:
+    def shown(kind: Column, noted: Column, item: Column, text: Column) -> Column:
         number = F.coalesce(F.when(text.rlike(r"^[+-]?[0-9]+\z"), text.try_cast("bigint")), F.lit(0))
-        kind = F.lower(F.right(spec, F.lit(1)))
         hidden = (item["t"].isin(*HIDDEN) & (text == "") & (item["s"] == 0)) | ((item["t"] == 1) & (item["s"] == 0x8000))
         return (
             F.when(item.isNull(), MISSING)
-            .when(hidden | (F.startswith(spec, F.lit("%{")) & (text == PRIVATE)), PRIVATE)
+            .when(hidden | (noted & (text == PRIVATE)), PRIVATE)
+            .when(kind.isin("s", "@", "S"), text)
             .when(kind.isin("d", "i", "u"), number.cast("string"))
-            .when(kind == "x", F.hex(number))
-            .when(kind == "o", F.conv(F.hex(number), 16, 8))
-            .otherwise(text)
+            .when(kind.isin("x", "X"), F.hex(number))
+            .otherwise(F.conv(F.hex(number), 16, 8))
         )
 
+    def untwice(text: Column) -> Column:
+        return F.replace(text, F.lit(TWICE), F.lit("%"))
+
+    def piece(after: Column, i: Column) -> Column:
+        """What stands from one percent sign to the next; the first piece stands before all of them."""
+        kind, rest = F.regexp_extract(after, f"^{PLAIN}", 1), F.regexp_replace(after, f"^{PLAIN}", "")
+        value = let(F.get(items, i - 1), lambda item: shown(kind, F.startswith(after, F.lit("{")), item, F.coalesce(item["m"], F.lit(""))))
+        return F.when(i == 0, untwice(after)).otherwise(F.concat(value, untwice(rest)))
+
     def joined(marked: Column) -> Column:
-        specs = F.regexp_extract_all(marked, F.lit(PLAIN), F.lit(0))
-        values = F.transform(specs, lambda spec, i: let(F.get(items, i), lambda item: shown(spec, item, F.coalesce(item["m"], F.lit("")))))
-        between = F.split(marked, PLAIN, -1)
-        return F.array_join(F.zip_with(between, values, lambda b, v: F.concat(F.replace(b, F.lit(TWICE), F.lit("%")), F.coalesce(v, F.lit("")))), "")
+        # In a plain format every percent sign left begins a conversion.
+        return F.array_join(F.transform(F.split(marked, "%", -1), piece), "")
 
     first = F.coalesce(F.get(items, F.lit(0))["m"], F.lit(""))
     return F.when(raw == "", first).otherwise(let(F.replace(raw, F.lit("%%"), F.lit(TWICE)), joined))
@@ -264,8 +272,9 @@ def format_log(raw: Column, items: Column) -> Column:
     """
     kind = "array<struct<t:int,s:int,m:string>>"
     texts = F.coalesce(F.arrays_zip(items["item_type"], items["item_size"], items["message_strings"]).cast(kind), F.array().cast(kind))
-    plain = is_plain(raw, texts)
-    return F.when(plain, spliced(raw, texts)).otherwise(_format_rest(F.when(~plain, F.struct(raw.alias("raw"), texts.alias("items")))))
+    other = F.when(~is_plain(raw, texts), F.to_json(F.struct(raw.alias("raw"), texts.alias("items"))))
+    # What Python gets no row for is null there, so the formats are told apart once.
+    return F.coalesce(_format_rest(other), spliced(raw, texts))
 
 
 def evaluated(raw: str | None, items: list[dict] | None) -> str | None:
@@ -277,6 +286,8 @@ def _format(raw: pd.Series, items: pd.Series) -> pd.Series:
     return pd.Series([evaluated(r, own) for r, own in zip(raw, items, strict=True)], dtype=object)
 
 
-@F.pandas_udf(StringType())
-def _format_rest(rows: pd.DataFrame) -> pd.Series:
-    return pd.Series([evaluated(r, own) for r, own in zip(rows["raw"], rows["items"], strict=True)], dtype=object)
+@F.arrow_udf(StringType())
+def _format_rest(rows: pa.Array) -> pa.Array:
+    # A row travels as one text, as nested columns are slow to hand over even where they are null.
+    given = (None if r is None else json.loads(r) for r in rows.to_pylist())
+    return pa.array([None if r is None else render(r["raw"], [Item(i["t"], i["s"], i.get("m", "")) for i in r["items"]]) for r in given], pa.string())
