@@ -16,10 +16,25 @@ from tracelake.plans import procs, strings, timeline
 from tracelake.plans.oversize import with_oversize
 
 
+def zone_name(timezone: Column) -> Column:
+    """The last part of a time zone's path."""
+    return F.element_at(F.split(timezone, "/"), -1)
+
+
+def activity_ids(kind: Column, own: Column, other: Column) -> tuple[Column, Column]:
+    """An event's activity and its parent: an activity that names another one is the other's, and its own id the parent."""
+    named = (kind == 2) & (other != 0)
+    return F.when(named, other).otherwise(own), F.when(named, own).otherwise(0)
+
+
+def statedump_message(title: Column, library: Column, decoder: Column, text: Column) -> Column:
+    return F.concat(F.lit("title: "), title, F.lit("\nObject Type: "), library, F.lit("\nObject Type: "), decoder, F.lit("\n"), text)
+
+
 def headers(records: DataFrame) -> DataFrame:
     """(evidence, boot_uuid, timezone_name) of each file's first header."""
     first = procs.of_kind(records, "header").groupBy("evidence").agg(F.min_by(F.struct("boot_uuid", "timezone"), F.struct("catalog_seq", "chunk_seq")).alias("h"))
-    return first.select("evidence", F.col("h.boot_uuid").alias("boot_uuid"), F.element_at(F.split("h.timezone", "/"), -1).alias("timezone_name"))
+    return first.select("evidence", F.col("h.boot_uuid").alias("boot_uuid"), zone_name(F.col("h.timezone")).alias("timezone_name"))
 
 
 def firehose_events(records: DataFrame) -> DataFrame:
@@ -71,10 +86,9 @@ def event_table(records: DataFrame, timesync: DataFrame, uuidtext: DataFrame, ds
     if exclude_missing:
         events = events.where(~F.contains("said", F.lit(MISSING)))
     events = events.withColumn("message", with_backtrace(F.when(kind == 6, F.concat(signpost_prefix(F.col("signpost_id"), F.col("signpost_name")), F.col("said"))).otherwise(F.col("said")), F.col("backtrace")))
-    other = F.col("activity_id_3") != 0
+    activity, parent = activity_ids(kind, F.col("activity_id"), F.col("activity_id_3"))
     events = events.withColumns({
-        "parent_activity_id": F.when((kind == 2) & other, F.col("activity_id")).otherwise(0),
-        "activity_id": F.when(kind == 2, F.when(other, F.col("activity_id_3")).otherwise(F.col("activity_id"))).when(kind.isin(4, 6), F.col("activity_id")).otherwise(0),
+        "parent_activity_id": parent, "activity_id": F.when(kind.isin(2, 4, 6), activity).otherwise(0),
         "event_type": event_type(kind), "log_type": F.when(kind == 7, "Loss").otherwise(log_type(F.col("log_type"), kind)),
         "raw_message": F.when(kind == 3, "").otherwise(F.col("raw_message")), "message_entries": F.col("items"),
         "subsystem": F.when(kind == 4, F.col("subsystem")).when(kind == 6, F.col("subsystem")).otherwise(""), "category": F.when(kind.isin(4, 6), F.col("category")).otherwise(""),
@@ -82,7 +96,7 @@ def event_table(records: DataFrame, timesync: DataFrame, uuidtext: DataFrame, ds
     simple = procs.of_kind(records, "simpledump").join(head, "evidence", "left").withColumns({"continuous_time": F.col("time"), "base_time": F.lit(1).cast("bigint")})
     simple = timeline.with_time(simple, timesync).withColumns({"pid": F.col("p1"), "library_uuid": F.col("sender_uuid"), "process_uuid": F.col("dsc_uuid"), "event_type": F.lit("Simpledump"), "log_type": F.lit("Simpledump")})
     dumps = procs.of_kind(records, "statedump").join(head, "evidence", "left").withColumns({"continuous_time": F.col("time"), "base_time": F.lit(1).cast("bigint")})
-    text = F.concat(F.lit("title: "), "title", F.lit("\nObject Type: "), "library", F.lit("\nObject Type: "), "decoder", F.lit("\n"), state_text("data_type", "title", "data"))
+    text = statedump_message(F.col("title"), F.col("library"), F.col("decoder"), state_text("data_type", "title", "data"))
     dumps = timeline.with_time(dumps, timesync).withColumns({"pid": F.col("p1"), "message": text, "library": F.lit(""), "event_type": F.lit("Statedump"), "log_type": F.lit("Statedump")})
     return finished(stamped(events), 0).unionByName(finished(stamped(simple), 1)).unionByName(finished(stamped(dumps), 2))
 

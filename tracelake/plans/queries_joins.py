@@ -10,6 +10,7 @@ from tracelake.functions.tables import MISSING, UNKNOWN_SUBSYSTEM
 from tracelake.operators.printf import format_log
 from tracelake.operators.ranges import range_lookup, with_bases
 from tracelake.plans import strings, timeline
+from tracelake.plans.assemble import activity_ids, statedump_message, zone_name
 from tracelake.plans.derived import EV, events, query, table
 from tracelake.plans.queries_codes import ET_SQL, LT_SQL
 
@@ -17,9 +18,9 @@ from tracelake.plans.queries_codes import ET_SQL, LT_SQL
 @query("q_activity_parent", f"WITH {EV} SELECT event_id, CASE WHEN kind = 2 AND o <> 0 THEN o ELSE event_id END AS activity_id, CASE WHEN kind = 2 AND o <> 0 THEN event_id ELSE 0 END AS parent_activity_id, coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS before FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN event_id * 2 ELSE 0 END AS o FROM ev)")
 def activity_parent(spark: SparkSession, d: str) -> DataFrame:
     o = F.when(F.col("event_id") % 3 == 0, F.col("event_id") * 2).otherwise(0)
-    has = (F.col("kind") == 2) & (o != 0)
+    activity, parent = activity_ids(F.col("kind"), F.col("event_id"), o)
     before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return events(spark, d).select("event_id", F.when(has, o).otherwise(F.col("event_id")).alias("activity_id"), F.when(has, F.col("event_id")).otherwise(0).alias("parent_activity_id"), F.coalesce(before, F.lit(0)).alias("before"))
+    return events(spark, d).select("event_id", activity.alias("activity_id"), parent.alias("parent_activity_id"), F.coalesce(before, F.lit(0)).alias("before"))
 
 
 @query("q_process_lookup", "SELECT event_id, coalesce(c_custkey * 10, 0) AS pid, coalesce(c_nationkey, 0) AS euid FROM events LEFT JOIN customer ON user_id * 3 = c_custkey")
@@ -39,7 +40,7 @@ def subsystem_lookup(spark, d):
 
 @query("q_header_tz", "SELECT page_id, string_split(url, '/')[-1] AS last_part FROM pages")
 def header_tz(spark, d):
-    return table(spark, d, "pages").select("page_id", F.element_at(F.split("url", "/"), -1).alias("last_part"))
+    return table(spark, d, "pages").select("page_id", zone_name(F.col("url")).alias("last_part"))
 
 
 def clock(e: DataFrame, keep) -> DataFrame:
@@ -243,7 +244,9 @@ def csv_projection(spark, d):
 
 @query("q_jsonl_projection", "SELECT event_id, '{\"event_id\":' || event_id || ',\"user_id\":' || user_id || ',\"event_type\":\"' || event_type || '\"}' AS line FROM events")
 def jsonl_projection(spark, d):
-    return table(spark, d, "events").select("event_id", F.to_json(F.struct("event_id", "user_id", "event_type")).alias("line"))
+    from tracelake.sinks import json_line
+
+    return table(spark, d, "events").select("event_id", json_line(["event_id", "user_id", "event_type"]).alias("line"))
 
 
 @query("q_lineage_order", f"WITH {EV} SELECT event_id, row_number() OVER (PARTITION BY boot ORDER BY CASE WHEN kind = 7 THEN 1 ELSE 0 END, user_id, event_id) AS place FROM ev")
@@ -264,7 +267,7 @@ def simpledump_row(spark, d):
 
 @query("q_statedump_row", STATE)
 def statedump_row(spark, d):
-    message = F.concat(F.lit("title: "), "event_type", F.lit("\nObject Type: lib\nObject Type: type\n"), "props")
+    message = statedump_message(F.col("event_type"), F.lit("lib"), F.lit("type"), F.col("props"))
     return table(spark, d, "events").select(F.col("event_id").alias("id"), F.lit("Statedump").alias("event_type"), F.col("user_id").alias("pid"), F.lit("").alias("subsystem"), message.alias("message"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import TextIO
 
 from pyspark.sql import Column, DataFrame
@@ -26,9 +27,14 @@ def csv_rows(events: DataFrame) -> DataFrame:
     return events.select(*[(csv_time(F.col(c)) if c == "timestamp" else F.col(c)).alias(heading) for heading, c in CSV.items()])
 
 
+def json_line(columns: Iterable[str]) -> Column:
+    """One JSON object of the columns; null fields are left out."""
+    return F.to_json(F.struct(*columns))
+
+
 def json_rows(events: DataFrame) -> DataFrame:
     """One JSON object a row with all fields; none is ever null, so none is left out."""
-    return events.select(F.to_json(F.struct(*EVENT_COLUMNS)).alias("value"))
+    return events.select(json_line(EVENT_COLUMNS).alias("value"))
 
 
 def print_rows(events: DataFrame, out: TextIO, kind: str = "jsonl") -> bool:
