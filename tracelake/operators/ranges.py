@@ -20,7 +20,7 @@ def range_hits(asked: DataFrame, ranges: DataFrame, key: list[str], point: str)
     eight; a point is looked for in its bucket of every width. So the join is by equality of key, width and bucket,
     and compares ranges near a point only, however many a key has and however
     much they overlap. Both sides are read once. Ranges of negative size hold
-    nothing.
+    nothing. Ranges may be as many as the points, so they are joined by shuffle and never pass through the driver.
     """
     fields = [c for c in ranges.columns if c not in key]
     bucket = lambda c: F.expr(f"shiftright({c}, 4 * __digits)")
@@ -30,7 +30,7 @@ def range_hits(asked: DataFrame, ranges: DataFrame, key: list[str], point: str)
     probes = asked.select(*key, point).withColumn("__digits", F.explode(F.array(*[F.lit(d) for d in (*range(1, 9), 15)]))).withColumn("__bucket", bucket(f"`{point}`"))
     same = [F.col(f"p.{c}") == F.col(f"r.{c}") for c in (*key, "__digits", "__bucket")]
     inside = F.col(f"p.{point}").between(F.col("r.low"), F.col("r.low") + F.col("r.size"))
-    near = probes.alias("p").join(cut.alias("r"), [*same, inside], "left")
+    near = probes.alias("p").join(cut.hint("merge").alias("r"), [*same, inside], "left")
     first = near.groupBy(*[F.col(f"p.{c}").alias(c) for c in (*key, point)]).agg(F.min_by(F.struct(*[F.col(f"r.{c}").alias(c) for c in fields]), F.col("r.at")).alias("__r"))
     return first.select(*key, point, *[F.col(f"__r.{c}").alias(c) for c in fields])
 
@@ -39,4 +39,4 @@ def range_lookup(points: DataFrame, ranges: DataFrame, key: list[str], point: st
     """points with the columns of the first range (by at) of their key with low <= point <= low + size."""
     fields = [c for c in ranges.columns if c not in key]
     asked = points.select(*key, point).where(F.col(point).isNotNull()).distinct()
-    return points.join(range_hits(asked, ranges, key, point), [*key, point], "left").select(*points.columns, *fields)
+    return points.join(range_hits(asked, ranges, key, point).hint("merge"), [*key, point], "left").select(*points.columns, *fields)

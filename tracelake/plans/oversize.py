@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.plans.procs import BY_SHUFFLE
+
 REF = ["data_ref", "p1", "p2"]
 
 
@@ -26,7 +28,7 @@ def with_oversize(events: DataFrame, oversize: DataFrame) -> DataFrame:
     refers = (F.col("activity_type") == 4) & (F.col("data_ref") != 0)
     place = [c for c in ("evidence", "catalog_seq", "chunk_seq", "event_seq") if c in events.columns]
     salted = events.withColumn("__salt", F.when(refers, 0).otherwise(1 + F.pmod(F.xxhash64(*place, *REF), F.lit(1 << 20)).cast("int")))
-    joined = salted.join(first_of_each(oversize).withColumn("__salt", F.lit(0)), [*REF, "__salt"], "left")
+    joined = salted.join(first_of_each(oversize).withColumn("__salt", F.lit(0)).hint(BY_SHUFFLE), [*REF, "__salt"], "left")
     return joined.withColumn("message_items", F.when(refers, F.coalesce("oversize_items", none)).otherwise(F.col("items"))).drop("oversize_items", "__salt")
 
 

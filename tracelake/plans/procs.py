@@ -9,6 +9,9 @@ from tracelake.functions.tables import UNKNOWN_SUBSYSTEM
 from tracelake.operators.ranges import range_lookup
 
 KEY = ["evidence", "catalog_seq", "p1", "p2"]
+#: How joins with a side that grows with the events are done. Such sides are mostly repeated ids and paths: ten compressed MB, which Spark
+#: would broadcast, are hundreds in the driver.
+BY_SHUFFLE = "merge"
 
 
 def of_kind(records: DataFrame, kind: str) -> DataFrame:
@@ -36,13 +39,13 @@ def images(procs: DataFrame) -> DataFrame:
 def with_process(events: DataFrame, procs: DataFrame) -> DataFrame:
     """events with pid, euid, main_uuid and dsc_uuid; zero and empty where the process is unknown."""
     dims = procs.select(*KEY, "pid", "euid", "main_uuid", "dsc_uuid")
-    joined = events.join(dims, KEY, "left")
+    joined = events.join(dims.hint(BY_SHUFFLE), KEY, "left")
     return joined.withColumns({"pid": F.coalesce("pid", F.lit(0)), "euid": F.coalesce("euid", F.lit(0)), "main_uuid": F.coalesce("main_uuid", F.lit("")), "dsc_uuid": F.coalesce("dsc_uuid", F.lit(""))})
 
 
 def with_subsystem(events: DataFrame, dims: DataFrame) -> DataFrame:
     """events with subsystem and category of their subsystem_id; id zero has neither."""
-    joined = events.join(dims, [*KEY, "subsystem_id"], "left")
+    joined = events.join(dims.hint(BY_SHUFFLE), [*KEY, "subsystem_id"], "left")
     asked = F.col("subsystem_id") != 0
     text = lambda c, unknown: F.when(asked, F.coalesce(c, F.lit(unknown))).otherwise("").alias(c)
     return joined.withColumns({"subsystem": text("subsystem", UNKNOWN_SUBSYSTEM), "category": text("category", "")})
