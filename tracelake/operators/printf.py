@@ -263,15 +263,140 @@ def spliced(raw: Column, items: Column) -> Column:
     return F.when(raw == "", first).otherwise(let(F.replace(raw, F.lit("%%"), F.lit(TWICE)), joined))
 
 
-def format_log(raw: Column, items: Column) -> Column:
-    """The message column of a format string column and an array column of items.
+def pieces(raw: str) -> list[tuple[str, str | None]]:
+    """A format in parts (text before, conversion); the last one has none. As `render` cuts it."""
+    out, rest = [], raw
+    for found in TOKENS.finditer(raw):
+        if not found[0].startswith("% "):
+            before, _, rest = rest.partition(found[0])
+            out.append((before, found[0]))
+    return [*out, (rest, None)]
+
+
+#: Places up to which the digits of every double, as an integer below 2**53, stay below 2**63.
+PLACES = 3
+
+
+def float_digits(number: Column, places: int) -> Column:
+    """The double with these bits to 1 to PLACES places, ties of its exact value to even, or with 0 in its shortest digits.
+
+    Null for what this arithmetic cannot tell: large and tiny values, those that are no numbers, and shortest digits of
+    more than 15 places, which the JVM may give too long.
+    """
+    power = F.shiftright(number, 52).bitwiseAND(2047)
+    part = number.bitwiseAND((1 << 52) - 1) + F.when(power == 0, F.lit(0).cast("bigint")).otherwise(F.lit(1 << 52))
+    # The value is part / 2**down; nothing is written out twice that is not a field of a value held once a row.
+    down = F.when(number.bitwiseAND((1 << 63) - 1) == 0, F.lit(1).cast("bigint")).otherwise(1075 - F.greatest(power, F.lit(1).cast("bigint"))).cast("int")
+    sign = F.when(number < 0, "-").otherwise("")
+    step = lambda v: F.call_function("shiftleft", F.lit(1).cast("bigint"), v["down"])
+
+    def fixed(v: Column) -> Column:
+        scaled = v["part"] * 10**places
+        whole, twice = F.call_function("shiftright", scaled, v["down"]), scaled.bitwiseAND(step(v) - 1) * 2
+        up = (twice > step(v)) | ((twice == step(v)) & (whole.bitwiseAND(1) == 1))
+        return let((whole + F.when(up, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))).cast("string"), pointed)
+
+    def pointed(digits: Column) -> Column:
+        return let(F.lpad(digits, F.greatest(F.lit(places + 1), F.length(digits)), F.lit("0")), lambda d: F.concat(F.substring(d, F.lit(1), F.length(d) - places), F.lit("."), F.right(d, F.lit(places))))
+
+    def shortest(v: Column) -> Column:
+        # Two decimals of at most 15 digits are never one double, so a short one is the shortest.
+        short = let((v["part"].cast("double") / step(v).cast("double")).cast("string"), lambda t: F.when(~F.contains(t, F.lit("E")) & (F.length(t) <= 16), t))
+        return F.when(v["part"].bitwiseAND(step(v) - 1) == 0, F.call_function("shiftright", v["part"], v["down"]).cast("string")).otherwise(short)
+
+    parts = F.struct(part.alias("part"), down.alias("down"))
+    return F.concat(sign, let(parts, lambda v: F.when(v["down"].between(1, 61), (fixed if places else shortest)(v))))
+
+
+def beyond(number: Column, places: int) -> Column:
+    """Whether `float_digits` is null, told from the exponent alone where the places are given."""
+    size = number.bitwiseAND((1 << 63) - 1)
+    far = (size != 0) & ~size.between(1014 << 52, (1075 << 52) - 1)
+    return far if places else far | float_digits(number, 0).isNull()
+
+
+def known_conversion(spec: str, kind: Column, size: Column, given: Column, absent: Column) -> tuple[Column, Column] | None:
+    """What a conversion shows of an item, and whether Python must evaluate the row; None if it must evaluate all."""
+    note, rest = "", spec
+    if spec.startswith("%{"):
+        note, end, rest = spec.partition("}")
+        if note[2:] not in ("public", "private", "sensitive") or not rest:
+            return None
+        rest = end + rest
+    try:
+        c = conversion(rest)
+    except Unreadable:
+        return None
+    if c.star or spec[-1:] in "cC" or (c.precision is not None and not c.precision.isdigit()) or c.kind not in FLOATS | INTEGERS | HEX | OCTAL | TEXTS:
+        return None
+    width, places = int(c.width or 0), int(c.precision or 0)
+    if c.kind in FLOATS and places > PLACES:
+        return None
+    text = F.coalesce(given, F.lit(""))
+    number = F.coalesce(F.when(text.rlike(r"^[+-]?[0-9]+\z"), text.try_cast("bigint")), F.lit(0).cast("bigint"))
+    hard = kind.isin(*DYNAMIC)
+    if c.kind in FLOATS:
+        hard = hard | let(number, lambda n: beyond(n, places))
+        value = let(number, lambda n: float_digits(n, places))
+    elif c.kind in INTEGERS:
+        value = number.cast("string")
+    elif c.kind in HEX:
+        value = F.concat(F.lit("0x" if c.alternate else ""), F.hex(number))
+    elif c.kind in OCTAL:
+        value = F.concat(F.lit("0o" if c.alternate else ""), F.conv(F.hex(number), 16, 8))
+    else:
+        value = F.substring(text, 1, places) if places else text
+    room, fill = max(width - 1, 0) if c.plus else width, "0" if c.zero else " "
+    if c.kind in HEX and c.left and not c.zero and width:
+        value, fill = F.hex(number), "0"
+    elif c.kind in HEX and c.left and not c.zero:
+        room = 0
+    if room:
+        value = let(value, lambda v: (F.rpad if c.left else F.lpad)(v, F.greatest(F.lit(room), F.length(v)), F.lit(fill)))
+    value = F.concat(F.lit("+"), value) if c.plus else value
+    hidden = (kind.isin(*HIDDEN) & (text == "") & (size == 0)) | ((kind == 1) & (size == 0x8000))
+    if note:
+        hidden = hidden | (text == PRIVATE)
+    return F.when(absent, MISSING).when(hidden, PRIVATE).otherwise(value), F.coalesce(hard & ~absent, F.lit(False))
+
+
+def known_format(raw: str, items: Column) -> tuple[Column, Column] | None:
+    """The message of a format known with the plan, as one expression of the items' fields, and whether Python must evaluate the row; None if it must evaluate all."""
+    if not raw:
+        return F.coalesce(F.get(items["message_strings"], F.lit(0)), F.lit("")), F.lit(False)
+    shown, at, hard = [], 0, F.lit(False)
+    for before, spec in pieces(raw):
+        shown.append(F.lit(before))
+        if spec == "%%":
+            shown.append(F.lit("%"))
+        elif spec:
+            kind, size, text = (F.get(items[c], F.lit(at)) for c in ("item_type", "item_size", "message_strings"))
+            absent = F.coalesce(F.size(items["item_type"]), F.lit(0)) <= at
+            value = known_conversion(spec, kind, size, text, absent)
+            if value is None:
+                return None
+            shown.append(value[0])
+            hard = hard | value[1]
+            at += 1
+    return F.concat(*shown), hard
+
+
+def format_log(raw: Column | str, items: Column) -> Column:
+    """The message column of a format string column, or of one format known with the plan, and an array column of items.
 
     It is a column expression, so a plan that does not use the message drops it. Formats of plain conversions are
     spliced in the JVM; of their rows Python sees a null only. A null format has a null message, null items are none,
-    and an item's null text is empty.
+    and an item's null text is empty. A format given as text is taken apart once, and each of its conversions with widths,
+    places or flags is an expression of its own; Python sees rows that need it only.
     """
     kind = "array<struct<t:int,s:int,m:string>>"
     texts = F.coalesce(F.arrays_zip(items["item_type"], items["item_size"], items["message_strings"]).cast(kind), F.array().cast(kind))
+    known = known_format(raw, items) if isinstance(raw, str) else None
+    if isinstance(raw, str):
+        raw = F.lit(raw)
+    if known is not None:
+        message, hard = known
+        return F.coalesce(_format_rest(F.when(hard, F.to_json(F.struct(raw.alias("raw"), texts.alias("items"))))), message)
     other = F.when(~is_plain(raw, texts), F.to_json(F.struct(raw.alias("raw"), texts.alias("items"))))
     # What Python gets no row for is null there, so the formats are told apart once.
     return F.coalesce(_format_rest(other), spliced(raw, texts))
@@ -289,5 +414,7 @@ def _format(raw: pd.Series, items: pd.Series) -> pd.Series:
 @F.arrow_udf(StringType())
 def _format_rest(rows: pa.Array) -> pa.Array:
     # A row travels as one text, as nested columns are slow to hand over even where they are null.
+    if rows.null_count == len(rows):
+        return pa.nulls(len(rows), pa.string())
     given = (None if r is None else json.loads(r) for r in rows.to_pylist())
     return pa.array([None if r is None else render(r["raw"], [Item(i["t"], i["s"], i.get("m", "")) for i in r["items"]]) for r in given], pa.string())

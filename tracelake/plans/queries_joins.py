@@ -320,6 +320,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     joined = e.join(people, F.col("user_id") == F.col("c_custkey"), "left").withColumns({"boot_uuid": F.col("boot").cast("string"), "continuous_time": F.col("t"), "base_time": F.lit(1).cast("bigint")})
     timed = timeline.with_time(joined, clock(e, F.col("event_id") % 10 == 0))
     item = lambda kind, text: F.struct(F.lit(kind).alias("item_type"), F.lit(1).alias("item_size"), text.cast("string").alias("message_strings"))
-    said = format_log(F.lit("user %d did %{public}s"), F.array(item(2, F.col("user_id")), item(0x22, F.col("event_type"))))
+    said = format_log("user %d did %{public}s", F.array(item(2, F.col("user_id")), item(0x22, F.col("event_type"))))
     rows = timed.select(F.coalesce("c_mktsegment", F.lit(UNKNOWN_SUBSYSTEM)).alias("subsystem"), codes.log_type(F.col("lt"), F.col("kind")).alias("log_type"), F.coalesce("c_custkey", F.lit(0)).alias("pid"), "time", said.alias("message"))
     return rows.groupBy("subsystem", "log_type").agg(F.count("*").alias("n"), F.max("time").alias("last_time"), F.sum(F.length("message")).alias("chars"), F.count_distinct("pid").alias("processes"))
