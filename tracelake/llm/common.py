@@ -7,6 +7,7 @@ import ctypes
 import gc
 import math
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,24 +35,31 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def release(spark: SparkSession) -> None:
+#: Seconds until the JVM is told of all plans that Python has dropped: py4j does so in a thread that looks once a second.
+TOLD_S = 1.2
+
+
+def release(spark: SparkSession, told: bool = False) -> None:
     """Has Spark delete the shuffle files of plans that nothing refers to any more.
 
     Spark deletes them once the driver's JVM has collected their plans. Left to itself that
     comes late, and until then the files of all steps before take disk beside the next one's.
+    told waits until plans dropped just now count as well: for steps right after one with large files.
     """
     gc.collect()
+    if told:
+        time.sleep(TOLD_S)
     spark.sparkContext._jvm.System.gc()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, told: bool = False) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint.
 
     The folder is the cluster's spark.checkpoint.dir; a folder of our own is set
-    only where none is (tests in local mode). What earlier steps shuffled goes first.
+    only where none is (tests in local mode). What earlier steps shuffled goes first; told: also that of the last one.
     """
     shared_folder(df.sparkSession)
-    release(df.sparkSession)
+    release(df.sparkSession, told)
     return df.checkpoint()
 
 

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.bpe import slices
-from tracelake.llm.common import components, cut, equal_runs, roots, small_batches, thin, tidy
+from tracelake.llm.common import blocks, components, cut, equal_runs, roots, small_batches, thin, tidy
 
 SHINGLE, SEED, KEYS, FEW, FAR = 5, 42, 16, 30, 28
 SAMPLE_DOCS, COMMON, MOST_COMMON = 20_000, 8, 100_000
-BLOCK_BYTES, AT_ONCE, SMALL, CHUNK_SHINGLES, CACHE_SHINGLES, BROADCAST_NAMES = 1_000_000, 200_000, 128, 200_000, 2_000_000, 200_000
+BLOCK_BYTES, AT_ONCE, SMALL, CHUNK_SHINGLES, CACHE_SHINGLES, BROADCAST_NAMES = 1_000_000, 200_000, 128, 200_000, 2_000_000, 500_000
+#: Pairs meet their texts in rounds of that many, up to so many rounds, beyond which rounds grow.
+PAIRS_A_ROUND, ROUNDS = 100_000, 8
 
 
 def shingle_hashes(text: str | None, n: int) -> list[int]:
@@ -244,10 +247,20 @@ def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tested(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar. pairs should be a checkpoint."""
+    """The pairs (a, b) of nodes that are similar. pairs should be a checkpoint.
+
+    A text is shuffled once for each of its pairs, so the pairs are tested in rounds, and what one round shuffled is
+    deleted before the next shuffles.
+    """
+    rounds = min(ROUNDS, blocks(pairs.count(), PAIRS_A_ROUND))
+    parts = [pairs.where(F.pmod(F.xxhash64("a"), F.lit(rounds)) == k) for k in range(rounds)]
+    return reduce(DataFrame.unionByName, [tested_at_once(p, nodes, texts) for p in parts])
+
+
+def tested_at_once(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     own = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, texts)
     both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return cut(both.mapInArrow(tidy(similar), "a long, b long"))
+    return cut(both.mapInArrow(tidy(similar), "a long, b long"), told=True)
 
 
 def links(nodes: DataFrame, texts: DataFrame, near_links) -> DataFrame:
@@ -272,6 +285,8 @@ def links(nodes: DataFrame, texts: DataFrame, near_links) -> DataFrame:
     few = rest.where(F.col("size") <= SMALL).select(F.col("key").alias("cell"), "node", "n", "fp", "component")
     few = few.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(across), "a long, b long")
     few = few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    # Before the crowded ones, whose first steps are then the jobs after which what this shuffled can go.
+    near = near.unionByName(tested(cut(few), nodes, texts))
     many = rest.where(F.col("size") > SMALL)
     crowd = many.groupBy("key").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("chunks"))
     cells = many.join(crowd, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1L)")))
@@ -280,7 +295,7 @@ def links(nodes: DataFrame, texts: DataFrame, near_links) -> DataFrame:
     sets = texts_of(many.select("node").distinct(), nodes, texts).mapInArrow(tidy(sets_of), "node long, shingles binary")
     cells = cells.join(sets.join(nodes.select("node", "keys"), "node"), "node")
     crowded = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(linked), "a long, b long")
-    return near.unionByName(tested(cut(few), nodes, texts)).unionByName(cut(crowded))
+    return near.unionByName(cut(crowded, told=True))
 
 
 def first_of_groups(docs: DataFrame, doc_id: str, text: str, fingerprints, near_links) -> DataFrame:
