@@ -131,6 +131,27 @@ def test_token_file_of_nothing(spark, tmp_path):
     assert tokenfile.tokens_between(spark, f"{tmp_path}/f", 0, 5).count() == 0
 
 
+def test_pieces_are_independent(library):
+    rnd = random.Random(5)
+    parts = [" ", " ", " ", "  ", "\n", "\n\n", "\t", "\x01", "\x0b", "\x0c", "\x1f", "\x85", "\xa0", "\u2009", "\u3000", "a", "Zb", "é", "ÿ", "×", "÷", "ª", "ß", "ſ", "日本", "١", "7", "'s", "'", "'ll", ",", "...", "-", "_", "@", "[", "`", "{", "~", "/", "…", "😀", "\u0301", "<|endoftext|>"]
+    texts = ["", "".join(rnd.choice(parts) for _ in range(5000)), *("".join(rnd.choice(parts) for _ in range(rnd.randrange(12))) for _ in range(20_000))]
+    texts += ["".join(rnd.choice(["a", "é", ",", ".", "'s", "-", "1", " ", "\n"]) for _ in range(rnd.randrange(20))) for _ in range(20_000)]
+    own = tokenfile.Encoder(tokenfile.public_definition())
+    for i in range(0, len(texts), 3000):
+        some = texts[i : i + 3000]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in own.block(some)] == [library(t) for t in some]
+    assert own.block([]) == []
+
+
+def test_words_are_remembered_without_their_signs(monkeypatch):
+    own = tokenfile.Encoder(tokenfile.public_definition())
+    own.block(["A word, a tree."])
+    asked = []
+    monkeypatch.setattr(own, "in_a_row", lambda pieces, ask=own.in_a_row: asked.extend(pieces) or ask(pieces))
+    own.block(["A word; a tree! a word a word... a word? a tree, a tree"])
+    assert asked == []
+
+
 def test_other_tokenizers_see_whole_texts():
     from tokenizers import Tokenizer
 

@@ -12,7 +12,9 @@ Documents are dealt by ranges of their id, each range is sorted and encoded in
 one task, and a task writes one file; nothing is numbered on one machine but the
 files themselves. Ids are those of the tokenizers library. Texts are handed to
 it in pieces that end where a match of the usual pattern always ends, and pieces
-seen lately are remembered, up to a bound.
+seen lately are remembered, up to a bound. A batch is cut into pieces, its different
+pieces are found and its ids are put in their places by Arrow and numpy, so Python
+looks at each different piece of a batch once.
 
 Defined cases: null text counts as empty and gives the end id alone; null ids
 come first; equal ids are ordered by a hash of their texts, and rows equal in
@@ -30,10 +32,10 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,12 +44,15 @@ from tracelake.llm.common import shared_folder, small, small_batches, table, thi
 
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 64 << 10, 1000
 SLICE, CACHE_PIECES, ENCODED_AT_ONCE, IN_A_ROW = 2 << 20, 300_000, 10_000, 50
+#: Begins a piece that stands by itself; other pieces have a blank before them, or begin with their line feed.
+ALONE = "\x01"
 #: A blank between two other characters than white space begins a match of the pattern, whatever else the text holds.
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 #: A run of one or two blanks and line feeds has its last character with the next word and a match of its own for the one before;
-#: three or more, two at the end, and other white space are left to SAFE_CUT.
-PAIRS = tuple(map("".join, product(" \n", repeat=2)))
-UNUSUAL = [*map("".join, product(" \n", repeat=3)), *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
+#: three or more, two at the end, other white space and the mark itself are left to SAFE_CUT.
+UNUSUAL = r"[ \n]{3}|[ \n]{2}\z|[\x01\t\r\x{0b}\x{0c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A match of the pattern ends between a letter and a sign, so a word is the same piece with and without its punctuation.
+WORD_AND_SIGN = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([!-/:-@\[-`{-~])"
 FORMAT = {
     "parquet.writer.version": "v2", "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.page.row.count.limit": PAGE_ROWS, "parquet.enable.dictionary": "true",
     **{f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "part", "at", "upto", "n_tokens")}, "compression": "zstd",
@@ -74,18 +79,25 @@ class Encoder:
         #: Bytes of each token: in a byte-level vocabulary a character stands for a byte.
         self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
-        self.known: dict[str | tuple[str], bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.old = self.known
 
-    def pieces(self, text: str) -> list[str | tuple[str]]:
-        """What a text is cut into: words, each standing for itself after a blank; with their line feed; or, in a tuple, as they are."""
+    def pieces(self, texts: pa.Array) -> pa.Array:
+        """What each text is cut into."""
         if not self.cuts:
-            return [(text,)]
-        if any(c in text for c in UNUSUAL) or text.endswith(PAIRS):
-            return [(p,) for p in SAFE_CUT.split(text)]
-        found = text.replace("\n", " \n").split(" ")
-        found[0] = (found[0],)
-        return found
+            return pa.array([[ALONE + t] for t in texts.to_pylist()], pa.list_(texts.type))
+        unusual = pc.match_substring_regex(texts, UNUSUAL)
+        rest = texts.filter(unusual)
+        usual = pc.replace_substring(texts.filter(pc.invert(unusual)) if len(rest) else texts, "\n", " \n")
+        usual = pc.replace_substring_regex(usual, WORD_AND_SIGN, rf"\1 {ALONE}\2")
+        found = pc.split_pattern(pc.binary_join_element_wise(ALONE, usual, ""), " ")
+        if not len(rest):
+            return found
+        others = pa.array([[ALONE + p for p in SAFE_CUT.split(t)] for t in rest.to_pylist()], found.type)
+        place = np.empty(len(texts), np.int64)
+        own = unusual.to_numpy(zero_copy_only=False)
+        place[~own], place[own] = np.arange(len(found)), len(found) + np.arange(len(others))
+        return pa.concat_arrays([found, others]).take(pa.array(place))
 
     def one_by_one(self, pieces: list[str]) -> list[bytes]:
         """The ids of texts that stand by themselves."""
@@ -100,25 +112,44 @@ class Encoder:
         packed, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
         return [packed[i:j] for i, j in zip(at, at[1:], strict=False)]
 
-    def block(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as unsigned 32-bit integers.
+    def remember(self, keys: list[str]) -> None:
+        """Makes pieces known that are not.
 
         Of the pieces seen lately two generations are kept, so frequent ones stay while the number is bounded.
         """
-        split = [self.pieces(t) for t in texts]
+        known, old = self.known, self.old
+        ids = list(map(old.get, keys))
+        known.update([(k, v) for k, v in zip(keys, ids, strict=True) if v is not None])
+        new = [k for k, v in zip(keys, ids, strict=True) if v is None]
+        words = [k for k in new if k[:1] != ALONE and k not in ("", "\n")]
+        rest = [k for k in new if k[:1] == ALONE or k in ("", "\n")]
+        for some, ids_of in ((words, self.in_a_row), (rest, self.one_by_one)):
+            for i in range(0, len(some), ENCODED_AT_ONCE):
+                part = some[i : i + ENCODED_AT_ONCE]
+                known.update(zip(part, ids_of([k[1:] if k[:1] == ALONE else k if k[:1] == "\n" else " " + k for k in part]), strict=True))
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many of them each text has."""
+        split = self.pieces(texts)
+        met = split.flatten().dictionary_encode()
+        keys, at = met.dictionary.to_numpy(zero_copy_only=False).tolist(), met.indices.to_numpy()
         if len(self.known) > CACHE_PIECES:
             self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        new = set().union(*split).difference(known)
-        known.update([(k, old[k]) for k in new if k in old])
-        new = [k for k in new if k not in known]
-        words = [k for k in new if type(k) is str and k not in ("", "\n")]
-        rest = [k for k in new if type(k) is tuple or k in ("", "\n")]
-        for keys, ask in ((words, self.in_a_row), (rest, self.one_by_one)):
-            for i in range(0, len(keys), ENCODED_AT_ONCE):
-                some = keys[i : i + ENCODED_AT_ONCE]
-                known.update(zip(some, ask([k[0] if type(k) is tuple else k if k[:1] == "\n" else " " + k for k in some]), strict=True))
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        each = list(map(self.known.get, keys))
+        absent = [k for k, v in zip(keys, each, strict=True) if v is None]
+        self.remember(absent)
+        rest = map(self.known.__getitem__, absent)
+        each = [next(rest) if v is None else v for v in each]
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        begins, n = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.append(0, np.cumsum(n))
+        ids = np.frombuffer(b"".join(each), "<u4")[np.repeat(begins - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, np.diff(ends[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))])
+
+    def block(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as unsigned 32-bit integers."""
+        ids, n = self.batch(pa.array(texts, pa.string()))
+        return [part.tobytes() for part in np.split(ids, np.cumsum(n)[:-1])] if texts else []
 
 
 @lru_cache(maxsize=1)
@@ -130,16 +161,16 @@ def encoded(docs: DataFrame, definition: str, end_id: int | None) -> DataFrame:
     """(doc_id, part, at, upto, n_tokens, ids) of documents (doc_id, text); at and upto count a partition's tokens in its order."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, at = encoder(shared.value), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in thin(whole, SLICE):
-                found = [ids + end for ids in own.block([t or "" for t in batch.column("text").to_pylist()])]
-                n = np.fromiter((len(ids) // 4 for ids in found), np.int64, len(found))
+                ids, n = own.batch(pc.fill_null(batch.column("text"), ""))
+                if end_id is not None:
+                    ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
                 ends = np.cumsum(n)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.view("<i4")))
                 columns = [pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), pa.array(at + ends), pa.array(n), lists]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "part", "at", "upto", "n_tokens", "ids"])
                 at += int(ends[-1]) if len(ends) else 0
