@@ -402,3 +402,20 @@ def test_repeated_passages(spark):
     got = {r["doc_id"]: r["text"] for r in suffixdedup.without_repeats(df).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert planted[0] not in got[0] and short[0] in got[0]
+
+
+def test_op10_tells_passages_of_few_bytes(spark, tmp_path):
+    # The contract removes strings of 400 bytes; shorter passages of over 50 words are told beside that, and both where they meet.
+    rnd = random.Random(9)
+    words = lambda n: [rnd.choice("abcdefgh") + str(rnd.randrange(10_000)) for _ in range(n)]
+    planted, long = " ".join(words(51)), " ".join(words(150))
+    texts = [f"{' '.join(words(30))} {planted} {' '.join(words(30))}", f"{planted}\n{' '.join(words(20))} {long}", f"{long} {' '.join(words(9))}", " ".join(words(200)), "", None, "copied text", "copied text"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in suffixdedup.op10_suffixdedup(spark, str(tmp_path)).collect()}
+    assert len(planted) < 400 < len(long)
+    want = [(len(planted), 1), (len(planted) + len(long), 2), (len(long), 1), *[(0, 0)] * 5]
+    near = [0, 1, 0, 0, 0, 0, 0, 0]  # the blank before a string may be the same by chance or because both begin with it
+    assert all(abs(got[i]["n_repeated"] - n) <= 1 + near[i] and got[i]["n_passages"] == k for i, (n, k) in enumerate(want))
+    strings = brute_repeats([(t or "").encode() for t in texts], 400)
+    assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(len(texts))] == strings
+    assert got[0]["n_removed"] == 0 < got[1]["n_removed"]

@@ -21,7 +21,8 @@ finds the same repeated strings by content-defined runs of suffixes instead:
 
 The same method runs over words in place of bytes: a text is then the sequence of its
 words' 64-bit hashes, and lengths and starts count words. The pipeline's stage removes what
-a repeated 400-byte string or a repeated passage of 51 words covers.
+a repeated 400-byte string or a repeated passage of 51 words covers; the query removes the strings
+alone, which its contract fixes, and says beside that what strings and passages cover.
 
 Equality is by 128 bits of polynomial hashes. Work and memory are linear in the
 bytes; equal runs of a block are one row before any shuffle.
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.llm.bpe import slices
-from tracelake.llm.common import blocks, cut, small_batches, table, thin, tidy
+from tracelake.llm.common import blocks, cut, release, small_batches, table, thin, tidy
 
 LENGTH, WORDS = 400, 51
 BLOCK, BATCH_BYTES, MANY, MANY_STRINGS, AT_ONCE, SPANS_AT_ONCE, TEXTS_PER_BUCKET = 1 << 18, 1_000_000, 20_000, 1_000_000, 4_000_000, 500_000, 1024
@@ -505,20 +506,27 @@ GONE = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 OWN = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])))]
 
 
-def cleaned(length: int, as_text: bool, words: int | None):
+def cleaned(length: int, as_text: bool, words: int | None, apart: bool):
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(4)]
+        out: list[list] = [[] for _ in range(5 if apart else 4)]
         for text, runs, copied in zip(*(batch.column(c).to_pylist() for c in ("__text", "__runs", "__copied")), strict=True):
             data = (text or "").encode()
-            gone = gone_of(data, runs or [], bool(copied), length, words)
+            gone = gone_of(data, runs or [], bool(copied), length, None if apart else words)
             edges = [0, *[x for g in gone for x in g], len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            row = (len(data), len(data) - len(kept), [{"begin": a, "end": b} for a, b in gone], kept.decode(errors="ignore") if as_text else kept)
+            row = [len(data), len(data) - len(kept), named(gone), kept.decode(errors="ignore") if as_text else kept]
+            if apart:
+                row.append(named(gone_of(data, runs or [], bool(copied), length, words)))
             for column, value in zip(out, row, strict=True):
                 column.append(value)
-        new = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), GONE, pa.string() if as_text else pa.binary()), strict=True)]
+        types, names = [pa.int64(), pa.int64(), GONE, pa.string() if as_text else pa.binary()], ["n_bytes", "n_removed", "spans", "kept"]
+        if apart:
+            types, names = [*types, GONE], [*names, "passages"]
         kept = batch.drop_columns(["__text", "__runs", "__copied"])
-        return pa.RecordBatch.from_arrays([*kept.columns, *new], names=[*kept.schema.names, "n_bytes", "n_removed", "spans", "kept"])
+        return pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, out, types)], names=[*kept.schema.names, *names])
+
+    def named(spans: list[tuple[int, int]]) -> list[dict]:
+        return [{"begin": a, "end": b} for a, b in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -541,13 +549,14 @@ def repeated(rows: DataFrame, length: int, kind: np.dtype, n_buckets: int) -> Da
     return found.where("texts = 0").select("t1", "t2", "start", "size").unionByName(edges)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, length: int = LENGTH, as_text: bool = False, words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, length: int = LENGTH, as_text: bool = False, words: int | None = None, apart: bool = False) -> DataFrame:
     """Every row of docs with n_bytes, n_removed, spans (array of begin, end) and kept.
 
     keep names the columns passed through, all but the text if absent; they may not have
     the names that are added. kept is binary; as_text makes it a string, without the bytes of
     characters that were cut apart. With words, repeated passages of that many words go too,
-    whatever white space is between the words.
+    whatever white space is between the words; with apart they stay, and one column more, passages, has
+    the spans that strings and passages cover together.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     small_batches(docs.sparkSession)
@@ -559,15 +568,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     n_buckets = blocks(names.count(), TEXTS_PER_BUCKET)
     repeats = repeated(rows, length, BYTE, n_buckets).withColumn("by_word", F.lit(False))
     if words is not None:
-        # One after the other, so that the two never hold memory at once.
-        repeats = cut(repeats).unionByName(cut(repeated(rows, words, WORD, n_buckets).withColumn("by_word", F.lit(True))))
+        # One after the other, each one's shuffle files deleted before what follows: the two and the last join never hold memory or disk at once.
+        repeats = cut(repeats)
+        release(docs.sparkSession, told=True)
+        repeats = repeats.unionByName(cut(repeated(rows, words, WORD, n_buckets).withColumn("by_word", F.lit(True))))
+        release(docs.sparkSession, told=True)
     repeats = repeats.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "size", "by_word")).alias("runs"))
     marks = names.where("copied").join(repeats, ["t1", "t2"], "full").select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("runs").alias("__runs"), F.col("copied").alias("__copied"))
     whole = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], value.alias("__text"), t1.alias("__t1"), t2.alias("__t2"))
     whole = whole.join(marks, NAME, "left").drop(*NAME)
     fields = [T.StructField(f"__{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
-    out = whole.mapInArrow(tidy(cleaned(length, as_text, words)), T.StructType([*fields, *OWN, T.StructField("kept", T.StringType() if as_text else T.BinaryType())]))
-    return out.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "n_removed", "spans", "kept")
+    more = [T.StructField("passages", OWN[-1].dataType)] if apart else []
+    out = whole.mapInArrow(tidy(cleaned(length, as_text, words, apart)), T.StructType([*fields, *OWN, T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *more]))
+    return out.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "n_removed", "spans", "kept", *[m.name for m in more])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -582,6 +595,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op10_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every document loses to repeated 400-byte strings."""
-    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """What every document loses to repeated 400-byte strings, and how many bytes these and repeated passages of over 50 words cover."""
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], words=WORDS, apart=True)
+    size = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    own = found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "passages")
+    return own.withColumns({"n_repeated": size(F.col("passages")), "n_passages": F.size("passages").cast("long")}).drop("passages")
