@@ -7,11 +7,8 @@ Candidates come from two indexes over the distinct sets of shingles:
   so this finds the close copies only.
 * Prefixes: two sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1
   shingles of each, in any order that is the same for all sets. Sets are dealt to
-  buckets by those shingles. The order puts shingles that are common in a sample of
-  the texts last and is random else, so of a set without common shingles the first KEYS
-  suffice: each of the first KEYS shingles of the union of two sets is in both with
-  probability 0.8, and that none is has probability 0.2 ** KEYS, under 1e-11. The sample
-  decides how full buckets get, never what is found.
+  buckets by all those shingles. The order puts shingles that are common in a sample of
+  the texts last; the sample decides how full buckets get, never what is found.
 
 In a bucket each set first meets the one with the smallest name, so a group of many
 near copies costs as many tests as it has members. Then all pairs of a bucket are tested
@@ -39,7 +36,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.bpe import slices
 from tracelake.llm.common import blocks, components, cut, equal_runs, roots, small_batches, thin, tidy
 
-SHINGLE, SEED, KEYS, FEW, FAR = 5, 42, 16, 30, 28
+SHINGLE, SEED, FEW, FAR = 5, 42, 30, 28
 SAMPLE_DOCS, COMMON, MOST_COMMON = 20_000, 8, 100_000
 BLOCK_BYTES, AT_ONCE, SMALL, CHUNK_SHINGLES, CACHE_SHINGLES, BROADCAST_NAMES = 1_000_000, 200_000, 128, 200_000, 2_000_000, 500_000
 #: Pairs meet their texts in rounds of that many, up to so many rounds, beyond which rounds grow.
@@ -85,15 +82,14 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def keys_of(own: np.ndarray, values: np.ndarray, rank_of: np.ndarray) -> np.ndarray:
-    """The shingles of a set that it is found by."""
+    """The shingles of a set that it is found by, in the order of all sets: so many that no similar set shares none."""
     if not len(own):
         return own
     rank = np.zeros(len(own), np.int64)
     if len(values):
         at = np.minimum(np.searchsorted(values, own), len(values) - 1)
         rank = np.where(values[at] == own, rank_of[at] + 1, 0)
-    n = len(own) - (4 * len(own) + 4) // 5 + 1
-    return own[np.lexsort((own, rank))][: n if rank.any() else min(n, KEYS)]
+    return own[np.lexsort((own, rank))][: len(own) - (4 * len(own) + 4) // 5 + 1]
 
 
 def with_sets(texts: DataFrame, common: np.ndarray, fingerprints) -> DataFrame:
