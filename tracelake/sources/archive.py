@@ -20,7 +20,7 @@ from tracelake.functions.tables import ERRORS
 from tracelake.sources import codec
 
 LIVE_ROOTS = ("/private/var/db/diagnostics", "/private/var/db/uuidtext")
-BATCH = 200
+BATCH, BATCH_BYTES = 200, 8 << 20
 
 
 def only_hex(text: Column) -> Column:
@@ -51,12 +51,20 @@ def files(spark: SparkSession, roots: str | list[str], kind: str | None = None,
     return (found.where(file_kind(F.col("path")) == kind) if kind else found).select("path", "content")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches, which else hold up to 10,000 files with their contents; a bound of the session's own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def decoded(source: DataFrame, kind: str, ddl: str, rows: Callable[[str, bytes], Iterator[dict]], strict: bool) -> DataFrame:
     """Rows that a function makes of each file, in Arrow batches of bounded length.
 
     strict fails on a file that cannot be decoded, naming its kind and path.
     """
     schema = StructType.fromDDL(ddl)
+    small_batches(source.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
